@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateflow.llm import byte_bpe
+from crateflow.llm import byte_bpe, language_id
+from crateflow.llm.runtime import bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", bucket_of("doc_id", 4) == 2)
+    model = language_id.learn(docs.where(~F.col("held_out")))
+    return language_id.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,5 +37,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op9_byte_bpe": op9_byte_bpe}
+QUERIES: dict[str, Query] = {"op2_language_id": op2_language_id, "op9_byte_bpe": op9_byte_bpe}
 ORACLES: dict[str, str] = {}

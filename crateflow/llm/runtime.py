@@ -56,3 +56,52 @@ def text_blocks(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES) ->
         held += n
     if first < len(lengths):
         yield first, len(lengths)
+
+
+class KeyCounts:
+    """Counts of 64-bit keys over the blocks of one task, in bounded memory: merged when many, given out when still many.
+
+    Each key has `width` counts. add() takes keys with repetition; flush() gives (keys, counts) without.
+    """
+
+    def __init__(self, width: int, limit: int = 1 << 21):
+        self.width, self.limit = width, limit
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        if len(keys):
+            self.parts.append(_summed(keys, counts))
+            self.held += len(self.parts[-1][0])
+        if self.held > self.limit and len(self.parts) > 1:
+            self._merge()
+
+    def full(self) -> bool:
+        return self.held > self.limit // 2 and len(self.parts) == 1
+
+    def _merge(self) -> None:
+        self.parts = [_summed(np.concatenate([k for k, _ in self.parts]), np.concatenate([c for _, c in self.parts]))]
+        self.held = len(self.parts[0][0])
+
+    def flush(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) > 1:
+            self._merge()
+        out = self.parts[0] if self.parts else (np.zeros(0, np.uint64), np.zeros((0, self.width), np.int64))
+        self.parts, self.held = [], 0
+        return out
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts[order], first, axis=0)
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, sorted, and how often each occurs."""
+    values = np.sort(values)
+    if not len(values):
+        return values, np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    return values[first], np.diff(np.append(first, len(values)))
