@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateflow.llm import byte_bpe, language_id
-from crateflow.llm.runtime import bucket_of
+from crateflow.llm import byte_bpe, language_id, source_mix
+from crateflow.llm.runtime import bucket_of, small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -23,12 +24,70 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+#: Target weights of op10: domains come from the source's number, which stands in for a domain column.
+MIX_LEVELS = (
+    source_mix.Level("domain", {"d0": 4, "d1": 3, "d2": 2, "d3": 1}),
+    source_mix.Level("lang", {"en": 5, "de": 2, "fr": 2, "es": 1}),
+    source_mix.Level("source", {"src0": 3}),
+)
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.75, 3, 17
+
+
+def domain_of(source: str = "source") -> Column:
+    """The last two bits of the number in the source's name; d0 where there is no number."""
+    return F.concat(F.lit("d"), F.coalesce(F.expr(f"try_cast(regexp_extract({source}, '[0-9]+', 0) as bigint)"), F.lit(0)) % 4)
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").withColumn("domain", domain_of())
+    mixed = source_mix.mix(docs, MIX_LEVELS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+    return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "leaf_tokens", "leaf_budget", "n_copies")
+
+
+def _sql_weight(level: source_mix.Level) -> str:
+    cases = " ".join(f"when {level.column} = '{v}' then {w}" for v, w in level.weights.items())
+    return f"(case {cases} else {level.default} end)"
+
+
+def _mix_sql() -> str:
+    """Water-filling level by level, then a running sum over each leaf."""
+    columns = [v.column for v in MIX_LEVELS]
+    steps = []
+    for k, level in enumerate(MIX_LEVELS):
+        here, parents = columns[: k + 1], columns[:k]
+        keys = ", ".join(here)
+        among = f"partition by {', '.join(parents)}" if parents else ""
+        joined = " and ".join(f"p.{c} is not distinct from c.{c}" for c in parents) or "true"
+        parent = f"b{k - 1}" if k else f"(select cast(floor(sum(tokens) * {MIX_SHARE}) as bigint) as b from leaves)"
+        steps.append(f"""
+    c{k} as (select {keys}, cast(sum(tokens) * {MIX_EPOCHS} as hugeint) as c, cast({_sql_weight(level)} as hugeint) as w from leaves group by {keys} having sum(tokens) > 0),
+    j{k} as (select c.*, cast(p.b as hugeint) as b from c{k} c join {parent} p on {joined}),
+    o{k} as (select *, coalesce(sum(c) over (o rows between unbounded preceding and 1 preceding), 0)::hugeint as c0, sum(w) over (o rows between current row and unbounded following)::hugeint as w1
+      from j{k} window o as ({among} order by c::double / w::double, {here[-1]})),
+    f{k} as (select *, b >= c0 and c * w1 <= (b - c0) * w as f from o{k}),
+    r{k} as (select *, b - coalesce(sum(case when f then c end) over ({among}), 0)::hugeint as rest, (sum(case when not f then w end) over ({among}))::hugeint as open from f{k}),
+    b{k} as (select {keys}, case when f then c else rest * w // open end as b from r{k})""")
+    last, names = len(MIX_LEVELS) - 1, ", ".join(columns)
+    match = " and ".join(f"l.{c} is not distinct from b.{c}" for c in columns)
+    back = " and ".join(f"d.{c} is not distinct from l.{c}" for c in columns)
+    return f"""
+    with docs as (select doc_id, lang, source, 'd' || (coalesce(try_cast(regexp_extract(source, '[0-9]+') as bigint), 0) % 4) as domain, substr(md5(coalesce(text, '')), 1, 8) as mark,
+        coalesce(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0) as n_tokens from documents),
+    leaves as (select {names}, sum(n_tokens)::bigint as tokens from docs group by {names}),{",".join(steps)},
+    l as (select l.*, coalesce(b.b, 0)::bigint as budget, case when tokens > 0 then (coalesce(b.b, 0) // tokens)::bigint else 0 end as e from leaves l left join b{last} b on {match}),
+    k as (select d.*, l.tokens, l.budget, l.e, l.budget - l.e * l.tokens as rest,
+        ('0x' || substr(md5(concat_ws(':', '{MIX_SEED}', (l.e + 1)::varchar, coalesce(d.doc_id::varchar, ''), d.mark)), 1, 12))::bigint as key from docs d join l on {back}),
+    s as (select *, sum(n_tokens) over (partition by {names} order by key range between unbounded preceding and current row) as upto from k)
+    select doc_id, domain, lang, source, n_tokens::bigint as n_tokens, tokens as leaf_tokens, budget as leaf_budget,
+        (case when n_tokens > 0 then e + case when rest > 0 and upto <= rest then 1 else 0 end else 0 end)::bigint as n_copies from s"""
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     words = byte_bpe.vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = byte_bpe.decode(byte_bpe.encode(docs, words), words)
+    coded = byte_bpe.round_trip(docs, words)
     return coded.select(
         "doc_id",
         F.expr("length(token_ids) div 4").cast("long").alias("n_tokens"),
@@ -37,5 +96,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op2_language_id": op2_language_id, "op9_byte_bpe": op9_byte_bpe}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {"op2_language_id": op2_language_id, "op9_byte_bpe": op9_byte_bpe, "op10_source_mix": op10_source_mix}
+ORACLES: dict[str, str] = {"op10_source_mix": _mix_sql()}
