@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateflow.llm import byte_bpe, language_id, source_mix
+from crateflow.llm import byte_bpe, language_id, secret_scan, source_mix
 from crateflow.llm.runtime import bucket_of, small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,33 @@ def _mix_sql() -> str:
         (case when n_tokens > 0 then e + case when rest > 0 and upto <= rest then 1 else 0 end else 0 end)::bigint as n_copies from s"""
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _secret_sql() -> str:
+    """Per rule, the running sum of the lengths of pieces and matches; no index."""
+    rules = secret_scan.BASE_RULES + secret_scan.MORE_RULES
+    parts = []
+    for k, r in enumerate(rules):
+        p = "'" + r.pattern.replace("'", "''") + "'"
+        parts.append(f"""
+      select rid, {k} as position, '{r.kind}' as kind, i, length(pieces[i]) + length(whole[i]) as step, length(whole[i]) as size, length(part[i]) >= {r.least} as counts
+      from (select rid, regexp_split_to_array(text, {p}) as pieces, regexp_extract_all(text, {p}, 0) as whole, regexp_extract_all(text, {p}, {r.group}) as part from d where regexp_matches(text, {p})),
+        lateral (select unnest(range(1, len(whole) + 1)) as i)""")
+    base = len(secret_scan.BASE_RULES)
+    item = "kind || ':' || s || ':' || e"
+    return f"""
+    with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+    m as ({" union all ".join(parts)}),
+    ends as (select *, sum(step) over (partition by rid, position order by i)::bigint as e from m),
+    span as (select rid, position, kind, e - size as s, e from ends where counts),
+    doc as (select rid, {", ".join(f"count(*) filter (kind = '{r.kind}') as n_{r.kind}" for r in secret_scan.BASE_RULES)},
+        string_agg({item}, ',' order by s, position) filter (position < {base}) as basic, string_agg({item}, ',' order by s, position) as everything from span group by rid)
+    select doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::bigint as n_{r.kind}" for r in secret_scan.BASE_RULES)},
+        sha256(coalesce(basic, '')) as base_sha256, coalesce(everything, '') as spans from d left join doc using (rid)"""
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -96,5 +123,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op2_language_id": op2_language_id, "op9_byte_bpe": op9_byte_bpe, "op10_source_mix": op10_source_mix}
-ORACLES: dict[str, str] = {"op10_source_mix": _mix_sql()}
+QUERIES: dict[str, Query] = {"op2_language_id": op2_language_id, "op7_secret_scan": op7_secret_scan, "op9_byte_bpe": op9_byte_bpe, "op10_source_mix": op10_source_mix}
+ORACLES: dict[str, str] = {"op7_secret_scan": _secret_sql(), "op10_source_mix": _mix_sql()}
