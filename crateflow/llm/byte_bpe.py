@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pieces and pairs that a worker memoises; beyond that the memory is emptied and refilled.
-MEMO_PIECES, MEMO_PAIRS = 1 << 17, 1 << 20
+MEMO_PIECES, MEMO_PAIRS = 1 << 16, 1 << 18
 
 #: Letters for which Python's own re module agrees with \p{L}; other non-ASCII characters send a text to the full pattern.
 _PLAIN = "A-Za-zªµºÀ-ÖØ-öø-ʯ"
@@ -56,7 +56,7 @@ class Codec:
         self.automaton.make_automaton()
         self.shorter: dict[int, int] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
 
     def prefix(self, token: int) -> int:
@@ -84,7 +84,7 @@ class Codec:
         Undoes the merges on both sides of the border, the latest first. Were the pair that then faces the border the
         halves of a token that ranks before every merge undone so far, that merge would have crossed the border.
         """
-        key = (left, right)
+        key = left << 32 | right
         if (known := self.compatible.get(key)) is None:
             if len(self.compatible) >= MEMO_PAIRS:
                 self.compatible.clear()
@@ -191,3 +191,17 @@ def decode(docs: DataFrame, words: Broadcast, ids: str = "token_ids", out: str =
             yield pd.Series([codec.decode(x or b"") for x in batch], dtype=object)
 
     return docs.withColumn(out, raw(F.col(ids)))
+
+
+def round_trip(docs: DataFrame, words: Broadcast, text: str = "text", ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+    """encode() and decode() of its ids in one pass over the texts, for checking that nothing is lost."""
+
+    @F.pandas_udf("ids binary, raw binary")
+    def both(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = _codec(words)
+        for batch in texts:
+            coded = [codec.encode(t or "") for t in batch]
+            yield pd.DataFrame({"ids": coded, "raw": [codec.decode(x) for x in coded]}, dtype=object)
+
+    found = docs.withColumn("__both", both(F.col(text)))
+    return found.withColumn(ids, F.col("__both.ids")).withColumn(out, F.col("__both.raw")).drop("__both")

@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 21
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get some megabytes of rows at a time, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir, or where that is unset (tests, one machine) one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

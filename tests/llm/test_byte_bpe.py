@@ -24,6 +24,7 @@ def test_same_ids_as_the_reference_tokenizer(spark, oracle):
     words = byte_bpe.vocabulary(spark, PATH, P.PATTERN)
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)] + [(0, "", "again")], "doc_id long, text string, token_ids string")
     rows = byte_bpe.decode(byte_bpe.encode(df, words), words).collect()
+    assert byte_bpe.round_trip(df, words).collect() == rows
     assert len(rows) == len(TEXTS) + 1
     for r in rows:
         want = oracle.encode_ordinary(r.text or "")
