@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateflow.llm import byte_bpe, language_id, secret_scan, source_mix
+from crateflow.llm import byte_bpe, language_id, secret_scan, source_mix, url_filter
 from crateflow.llm.runtime import bucket_of, small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,49 @@ def _mix_sql() -> str:
         (case when n_tokens > 0 then e + case when rest > 0 and upto <= rest then 1 else 0 end else 0 end)::bigint as n_copies from s"""
 
 
+URL_RULES = (
+    url_filter.UrlRule("net", "/", "block"),
+    url_filter.UrlRule("example.net", "/en/", "allow"),
+    url_filter.UrlRule("example.com", "/de/", "block"),
+    url_filter.UrlRule("org", "/fr/", "allow"),
+)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "value", "threshold")
+
+
+def _url_sql() -> str:
+    """The models from one list of windows; each context length joins the shorter one."""
+    order, unit, step = url_filter.ORDER, url_filter.UNIT, url_filter.STEP
+    fits = " ".join(f"when (host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}') then '{r.name}'" for r in sorted(URL_RULES, key=lambda r: -len(r.name)))
+    says = "case rule " + " ".join(f"when '{r.name}' then '{r.verdict}'" for r in URL_RULES) + " end"
+    levels = []
+    for k in range(1, order + 2):
+        q = "1.0::double / 256 as qa, 1.0::double / 256 as qb from c1 c" if k == 1 else f"l.pa as qa, l.pb as qb from c{k} c join l{k - 1} l on l.g = substr(c.g, 2)"
+        p = ", ".join(f"case when n{c} = 0 then q{c} else (m{c}::double + t{c}::double * q{c}) / (n{c}::double + t{c}::double) end as p{c}" for c in "ab")
+        levels.append(f"""
+    g{k} as (select right(gram, {k}) as g, sum(a) as ma, sum(b) as mb from grams group by 1),
+    c{k} as (select *, sum(ma) over w as na, sum(mb) over w as nb, count(*) filter (ma > 0) over w as ta, count(*) filter (mb > 0) over w as tb from g{k} window w as (partition by left(g, {k - 1}))),
+    l{k} as (select g, {p} from (select c.*, {q}))""")
+    return f"""
+    with p0 as (select page_id, coalesce(url, '') as u, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) as rest from pages),
+    p1 as (select page_id, u, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) as path from p0),
+    p2 as (select *, case {fits} end as rule from p1),
+    p3 as (select *, {says} as known, ('0x' || substr(md5(u), 1, 8))::bigint % {url_filter.FOLDS} as fold from p2),
+    urls as (select u, any_value(known) as known, any_value(fold) as fold, count(*) as n from p3 group by u),
+    padded as (select *, repeat(chr(2), {order}) || u || chr(3) as s from urls),
+    spots as (select u, n, known, fold, substr(s, i, {order + 1}) as gram from (select *, unnest(range(1, length(s) - {order} + 1)) as i from padded)),
+    grams as (select gram, coalesce(sum(n) filter (fold <> 0 and known = 'allow'), 0) as a, coalesce(sum(n) filter (fold <> 0 and known = 'block'), 0) as b from spots group by gram),{",".join(levels)},
+    v as (select u, floor(sum(round((ln(pa) - ln(pb)) * {unit})::bigint)::double / count(*))::bigint as value from spots join l{order + 1} on g = gram group by u),
+    h as (select floor(value / {step}.0)::bigint as step, coalesce(sum(n) filter (known = 'allow'), 0) as a, coalesce(sum(n) filter (known = 'block'), 0) as b from urls join v using (u) where fold = 0 and known is not null group by 1),
+    o as (select step as t from h union select step + 1 from h union select 0),
+    e as (select t, (select coalesce(sum(a) filter (step >= t), 0) * sum(b) + coalesce(sum(b) filter (step < t), 0) * sum(a) from h) as gain from o),
+    best as (select coalesce((select case when (select sum(a) * sum(b) from h) > 0 then first(t order by gain desc, abs(t), t) else 0 end from e), 0) * {step} as threshold)
+    select page_id, host, path, rule, value, threshold::bigint as threshold, coalesce(known, case when value >= threshold then 'allow' else 'block' end) as verdict
+    from p3 left join v using (u), best"""
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -123,5 +166,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op2_language_id": op2_language_id, "op7_secret_scan": op7_secret_scan, "op9_byte_bpe": op9_byte_bpe, "op10_source_mix": op10_source_mix}
-ORACLES: dict[str, str] = {"op7_secret_scan": _secret_sql(), "op10_source_mix": _mix_sql()}
+QUERIES: dict[str, Query] = {"op2_language_id": op2_language_id, "op5_url_filter": op5_url_filter, "op7_secret_scan": op7_secret_scan, "op9_byte_bpe": op9_byte_bpe, "op10_source_mix": op10_source_mix}
+ORACLES: dict[str, str] = {"op5_url_filter": _url_sql(), "op7_secret_scan": _secret_sql(), "op10_source_mix": _mix_sql()}
