@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateflow.llm import byte_bpe, language_id, secret_scan, source_mix, url_filter
+from crateflow.llm import byte_bpe, language_id, secret_scan, source_mix, toxicity, url_filter
 from crateflow.llm.runtime import bucket_of, small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,13 @@ def _mix_sql() -> str:
         (case when n_tokens > 0 then e + case when rest > 0 and upto <= rest then 1 else 0 end else 0 end)::bigint as n_copies from s"""
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", bucket_of("doc_id", 5) == 0)
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.learn(docs.where(~F.col("held_out")).join(labels, "doc_id"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 URL_RULES = (
     url_filter.UrlRule("net", "/", "block"),
     url_filter.UrlRule("example.net", "/en/", "allow"),
@@ -166,5 +173,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op2_language_id": op2_language_id, "op5_url_filter": op5_url_filter, "op7_secret_scan": op7_secret_scan, "op9_byte_bpe": op9_byte_bpe, "op10_source_mix": op10_source_mix}
+QUERIES: dict[str, Query] = {"op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op5_url_filter": op5_url_filter, "op7_secret_scan": op7_secret_scan, "op9_byte_bpe": op9_byte_bpe, "op10_source_mix": op10_source_mix}
 ORACLES: dict[str, str] = {"op5_url_filter": _url_sql(), "op7_secret_scan": _secret_sql(), "op10_source_mix": _mix_sql()}
