@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateflow.llm import byte_bpe, language_id, secret_scan, source_mix, toxicity, url_filter
+from crateflow.llm import byte_bpe, jaccard_join, language_id, secret_scan, source_mix, toxicity, url_filter
 from crateflow.llm.runtime import bucket_of, small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,6 +132,26 @@ def _url_sql() -> str:
     from p3 left join v using (u), best"""
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.near_copies(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "text_class", "n_links", "n_text_links", "kept")
+
+
+#: All pairs that share an n-gram, so for small tables only. lower() lowers other letters too, hence translate().
+JACCARD_SQL = r"""
+    with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+    s as (select distinct doc_id, array_to_string(words[i : i + 4], ' ') as g from (select doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) as i from w where len(words) > 0)),
+    n as (select doc_id, count(*) as n, md5(string_agg(g, chr(10) order by g)) as same from s group by doc_id),
+    p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+    l as (select p.a, p.b, x.same <> y.same as other, y.same as kind from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where c >= 0.8 * (x.n + y.n - c) - 1e-9),
+    r as (select doc_id as a, doc_id as b from documents union select r.a, l.b from r join l on r.b = l.a),
+    c as (select a as doc_id, min(b) as class_id from r group by a),
+    k as (select a as doc_id, count(*) as n_links, count(distinct kind) filter (other) as n_text_links from l group by a),
+    t as (select doc_id, min(doc_id) over (partition by same) as text_class from n)
+    select doc_id, class_id, coalesce(text_class, doc_id) as text_class, coalesce(n_links, 0)::bigint as n_links, coalesce(n_text_links, 0)::bigint as n_text_links, doc_id = class_id as kept
+    from c left join k using (doc_id) left join t using (doc_id)""".replace("\\\\", "\\")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -173,5 +193,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op5_url_filter": op5_url_filter, "op7_secret_scan": op7_secret_scan, "op9_byte_bpe": op9_byte_bpe, "op10_source_mix": op10_source_mix}
-ORACLES: dict[str, str] = {"op5_url_filter": _url_sql(), "op7_secret_scan": _secret_sql(), "op10_source_mix": _mix_sql()}
+QUERIES: dict[str, Query] = {"op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op5_url_filter": op5_url_filter, "op6_jaccard_join": op6_jaccard_join, "op7_secret_scan": op7_secret_scan, "op9_byte_bpe": op9_byte_bpe, "op10_source_mix": op10_source_mix}
+ORACLES: dict[str, str] = {"op6_jaccard_join": JACCARD_SQL, "op5_url_filter": _url_sql(), "op7_secret_scan": _secret_sql(), "op10_source_mix": _mix_sql()}

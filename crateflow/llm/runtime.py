@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ def bucket_of(doc_id: Column | str, modulus: int) -> Column:
 
 def text_blocks(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts have limit bytes together at most, or one row."""
-    lengths = np.nan_to_num(np.asarray(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=float)).astype(np.int64)
+    lengths = np.nan_to_num(np.asarray(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=float)).astype(np.int64)
     first, held = 0, 0
     for k, n in enumerate(lengths.tolist()):
         if k > first and held + n > limit:
