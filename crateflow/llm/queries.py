@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateflow.llm import byte_bpe, jaccard_join, language_id, secret_scan, source_mix, toxicity, url_filter
+from crateflow.llm import byte_bpe, embedding_dedup, jaccard_join, language_id, secret_scan, source_mix, topk_search, toxicity, url_filter
 from crateflow.llm.runtime import bucket_of, small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +89,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20, 64)
+
+
+#: Every query against every row.
+TOPK_SQL = """
+    with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+        where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (select q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.v, c.v)::bigint as score from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id)
+    select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s qualify rank <= 20"""
+
+
 URL_RULES = (
     url_filter.UrlRule("net", "/", "block"),
     url_filter.UrlRule("example.net", "/en/", "allow"),
@@ -179,6 +191,19 @@ def _secret_sql() -> str:
         sha256(coalesce(basic, '')) as base_sha256, coalesce(everything, '') as spans from d left join doc using (rid)"""
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+#: Every pair of a label.
+DEDUP_SQL = """
+    with recursive v as (select vec_id, label, embedding::double[] as v from embeddings where label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= 0.98),
+    r as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from r join l on r.b = l.a)
+    select a as vec_id, (select count(*) from l where l.a = r.a) as n_links, min(b) as component_id, a = min(b) as kept from r group by a"""
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -193,5 +218,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op5_url_filter": op5_url_filter, "op6_jaccard_join": op6_jaccard_join, "op7_secret_scan": op7_secret_scan, "op9_byte_bpe": op9_byte_bpe, "op10_source_mix": op10_source_mix}
-ORACLES: dict[str, str] = {"op6_jaccard_join": JACCARD_SQL, "op5_url_filter": _url_sql(), "op7_secret_scan": _secret_sql(), "op10_source_mix": _mix_sql()}
+QUERIES: dict[str, Query] = {"op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op4_topk_search": op4_topk_search, "op5_url_filter": op5_url_filter, "op6_jaccard_join": op6_jaccard_join, "op7_secret_scan": op7_secret_scan, "op8_embedding_dedup": op8_embedding_dedup, "op9_byte_bpe": op9_byte_bpe, "op10_source_mix": op10_source_mix}
+ORACLES: dict[str, str] = {"op4_topk_search": TOPK_SQL, "op8_embedding_dedup": DEDUP_SQL, "op6_jaccard_join": JACCARD_SQL, "op5_url_filter": _url_sql(), "op7_secret_scan": _secret_sql(), "op10_source_mix": _mix_sql()}
