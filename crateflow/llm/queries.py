@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateflow.llm import byte_bpe, embedding_dedup, jaccard_join, language_id, secret_scan, source_mix, topk_search, toxicity, url_filter
+from crateflow.llm import byte_bpe, embedding_dedup, jaccard_join, language_id, lm_scoring, secret_scan, source_mix, topk_search, toxicity, url_filter
 from crateflow.llm.runtime import bucket_of, small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm_scoring.score(docs, bucket_of("doc_id", 5) != 1)
+    return scored.select("doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", bucket_of("doc_id", 4) == 2)
     model = language_id.learn(docs.where(~F.col("held_out")))
@@ -218,5 +224,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op4_topk_search": op4_topk_search, "op5_url_filter": op5_url_filter, "op6_jaccard_join": op6_jaccard_join, "op7_secret_scan": op7_secret_scan, "op8_embedding_dedup": op8_embedding_dedup, "op9_byte_bpe": op9_byte_bpe, "op10_source_mix": op10_source_mix}
+QUERIES: dict[str, Query] = {"op1_lm_scoring": op1_lm_scoring, "op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op4_topk_search": op4_topk_search, "op5_url_filter": op5_url_filter, "op6_jaccard_join": op6_jaccard_join, "op7_secret_scan": op7_secret_scan, "op8_embedding_dedup": op8_embedding_dedup, "op9_byte_bpe": op9_byte_bpe, "op10_source_mix": op10_source_mix}
 ORACLES: dict[str, str] = {"op4_topk_search": TOPK_SQL, "op8_embedding_dedup": DEDUP_SQL, "op6_jaccard_join": JACCARD_SQL, "op5_url_filter": _url_sql(), "op7_secret_scan": _secret_sql(), "op10_source_mix": _mix_sql()}

@@ -92,7 +92,7 @@ class KeyCounts:
     def flush(self) -> tuple[np.ndarray, np.ndarray]:
         if len(self.parts) > 1:
             self._merge()
-        out = self.parts[0] if self.parts else (np.zeros(0, np.uint64), np.zeros((0, self.width), np.int64))
+        out = self.parts[0] if self.parts else (np.zeros(0, np.int64), np.zeros((0, self.width), np.int64))
         self.parts, self.held = [], 0
         return out
 
