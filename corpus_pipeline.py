@@ -1,15 +1,73 @@
-"""Pipeline over documents; its stages come as their operators do."""
+"""A pipeline over `documents`: language ID, near-copies, secrets, mixing, token ids.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
+of their input. Near-copies and mixing have random parts, and token ids no SQL, so ORACLE_SQL is None; the tests hold every
+stage against brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from crateflow.llm import byte_bpe, jaccard_join, language_id, secret_scan, source_mix
+from crateflow.llm.queries import MIX_LEVELS, domain_of
+from crateflow.llm.runtime import durable, small_batches
+
+#: Documents whose best language has less of all languages' n-gram counts than this are rejected, as those without a letter.
+LEAST_LANGUAGE_SCORE = 0.3
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.8, 1, 29
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the rows with a text and a language; drops documents of no language."""
+    small_batches(spark)
+    model = language_id.learn(docs)
+    judged = language_id.predict(docs, model, out="__lang", score="__score")
+    return judged.where((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each class of near-copies."""
+    small_batches(spark)
+    return jaccard_join.keep_one(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks what the rules find and counts the characters anew."""
+    masked = secret_scan.redact(docs)
+    return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draws the documents of MIX_SHARE of the tokens by the target weights, each once at most."""
+    mixed = source_mix.mix(docs.withColumn("domain", domain_of()), MIX_LEVELS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+    return mixed.where("n_copies > 0").select(*docs.columns)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, token_ids (little-endian unsigned 32-bit)."""
+    import public_tokenizers
+
+    small_batches(spark)
+    words = byte_bpe.vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = byte_bpe.encode(docs, words)
+    return coded.select("doc_id", "lang", "source", F.expr("length(token_ids) div 4").cast("long").alias("n_tokens"), "token_ids")
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", identify_language),
+    ("jaccard_join", drop_near_copies),
+    ("secret_scan", mask_secrets),
+    ("source_mix", mix_sources),
+    ("byte_bpe", encode_tokens),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn; what each kept is written to the shared folder before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

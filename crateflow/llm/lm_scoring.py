@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from crateflow.llm.runtime import KeyCounts, durable, runs, text_blocks
 
 #: Bytes of context. With HOT a power of two each broadcast table has 16 * HOT to 32 * HOT bytes.
-DEPTH, HOT = 4, 1 << 18
+DEPTH, HOT = 5, 1 << 19
 #: Bytes that UTF-8 never has: what stands before a text, and its end.
 PAD, END = 0xFE, 0xFF
 _TOKEN = 1 << 61
@@ -230,8 +230,8 @@ def weigh(counts: DataFrame, depth: int) -> DataFrame:
     def batch_of(keys, p, zeros, ones, weighted) -> pa.RecordBatch:
         none = lambda kind: pa.nulls(len(keys), kind)
         probabilities = none(pa.binary()) if p is None else pa.array([r.tobytes() for r in p], pa.binary())
-        numbers = [none(pa.float64()) if x is None else pa.array(x) for x in (zeros, ones, weighted)]
-        return pa.RecordBatch.from_arrays([pa.array(keys), probabilities, *numbers], ["key", "p", "zeros", "ones", "weighted"])
+        numbers = [none(pa.float64()) if x is None else pa.array(x, pa.float64()) for x in (zeros, ones, weighted)]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), probabilities, *numbers], ["key", "p", "zeros", "ones", "weighted"])
 
     near = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
     dealt = counts.select(near.alias("near"), "key", "n_train").repartition("near").sortWithinPartitions("near")

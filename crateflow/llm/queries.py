@@ -55,7 +55,7 @@ def _sql_weight(level: source_mix.Level) -> str:
     return f"(case {cases} else {level.default} end)"
 
 
-def _mix_sql() -> str:
+def mix_sql(share: float = MIX_SHARE, epochs: int = MIX_EPOCHS, seed: int = MIX_SEED) -> str:
     """Water-filling level by level, then a running sum over each leaf."""
     columns = [v.column for v in MIX_LEVELS]
     steps = []
@@ -64,9 +64,9 @@ def _mix_sql() -> str:
         keys = ", ".join(here)
         among = f"partition by {', '.join(parents)}" if parents else ""
         joined = " and ".join(f"p.{c} is not distinct from c.{c}" for c in parents) or "true"
-        parent = f"b{k - 1}" if k else f"(select cast(floor(sum(tokens) * {MIX_SHARE}) as bigint) as b from leaves)"
+        parent = f"b{k - 1}" if k else f"(select cast(floor(sum(tokens) * {share}) as bigint) as b from leaves)"
         steps.append(f"""
-    c{k} as (select {keys}, cast(sum(tokens) * {MIX_EPOCHS} as hugeint) as c, cast({_sql_weight(level)} as hugeint) as w from leaves group by {keys} having sum(tokens) > 0),
+    c{k} as (select {keys}, cast(sum(tokens) * {epochs} as hugeint) as c, cast({_sql_weight(level)} as hugeint) as w from leaves group by {keys} having sum(tokens) > 0),
     j{k} as (select c.*, cast(p.b as hugeint) as b from c{k} c join {parent} p on {joined}),
     o{k} as (select *, coalesce(sum(c) over (o rows between unbounded preceding and 1 preceding), 0)::hugeint as c0, sum(w) over (o rows between current row and unbounded following)::hugeint as w1
       from j{k} window o as ({among} order by c::double / w::double, {here[-1]})),
@@ -82,7 +82,7 @@ def _mix_sql() -> str:
     leaves as (select {names}, sum(n_tokens)::bigint as tokens from docs group by {names}),{",".join(steps)},
     l as (select l.*, coalesce(b.b, 0)::bigint as budget, case when tokens > 0 then (coalesce(b.b, 0) // tokens)::bigint else 0 end as e from leaves l left join b{last} b on {match}),
     k as (select d.*, l.tokens, l.budget, l.e, l.budget - l.e * l.tokens as rest,
-        ('0x' || substr(md5(concat_ws(':', '{MIX_SEED}', (l.e + 1)::varchar, coalesce(d.doc_id::varchar, ''), d.mark)), 1, 12))::bigint as key from docs d join l on {back}),
+        ('0x' || substr(md5(concat_ws(':', '{seed}', (l.e + 1)::varchar, coalesce(d.doc_id::varchar, ''), d.mark)), 1, 12))::bigint as key from docs d join l on {back}),
     s as (select *, sum(n_tokens) over (partition by {names} order by key range between unbounded preceding and current row) as upto from k)
     select doc_id, domain, lang, source, n_tokens::bigint as n_tokens, tokens as leaf_tokens, budget as leaf_budget,
         (case when n_tokens > 0 then e + case when rest > 0 and upto <= rest then 1 else 0 end else 0 end)::bigint as n_copies from s"""
@@ -225,4 +225,4 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"op1_lm_scoring": op1_lm_scoring, "op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op4_topk_search": op4_topk_search, "op5_url_filter": op5_url_filter, "op6_jaccard_join": op6_jaccard_join, "op7_secret_scan": op7_secret_scan, "op8_embedding_dedup": op8_embedding_dedup, "op9_byte_bpe": op9_byte_bpe, "op10_source_mix": op10_source_mix}
-ORACLES: dict[str, str] = {"op4_topk_search": TOPK_SQL, "op8_embedding_dedup": DEDUP_SQL, "op6_jaccard_join": JACCARD_SQL, "op5_url_filter": _url_sql(), "op7_secret_scan": _secret_sql(), "op10_source_mix": _mix_sql()}
+ORACLES: dict[str, str] = {"op4_topk_search": TOPK_SQL, "op8_embedding_dedup": DEDUP_SQL, "op6_jaccard_join": JACCARD_SQL, "op5_url_filter": _url_sql(), "op7_secret_scan": _secret_sql(), "op10_source_mix": mix_sql()}
