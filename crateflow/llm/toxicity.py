@@ -7,7 +7,8 @@ A window's distance is its compressed length by the ordinary dictionary less tha
 largest, its three largest and its share of large distances go into a logistic curve, fitted on labelled texts that the
 dictionaries have not seen; its value is the score, and 0.5 the threshold it is calibrated to.
 
-The fit uses a bounded sample, SAMPLE texts of each label in the order of a hash, none over SAMPLE_CHARS characters;
+The fit uses a bounded sample, up to SAMPLE documents of each label in the order of a hash of the id, none over
+SAMPLE_CHARS characters;
 every text is scored whole.
 """
 
@@ -20,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, SAMPLE_CHARS = {1: 4000, 0: 8000}, 100_000
+SAMPLE, SAMPLE_CHARS = {1: 4000, 0: 8000}, 20_000
 WINDOW, BASE_BYTES, TOXIC_BYTES, LEVEL = 64, 1 << 15, 1 << 10, 3
 #: A distinctive word is in this share of the toxic texts (and in three at least), and this much rarer elsewhere.
 WORD_SHARE, WORD_LIFT = 0.03, 8.0
@@ -121,15 +122,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return w
 
 
-def learn(docs: DataFrame, label: str = "toxic", text: str = "text", fold: Column | None = None) -> ToxicityModel:
-    """Fits on a bounded sample of the rows whose label is 0 or 1 and whose text is not null.
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id") -> ToxicityModel:
+    """Fits on a bounded sample of the documents whose label is 0 or 1 and whose text is not null.
 
-    A quarter of the sample (by hash) calibrates. Without labels of both kinds the score is a constant.
+    labels has doc_id and the label. The sample's ids are drawn from the labels alone, so texts that are not in it
+    never move. A quarter of it (by hash) calibrates. Without labels of both kinds the score is a constant.
     """
-    known = docs.where(F.col(label).isin(0, 1) & F.col(text).isNotNull() & (F.length(text) <= SAMPLE_CHARS))
-    known = known.select(F.col(label).cast("int").alias("label"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    parts = {k: [(r["text"], r["h"] % 4 == 0) for r in known.where(F.col("label") == k).orderBy("h").limit(n).collect()] for k, n in SAMPLE.items()}
-    texts = {(k, c): [t for t, check in parts[k] if check == c] for k in parts for c in (True, False)}
+    order = F.xxhash64("__i")
+    known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__i"), F.col(label).cast("int").alias("__l"))
+    drawn = [known.where(F.col("__l") == k).orderBy(order, "__i").limit(n) for k, n in SAMPLE.items()]
+    fits = docs.where(F.length(text) <= SAMPLE_CHARS).select(F.col(doc_id).alias("__d"), F.col(text).alias("__t"))
+    rows = fits.join(F.broadcast(drawn[0].unionByName(drawn[1])), F.col("__d") == F.col("__i"))  # SAMPLE ids at most
+    parts: dict[int, list[tuple[int, str]]] = {k: [] for k in SAMPLE}
+    for r in rows.select("__l", order.alias("h"), "__t").collect():
+        parts[r["__l"]].append((r["h"], r["__t"]))
+    texts = {(k, c): [t for h, t in sorted(parts[k]) if (h % 4 == 0) == c] for k in parts for c in (True, False)}
     if not all(texts.values()):
         return ToxicityModel(b"", b"", (0.0,) * 4 + (_log_odds(len(parts[1]), len(parts[0])),), (1.0,) * 4)
     return fit(texts[1, False], texts[0, False], texts[1, True], texts[0, True])

@@ -13,11 +13,16 @@ def text(rnd, bad):
     return " ".join(words)
 
 
+def learn(spark, rows):
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, toxic int, text string")
+    return T.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     rnd = random.Random(1)
     rows = [(int(k % 5 == 0), text(rnd, k % 5 == 0)) for k in range(1500)] + [(None, "no label"), (1, None), (7, "other label")]
-    return T.learn(spark.createDataFrame(rows, "toxic int, text string"))
+    return learn(spark, rows)
 
 
 def test_windows_cover_all_words():
@@ -43,9 +48,9 @@ def test_edges(spark, model):
 
 
 def test_one_label_only(spark):
-    model = T.learn(spark.createDataFrame([(0, "fine text")], "toxic int, text string"))
+    model = learn(spark, [(0, "fine text")])
     assert T.score(spark.createDataFrame([("abc",)], "text string"), model).first().predicted == 0
-    assert T.score(spark.createDataFrame([("abc",)], "text string"), T.learn(spark.createDataFrame([], "toxic int, text string"))).first().predicted == 0
+    assert T.score(spark.createDataFrame([("abc",)], "text string"), learn(spark, [])).first().predicted == 0
 
 
 def test_query_on_held_out_rows(spark):
