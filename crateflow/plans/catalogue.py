@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crateflow.functions import numeric, status, text
-from crateflow.operators import aggregate, coverage, duplicates, jobs, resolve, rules, search, snapshots, upserts
+from crateflow.operators import aggregate, coverage, duplicates, jobs, lists, matching, resolve, rules, search, snapshots, upserts, work
 from crateflow.plans.binding import Library, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -440,3 +440,60 @@ def feature_upsert_keep(lib):
 def stage_rate_window(lib):
     rows = lib.raw("events").select(F.col("event_type").alias("stage"), F.col("ts").alias("at"), F.col("event_id").alias("done"))
     return aggregate.throughput(rows).select("stage", r6("per_minute").alias("per_minute"))
+
+
+@query("select (select count(*) from tracks) as tracks, (select count(*) from playlists) as playlists, (select count(*) from albums) as albums", "tracks", "playlists", "albums")
+def library_summary(lib):
+    return lists.library_summary(lib["tracks"], lib["playlists"], lib["albums"])
+
+
+@query("select track_id, string_agg(playlist_id::varchar, ',' order by name, playlist_id) as playlist_ids from (select distinct track_id, playlist_id, name from playlist_tracks join playlists using (playlist_id) where is_current) group by track_id", "playlist_tracks", "playlists")
+def playlists_of_tracks(lib):
+    return lists.playlists_of_tracks(lib["playlist_tracks"], lib["playlists"]).select("track_id", F.array_join(F.col("playlist_ids").cast("array<string>"), ",").alias("playlist_ids"))
+
+
+@query("select t.track_id, t.name, t.isrc, coalesce(min_by(a.name, position), 'Unknown') as artist from tracks t left join track_artists x using (track_id) left join artists a using (artist_id) group by all", "tracks", "track_artists", "artists")
+def track_context(lib):
+    return lists.track_context(lib["tracks"], lib["track_artists"], lib["artists"])
+
+
+@query("select track_id, case when bool_or(status in ('success', 'partial')) then 'success' when bool_or(status = 'model_missing') then 'model_missing' else 'missing' end as status from features group by track_id", "features")
+def status_rollup(lib):
+    return lists.status_rollup(lib["features"])
+
+
+@query("select item_id, stage, status from items where status not in ('success', 'failed', 'skipped', 'cancelled') order by stage, status, item_id limit 50", "items")
+def open_items(lib):
+    return lists.open_items(lib["items"]).select("item_id", "stage", "status")
+
+
+@query("""select t.track_id, coalesce(a.status, 'missing') as api, case when l.status = 'failed' then 'failed' when l.status in ('success', 'partial') and v.track_id is not null then 'success' when l.status in ('success', 'partial') or v.track_id is not null then 'partial' else 'missing' end as local_analysis, t.track_id % 2 = 0 as preview_available
+    from tracks t left join (select * from features where is_active and source = 'api') a using (track_id) left join (select * from features where is_active and source = 'local') l using (track_id) left join (select distinct track_id from segments where quality > 0.9 and match > 0.93 and key = 1) v using (track_id)""", "tracks", "features", "segments")
+def feature_status(lib):
+    t = lib["tracks"]
+    previews = t.select("track_id", F.lit("available").alias("status"), F.lit("u").alias("url"), F.when(F.col("track_id") % 2 == 0, 0.9).otherwise(0.1).alias("confidence"))
+    advanced = lib["segments"].where("quality > 0.9 and match > 0.93 and key = 1").select("track_id", F.lit("success").alias("status"))
+    return lists.feature_status(t, lib["features"], advanced, previews)
+
+
+@query("""select track_id, candidate_id, score from (select t.track_id, c.track_id as candidate_id, round(greatest(0, least(1, 0.45::double * (t.normalized_title = c.normalized_title)::int::double + 0.35::double + 0.20::double * case when abs(t.duration_ms - c.duration_ms) <= 3000 then 1.0::double
+    when abs(t.duration_ms - c.duration_ms) <= 10000 then 0.85::double when abs(t.duration_ms - c.duration_ms) <= 30000 then 0.6::double else greatest(0, 1 - abs(t.duration_ms - c.duration_ms) / t.duration_ms::double) end + case when upper(t.isrc) = upper(c.isrc) then 0.35::double else 0 end)), 4) as score,
+    coalesce(upper(t.isrc) = upper(c.isrc), false) as exact from (select * from tracks where track_id % 5 = 0) t join tracks c on t.album_id = c.album_id and t.track_id <> c.track_id) qualify row_number() over (partition by track_id order by exact desc, score desc, candidate_id) = 1""", "tracks")
+def preview_best_match(lib):
+    t = lib["tracks"]
+    title = F.regexp_replace("normalized_title", r"[^\p{L}\p{N}]", "")
+    mine = t.where("track_id % 5 = 0").select("track_id", "album_id", title.alias("title"), F.lit("a").alias("artist"), (F.col("duration_ms") / 1000).alias("duration_s"), "isrc")
+    other = t.select(F.col("track_id").alias("ordinal"), "album_id", title.alias("c_title"), F.lit("a").alias("c_artist"), (F.col("duration_ms") / 1000).alias("c_duration_s"), F.col("isrc").alias("c_isrc"), F.lit("u").alias("url"))
+    pairs = mine.join(other, "album_id").where("track_id <> ordinal")  # candidates share the album
+    return matching.best(matching.scored(pairs)).select("track_id", F.col("ordinal").alias("candidate_id"), "score")
+
+
+@query("select track_id from tracks where track_id not in (select track_id from liked) order by track_id limit 40", "tracks", "liked")
+def work_selection(lib):
+    return work.select_missing(lib["tracks"], lib["liked"], 40)
+
+
+@query("select job_id, arg_max(item_id, created_at) as item_id from items group by job_id", "items")
+def worker_heartbeats(lib):
+    beats = lib["items"].select(F.col("job_id").alias("worker_id"), F.col("created_at").alias("last_seen_at"), "item_id")
+    return jobs.heartbeats(beats).select(F.col("worker_id").alias("job_id"), "item_id")

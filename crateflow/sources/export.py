@@ -37,3 +37,12 @@ def copy_table(spark: SparkSession, source_url: str, target_url: str, table: str
     """Copies a table between databases by JDBC, replacing the target's rows."""
     rows = spark.read.format("jdbc").options(url=source_url, dbtable=table, **options).load()
     rows.write.format("jdbc").mode("overwrite").options(url=target_url, dbtable=table, truncate="true", batchsize=str(batch), **options).save()
+
+
+def snapshot_document(snapshot_id: str, liked: DataFrame, playlists: DataFrame, items: DataFrame) -> DataFrame:
+    """A JSON line per row of a snapshot: kind (liked, playlist, item) and document. Written as one folder, read back by kind."""
+    parts = []
+    for kind, rows in (("liked", liked), ("playlist", playlists), ("item", items)):
+        some = rows.where(F.col("snapshot_id") == snapshot_id)
+        parts.append(some.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*[c for c in rows.columns if c != "snapshot_id"])).alias("document")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
