@@ -74,7 +74,7 @@ def match_confidence(kind: Column) -> Column:
 
 
 #: How far a segment's origin is trusted.
-ORIGIN_WEIGHTS = {"preview": 0.95, "full": 1.0, "search": 0.70}
+ORIGIN_WEIGHTS = {"representative": 0.95, "three_segments": 1.0, "preview": 0.70}
 
 
 def origin_weight(origin: Column) -> Column:

@@ -15,24 +15,22 @@ def market_status(known: Column, restrictions: Column, playable: Column) -> Colu
     return F.when(~known, "missing").when(F.coalesce(restrictions, F.lit("")) != "", "unavailable").when(playable.isNull(), "unknown").when(playable, "available").otherwise("unavailable")
 
 
-def null_reason(track_known: Column, kind: Column, local: Column, playable: Column) -> Column:
-    """Why a playlist item has no track; the first that holds."""
-    return F.when(~track_known, "unknown").when(playable == F.lit(False), "unavailable").when(local, "local").when(kind == "episode", "episode")
+def null_reason(item_known: Column, track_known: Column, local: Column, kind: Column, id_: Column) -> Column:
+    """Why a playlist item has no track, null if it has one; the first that holds."""
+    return F.when(~item_known, "unknown").when(~track_known, "unavailable").when(local, "local").when(kind == "episode", "episode").when(F.coalesce(id_, F.lit("")) == "", "unavailable")
 
 
 def local_analysis(low_level: Column, advanced: Column) -> Column:
-    """failed before success of both, partial of either, missing."""
-    ok = [c.isin("success", "partial") for c in (low_level, advanced)]
-    ok = [F.coalesce(c, F.lit(False)) for c in ok]
-    failed = F.coalesce((low_level == "failed") | (advanced == "failed"), (low_level == "failed"), (advanced == "failed"), F.lit(False))
-    return F.when(failed, "failed").when(ok[0] & ok[1], "success").when(ok[0] | ok[1], "partial").otherwise("missing")
+    """A failed low-level analysis before success of both, partial of either, missing."""
+    ok = [F.coalesce(c.isin("success", "partial"), F.lit(False)) for c in (low_level, advanced)]
+    return F.when(low_level == "failed", "failed").when(ok[0] & ok[1], "success").when(ok[0] | ok[1], "partial").otherwise("missing")
 
 
 def job_label(status: Column) -> Column:
     return F.when(status == "queued", "pending").when(status == "succeeded", "success").otherwise(status)
 
 
-def audit_verdict(isrc_unresolvable: Column, mismatch: Column, fuzzy: Column, confidence: Column, least: float = 0.75) -> Column:
+def audit_verdict(isrc_unresolvable: Column, mismatch: Column, fuzzy: Column, confidence: Column, least: float = 0.60) -> Column:
     return F.when(isrc_unresolvable, "isrc_unresolvable").when(mismatch, "mismatch").when(fuzzy & (confidence < least), "low_confidence_fuzzy").otherwise("ok")
 
 

@@ -56,8 +56,8 @@ def text_match(a: Column, b: Column) -> Column:
 def duration_score(expected: Column, found: Column) -> Column:
     """1 within 3 seconds, .85 within 10, .6 within 30, then by the share of the expected length; .5 if unknown."""
     off = F.abs(expected - found)
-    late = F.when(expected > 0, F.greatest(F.lit(0.0), 1 - off / expected)).otherwise(F.lit(0.0))
-    return F.when(expected.isNull() | found.isNull(), 0.5).when(off <= 3, 1.0).when(off <= 10, 0.85).when(off <= 30, 0.6).otherwise(late)
+    late = F.greatest(F.lit(0.0), 1 - off / expected)
+    return F.when(expected.isNull() | found.isNull() | (expected <= 0), 0.5).when(off <= 3, 1.0).when(off <= 10, 0.85).when(off <= 30, 0.6).otherwise(late)
 
 
 #: Words in a title that tell another version, and how much each costs.
@@ -77,11 +77,11 @@ def same_isrc(a: Column, b: Column) -> Column:
 
 
 def preview_score(title: Column, artist: Column, duration: Column, isrc: Column, penalty: Column, url: Column) -> tuple[Column, Column]:
-    """(score, confidence) of a candidate from its part scores; isrc is boolean."""
+    """(score, confidence) of a candidate from its part scores; isrc is boolean, and with a url it decides alone."""
     raw = 0.45 * title + 0.35 * artist + 0.20 * duration + F.when(isrc, 0.35).otherwise(0.0) - penalty
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 4)
-    weak = (title < 0.3) | (artist < 0.3)
-    return score, F.when(url.isNull() | (url == ""), 0.0).when(weak & ~isrc, F.round(score * 0.5, 4)).otherwise(score)
+    held, linked = F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), F.coalesce(url, F.lit("")) != ""
+    sure = F.when((title < 0.3) | (artist < 0.3), held * 0.5).otherwise(held)
+    return F.when(isrc & linked, 1.0).otherwise(F.round(held, 4)), F.when(~linked, 0.0).when(isrc, 1.0).otherwise(F.round(sure, 4))
 
 
 def download_score(text: Column, expected: Column, found: Column, most_off: float = 15.0) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Width of a duration bucket, and how sure each strategy is.
 BUCKET_MS = 3000
-CONFIDENCE = {"isrc": 1.0, "title_artist": 0.8, "title_artist_duration": 0.9}
+CONFIDENCE = {"isrc": 1.0, "title_artist": 0.85, "title_artist_duration": 0.85}
 STRATEGIES = tuple(CONFIDENCE)
 
 

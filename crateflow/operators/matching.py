@@ -62,7 +62,7 @@ def request_batches(ids: DataFrame, size: int = 40) -> DataFrame:
     return part.withColumn("__b", F.floor(place / size)).groupBy("__p", "__b").agg(F.array_sort(F.collect_list("request_id")).alias("request_ids")).select("request_ids")
 
 
-def audited(previews: DataFrame, least: float = 0.75) -> DataFrame:
+def audited(previews: DataFrame, least: float = AVAILABLE_FROM) -> DataFrame:
     """Adds the verdict and whether it asks for a remedy. previews: isrc_unresolvable, mismatch, fuzzy, confidence."""
     verdict = status.audit_verdict(F.col("isrc_unresolvable"), F.col("mismatch"), F.col("fuzzy"), F.col("confidence"), least)
     return previews.withColumn("verdict", verdict).withColumn("needs_remedy", F.col("verdict").isin("mismatch", "low_confidence_fuzzy"))

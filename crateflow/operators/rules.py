@@ -20,11 +20,21 @@ MOST_TRACKS = 500
 #: Reason codes of range failures. Features without their own report one of two others.
 RANGE_REASONS = {
     "bpm": "BPM_OUT_OF_RANGE", "energy": "ENERGY_OUT_OF_RANGE", "valence": "VALENCE_OUT_OF_RANGE", "danceability": "DANCEABILITY_OUT_OF_RANGE",
-    "loudness": "DANCEABILITY_OUT_OF_RANGE", "feature_confidence": "FEATURE_CONFIDENCE_TOO_LOW",
+    "loudness": "DANCEABILITY_OUT_OF_RANGE", "feature_confidence": "FEATURE_LOW_CONFIDENCE",
 }
 OTHER_RANGE = "BPM_OUT_OF_RANGE"
 
 
+#: Components that are constants, and those that depend on a boolean column (value if true, if not).
+DERIVED = {"playlist_fit_score": 0.5, "diversity_bonus": 0.1}
+DERIVED_BY = {"freshness_score": ("liked", 0.5, 0.3), "preview_bonus": ("preview_available", 0.05, 0.0)}
+#: Other names of features.
+ALIASES = {
+    "tempo": "bpm", "genre_discogs519": "genre_discogs_519", "mood_electronic": "electronic_profile_score", "mood_acoustic": "acoustic_profile_score",
+    "acoustic": "acoustic_profile_score", "instrumental": "instrumental_focus_score", "valence_local": "valence_tf", "danceability_local": "danceability_tf",
+}
+
+
 @dataclass(frozen=True)
 class FeatureFilter:
     feature: str
@@ -55,8 +65,9 @@ class Rule:
 
 
 def parse(document: Mapping[str, Any]) -> Rule:
-    """A rule from its document; unknown keys fail."""
-    return Rule(**{**document, "filters": [FeatureFilter(**f) for f in document.get("filters", ())]})
+    """A rule from its document; unknown keys fail, other names of features become their own."""
+    filters = [FeatureFilter(**{**f, "feature": ALIASES.get(f["feature"], f["feature"])}) for f in document.get("filters", ())]
+    return Rule(**{**document, "filters": filters, "weights": {ALIASES.get(k, k): v for k, v in document.get("weights", {}).items()}})
 
 
 def override(document: Mapping[str, Any], changes: Mapping[str, Any]) -> dict[str, Any]:
@@ -99,14 +110,14 @@ def reasons(rule: Rule) -> Column:
     parts: list[Column] = []
     for f in rule.filters:
         value, status = F.col(f.feature), F.col(f"{f.feature}_status")
-        absent = value.isNull() | status.isin("missing", "source_failed", "not_available_yet")
+        absent = status.isNull() | status.isin("missing", "source_failed", "not_available_yet")
         code = F.when(status.isNull(), "FEATURE_MISSING").otherwise("FEATURE_NOT_AVAILABLE_YET") if f.required else F.lit(None).cast("string")
         outside = F.lit(None).cast("string")
         if f.high is not None:
             outside = F.when(value > f.high, RANGE_REASONS.get(f.feature, OTHER_RANGE))
         if f.low is not None:
             outside = F.when(value < f.low, RANGE_REASONS.get(f.feature, OTHER_RANGE)).otherwise(outside)
-        unsure = F.when(status == "low_confidence", "LOW_CONFIDENCE") if f.required else F.lit(None).cast("string")
+        unsure = F.when(status == "low_confidence", "FEATURE_LOW_CONFIDENCE").when(value.isNull(), "FEATURE_MISSING") if f.required else F.lit(None).cast("string")
         parts.append(F.when(absent, code).otherwise(F.coalesce(unsure, outside)))
     if rule.availability:
         parts.append(F.when(~F.coalesce(F.col("availability").isin(*rule.availability), F.lit(False)), "AVAILABILITY_NOT_ALLOWED"))
@@ -119,6 +130,11 @@ def score(rule: Rule) -> Column:
     """Weighted mean of the usable components, their weights renormalised; null if none is usable."""
     total, weights, usable = F.lit(0.0), F.lit(0.0), F.lit(0)
     for name, weight in rule.weights.items():
+        if name in DERIVED or name in DERIVED_BY:
+            flag, yes, no = DERIVED_BY.get(name, (None, 0.0, DERIVED.get(name, 0.0)))
+            value = F.lit(no) if flag is None else F.when(F.coalesce(F.col(flag), F.lit(False)), yes).otherwise(no)
+            total, weights, usable = total + value * weight, weights + F.lit(float(weight)), usable + F.lit(1)
+            continue
         low, high = rule.ranges.get(name, (None, None))
         fine = F.col(name).isNotNull() & ~F.coalesce(F.col(f"{name}_status").isin("missing", "low_confidence", "source_failed", "not_available_yet"), F.lit(True))
         value = min_max(F.col(name).cast("double"), F.lit(low).cast("double"), F.lit(high).cast("double"))

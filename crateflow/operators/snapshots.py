@@ -44,12 +44,12 @@ def latest_two(snapshots: DataFrame) -> DataFrame:
     return snapshots.orderBy(F.desc("created_at"), F.desc("snapshot_id")).limit(2).withColumn("previous_id", F.lead("snapshot_id").over(order)).orderBy(F.desc("created_at"), F.desc("snapshot_id")).limit(1).select("snapshot_id", "previous_id")
 
 
-def status_of(branch: Column, was_liked: Column, is_liked: Column, playable: Column, relinked: Column) -> Column:
-    """The first status that applies."""
+def status_of(empty: Column, before: Column, after: Column, now: Column, playable: Column, relinked: Column) -> Column:
+    """The first status that applies. before, after, now: whether the track was liked in either snapshot and is today."""
     return (
-        F.when(branch == "null_item", "null_playlist_track")
-        .when(was_liked & ~is_liked, "removed_from_liked")
-        .when((branch == "removed") & ~is_liked, "missing_from_current_import")
+        F.when(empty, "null_playlist_track")
+        .when(before & ~after, "removed_from_liked")
+        .when(after & ~now, "missing_from_current_import")
         .when(playable == F.lit(False), "unavailable")
         .when(relinked, "possibly_relinked")
     )
@@ -63,16 +63,17 @@ def classify(liked_before: DataFrame, liked_after: DataFrame, items_before: Data
     """
     diff = set_diff(liked_before, liked_after)
     none = [F.lit(None).cast("long").alias("playlist_id"), F.lit(None).cast("int").alias("position")]
-    likes = diff.select("track_id", *none, F.col("change").alias("branch"), F.when(F.col("change") == "removed", 0).otherwise(1).alias("turn"))
+    branches = diff.select("track_id", *none, F.col("change").alias("branch"), F.when(F.col("change") == "removed", 0).otherwise(1).alias("turn"))
     old = items_before.select("playlist_id", "position", F.col("track_id").alias("old"), F.lit(True).alias("had"))
     items = items_after.join(old, ["playlist_id", "position"], "left")
     moved = items.where(F.col("track_id").isNull() | F.col("had").isNull() | ~F.col("track_id").eqNullSafe(F.col("old")))
     changed = moved.select("track_id", "playlist_id", "position", F.when(F.col("track_id").isNull(), "null_item").otherwise("item").alias("branch"), F.lit(2).alias("turn"))
-    rows = likes.unionByName(changed)
-    rows = rows.join(liked_before.select("track_id", F.lit(True).alias("was")).distinct(), "track_id", "left").join(liked_now.select("track_id", F.lit(True).alias("now")).distinct(), "track_id", "left")
+    rows = branches.unionByName(changed)
+    for name, likes in (("before", liked_before), ("after", liked_after), ("now", liked_now)):
+        rows = rows.join(likes.select("track_id", F.lit(True).alias(name)).distinct(), "track_id", "left")
     rows = rows.join(tracks.select("track_id", "is_playable", "linked_from"), "track_id", "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    rows = rows.withColumn("status", status_of(F.col("branch"), yes("was"), yes("now"), F.col("is_playable"), F.col("linked_from").isNotNull())).where("status is not null")
+    rows = rows.withColumn("status", status_of(F.col("branch") == "null_item", yes("before"), yes("after"), yes("now"), F.col("is_playable"), F.col("linked_from").isNotNull())).where("status is not null")
     first = F.row_number().over(Window.partitionBy("track_id", "playlist_id", "position").orderBy("turn"))
     return rows.withColumn("n", first).where("n = 1").select("track_id", "playlist_id", "position", "status")
 

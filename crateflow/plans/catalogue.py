@@ -247,8 +247,8 @@ _CANDIDATES = """cand as (select track_id from (select track_id from liked where
 _WIDE = f""", {_resolved_sql("bpm", "v >= 0")}, {_resolved_sql("energy", "v between 0 and 1")}, {_resolved_sql("valence", "v between 0 and 1")}, {_CANDIDATES},
     w as (select t.*, x.artist_id, bpm, bpm_status, energy, energy_status, valence, valence_status from tracks t left join r_bpm using (track_id) left join r_energy using (track_id) left join r_valence using (track_id)
       left join track_artists x on x.track_id = t.track_id and x.position = 0),
-    why as (select *, list_filter([case when bpm is null or bpm_status in ('missing') then null when bpm < 70 then 'BPM_OUT_OF_RANGE' when bpm > 150 then 'BPM_OUT_OF_RANGE' end,
-        case when energy is null or energy_status in ('missing') then case when energy_status is null then 'FEATURE_MISSING' else 'FEATURE_NOT_AVAILABLE_YET' end when energy_status = 'low_confidence' then 'LOW_CONFIDENCE' when energy < 0.1 then 'ENERGY_OUT_OF_RANGE' end], lambda x: x is not null) as reasons,
+    why as (select *, list_filter([case when bpm_status is null or bpm_status = 'missing' then null when bpm < 70 then 'BPM_OUT_OF_RANGE' when bpm > 150 then 'BPM_OUT_OF_RANGE' end,
+        case when energy_status is null or energy_status = 'missing' then case when energy_status is null then 'FEATURE_MISSING' else 'FEATURE_NOT_AVAILABLE_YET' end when energy_status = 'low_confidence' then 'FEATURE_LOW_CONFIDENCE' when energy < 0.1 then 'ENERGY_OUT_OF_RANGE' end], lambda x: x is not null) as reasons,
       coalesce(bpm_status = 'available', false) as ub, coalesce(energy_status = 'available', false) as ue, coalesce(valence_status = 'available', false) as uv from w),
     sc as (select *, case when ub or ue or uv then greatest(0, least(1, (case when ub then greatest(0, least(1, (bpm - 60) / 100)) * 0.5::double else 0 end + case when ue then energy * 0.3::double else 0 end + case when uv then valence * 0.2::double else 0 end)
       / (case when ub then 0.5::double else 0 end + case when ue then 0.3::double else 0 end + case when uv then 0.2::double else 0 end))) end as score from why)"""
@@ -318,7 +318,7 @@ def snapshot_playlist_changed(lib):
 @query(_ITEMS + """, lb as (select track_id from tracks where track_id % 2 = 0), la as (select track_id from tracks where track_id % 3 = 0), ln as (select track_id from tracks where track_id % 11 <> 0),
     d as (select track_id, null::bigint as playlist_id, null::int as position, 'removed' as branch, 0 as turn from lb where track_id not in (select track_id from la) union all select track_id, null, null, 'added', 1 from la where track_id not in (select track_id from lb)
       union all select a.track_id, a.playlist_id, a.position::int, case when a.track_id is null then 'null_item' else 'item' end, 2 from ia a left join ib b using (playlist_id, position) where a.track_id is null or b.playlist_id is null or a.track_id is distinct from b.track_id),
-    s as (select d.*, case when branch = 'null_item' then 'null_playlist_track' when d.track_id in (select track_id from lb) and d.track_id not in (select track_id from ln) then 'removed_from_liked' when branch = 'removed' and d.track_id not in (select track_id from ln) then 'missing_from_current_import'
+    s as (select d.*, case when branch = 'null_item' then 'null_playlist_track' when d.track_id in (select track_id from lb) and d.track_id not in (select track_id from la) then 'removed_from_liked' when d.track_id in (select track_id from la) and d.track_id not in (select track_id from ln) then 'missing_from_current_import'
       when is_playable = false then 'unavailable' when linked_from is not null then 'possibly_relinked' end as status from d left join tracks t on t.track_id = d.track_id)
     select track_id, playlist_id, position, status from s where status is not null qualify row_number() over (partition by track_id, playlist_id, position order by turn) = 1""", "tracks", "playlist_tracks")
 def snapshot_status_first(lib):
@@ -414,8 +414,8 @@ def market_status_case(lib):
     return lib["tracks"].select("track_id", status.availability(F.col("is_playable"), F.col("market_status")).alias("availability"))
 
 
-@query("""select track_id, segment, case when d < 75 then round((d - least(30, d)) / 2, 3) else round(greatest(0, least(d - 30, d * z / 2 - 15)), 3) end + 0.0 as start_s, case when d < 75 then round(least(30, d), 3) else 30 end + 0.0 as length_s
-    from (select track_id, duration_ms / 1000.0::double as d from tracks), (values ('A', 0.35::double), ('B', 1.05::double), ('C', 1.55::double)) v(segment, z) where d > 0 and (d >= 75 or segment = 'B')""", "tracks")
+@query("""select track_id, segment, case when d < 2.5 * s then round((d - s) / 2, 3) else round(least(d * z, d - s), 3) end + 0.0 as start_s, round(s, 3) + 0.0 as length_s
+    from (select track_id, duration_ms / 1000.0::double as d, least(15.0::double, duration_ms / 1000.0::double) as s from tracks), (values ('A', 0.10::double), ('B', 0.45::double), ('C', 0.70::double)) v(segment, z) where d > 0 and (d >= 2.5 * s or segment = 'A')""", "tracks")
 def segment_plan_explode(lib):
     from crateflow.sources.ingest import plan_segments
 
@@ -477,7 +477,7 @@ def feature_status(lib):
 
 
 @query("""select track_id, candidate_id, score from (select t.track_id, c.track_id as candidate_id, round(greatest(0, least(1, 0.45::double * (t.normalized_title = c.normalized_title)::int::double + 0.35::double + 0.20::double * case when abs(t.duration_ms - c.duration_ms) <= 3000 then 1.0::double
-    when abs(t.duration_ms - c.duration_ms) <= 10000 then 0.85::double when abs(t.duration_ms - c.duration_ms) <= 30000 then 0.6::double else greatest(0, 1 - abs(t.duration_ms - c.duration_ms) / t.duration_ms::double) end + case when upper(t.isrc) = upper(c.isrc) then 0.35::double else 0 end)), 4) as score,
+    when abs(t.duration_ms - c.duration_ms) <= 10000 then 0.85::double when abs(t.duration_ms - c.duration_ms) <= 30000 then 0.6::double else greatest(0, 1 - abs(t.duration_ms - c.duration_ms) / t.duration_ms::double) end + case when upper(t.isrc) = upper(c.isrc) then 0.35::double else 0 end)), 4) as s0, case when upper(t.isrc) = upper(c.isrc) then 1.0::double else s0 end as score,
     coalesce(upper(t.isrc) = upper(c.isrc), false) as exact from (select * from tracks where track_id % 5 = 0) t join tracks c on t.album_id = c.album_id and t.track_id <> c.track_id) qualify row_number() over (partition by track_id order by exact desc, score desc, candidate_id) = 1""", "tracks")
 def preview_best_match(lib):
     t = lib["tracks"]

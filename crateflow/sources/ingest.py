@@ -82,15 +82,48 @@ def analysis_documents(documents: DataFrame, column: str = "value") -> DataFrame
     )
 
 
-def plan_segments(tracks: DataFrame, seconds: float = 30.0) -> DataFrame:
-    """Three segments within fixed zones of a track; one in the middle if the track is shorter than 2.5 of them.
+#: Lengths of segments, and the zones of a track in which three of them begin.
+SEGMENT_SECONDS, MOST_SECONDS = 15.0, 30.0
+ZONES = {"A": 0.10, "B": 0.45, "C": 0.70}
 
-    tracks: track_id, duration_s. Adds segment (A, B, C), start_s and length_s, rounded to a millisecond.
+
+def plan_segments(tracks: DataFrame, seconds: float = SEGMENT_SECONDS) -> DataFrame:
+    """Three segments at the zones' starts; one in the middle if the track is shorter than 2.5 of them.
+
+    tracks: track_id, duration_s. Adds segment, start_s and length_s, rounded to a millisecond.
     """
-    d, s = F.col("duration_s"), F.lit(seconds)
-    zones = {"A": (0.10, 0.25), "B": (0.45, 0.60), "C": (0.70, 0.85)}  # fixed values
-    start = {n: F.greatest(F.lit(0.0), F.least(d - s, d * (lo + hi) / 2 - s / 2)) for n, (lo, hi) in zones.items()}
-    three = F.array(*[F.struct(F.lit(n).alias("segment"), F.round(x, 3).alias("start_s"), s.alias("length_s")) for n, x in start.items()])
-    length = F.least(s, d)
-    one = F.array(F.struct(F.lit("B").alias("segment"), F.round((d - length) / 2, 3).alias("start_s"), F.round(length, 3).alias("length_s")))
+    d = F.col("duration_s")
+    s = F.least(F.lit(min(seconds, MOST_SECONDS)), d)
+    three = F.array(*[F.struct(F.lit(n).alias("segment"), F.round(F.least(d * at, d - s), 3).alias("start_s"), F.round(s, 3).alias("length_s")) for n, at in ZONES.items()])
+    one = F.array(F.struct(F.lit("A").alias("segment"), F.round((d - s) / 2, 3).alias("start_s"), F.round(s, 3).alias("length_s")))
     return tracks.where(d > 0).select("track_id", F.explode(F.when(d < 2.5 * s, one).otherwise(three)).alias("p")).select("track_id", "p.*")
+
+
+def plan_by_availability(tracks: DataFrame, precise: bool = False, seconds: float = SEGMENT_SECONDS) -> DataFrame:
+    """Segments by what can be had: a preview, a search result, both or neither.
+
+    tracks: track_id, duration_s, has_preview, has_search. Adds decision and, per segment, source, segment, start_s and
+    length_s; a track with nothing to be had has one row without a segment. Fast plans take a preview whole, whatever length
+    is asked for.
+    """
+    d, preview, search = F.col("duration_s"), F.col("has_preview"), F.col("has_search")
+    s = F.least(F.lit(min(seconds, MOST_SECONDS)), d)
+
+    def part(source: str, name: str, start: Column, length: Column) -> Column:
+        return F.struct(F.lit(source).alias("source"), F.lit(name).alias("segment"), F.round(start, 3).alias("start_s"), F.round(length, 3).alias("length_s"))
+
+    def centred(name: str, share: float) -> Column:
+        start = F.greatest(F.lit(0.0), F.least(d, F.greatest(F.lit(0.0), d * share - s / 2) + s) - s)
+        return part("search", name, start, s)
+
+    def whole(length: Column) -> Column:
+        return part("preview", "preview", F.lit(0.0), length)
+
+    full = F.lit(MOST_SECONDS)
+    if precise:
+        plan = F.when(preview & search, F.array(whole(s), centred("1/3", 1 / 3), centred("2/3", 2 / 3))).when(search, F.array(centred("1/4", 0.25), centred("1/2", 0.5), centred("3/4", 0.75))).when(preview, F.array(whole(s)))
+        decision = F.when(preview & search, "preview_and_two").when(search, "three_segments").when(preview, "preview_only").otherwise("unavailable")
+    else:
+        plan = F.when(preview, F.array(whole(full))).when(search, F.array(centred("1/2", 0.5)))
+        decision = F.when(preview, "preview_only").when(search, "one_segment").otherwise("unavailable")
+    return tracks.where(d > 0).select("track_id", decision.alias("decision"), F.explode_outer(plan).alias("p")).select("track_id", "decision", "p.*")

@@ -44,8 +44,8 @@ def test_numbers(spark):
 def test_states(spark):
     t, n = F.lit(True), F.lit(None)
     r = one(
-        spark, a=status.availability(n.cast("boolean"), F.lit("restricted")), b=status.market_status(t, F.lit("x"), t), c=status.null_reason(t, F.lit("episode"), F.lit(False), t), d=status.local_analysis(F.lit("success"), n.cast("string")),
-        e=status.json_number(F.lit("{bad"), "$.k"), f=status.audit_verdict(F.lit(False), F.lit(False), t, F.lit(0.6)),
+        spark, a=status.availability(n.cast("boolean"), F.lit("restricted")), b=status.market_status(t, F.lit("x"), t), c=status.null_reason(t, t, F.lit(False), F.lit("episode"), F.lit("x")), d=status.local_analysis(F.lit("success"), n.cast("string")),
+        e=status.json_number(F.lit("{bad"), "$.k"), f=status.audit_verdict(F.lit(False), F.lit(False), t, F.lit(0.5)),
     )
     assert (r.a, r.b, r.c, r.d, r.e, r.f) == ("restricted", "unavailable", "episode", "partial", None, "low_confidence_fuzzy")
 
@@ -138,8 +138,8 @@ def test_snapshots(spark):
     items = lambda *x: spark.createDataFrame(list(x), "playlist_id long, position int, track_id long")
     tracks = spark.createDataFrame([(1, True, None), (2, True, None), (3, False, None), (4, True, 9)], "track_id long, is_playable boolean, linked_from long")
     got = snapshots.classify(likes(1), likes(2), items((1, 0, None)), items((1, 0, None), (1, 1, 3), (1, 2, 4)), likes(), tracks)
-    assert {(r.track_id, r.position, r.status) for r in got.collect()} == {(1, None, "removed_from_liked"), (None, 0, "null_playlist_track"), (3, 1, "unavailable"), (4, 2, "possibly_relinked")}
-    assert {r.status: r.n for r in snapshots.status_counts(got).collect()}["missing_from_current_import"] == 0
+    assert {(r.track_id, r.position, r.status) for r in got.collect()} == {(1, None, "removed_from_liked"), (2, None, "missing_from_current_import"), (None, 0, "null_playlist_track"), (3, 1, "unavailable"), (4, 2, "possibly_relinked")}
+    assert {r.status: r.n for r in snapshots.status_counts(got).collect()}["missing_from_current_import"] == 1
 
 
 def items_frame(spark, rows):
@@ -205,7 +205,7 @@ def test_analysis_documents(spark):
 def test_segment_plan(spark):
     df = spark.createDataFrame([(1, 200.0), (2, 40.0), (3, 20.0)], "track_id long, duration_s double")
     got = {(r.track_id, r.segment): (r.start_s, r.length_s) for r in ingest.plan_segments(df).collect()}
-    assert got[(1, "A")] == (20.0, 30.0) and got[(2, "B")] == (5.0, 30.0) and got[(3, "B")] == (0.0, 20.0) and len(got) == 5
+    assert got[(1, "A")] == (20.0, 15.0) and got[(1, "C")] == (140.0, 15.0) and got[(2, "B")] == (18.0, 15.0) and got[(3, "A")] == (2.5, 15.0) and len(got) == 7
 
 
 def test_exports(spark, tmp_path):
@@ -218,3 +218,11 @@ def test_exports(spark, tmp_path):
     items = spark.createDataFrame([(1, 1, None), (1, 0, 1)], "playlist_id long, position int, track_id long")
     nested = export.playlists_nested(export.playlist_rows(spark.createDataFrame([(1, "P")], "playlist_id long, name string"), items, tracks)).first()
     assert [i.name for i in nested["items"]] == ["A", ""]
+
+
+def test_plans_by_availability(spark):
+    df = spark.createDataFrame([(1, 200.0, True, True), (2, 200.0, False, True), (3, 10.0, True, False), (4, 9.0, False, False)], "track_id long, duration_s double, has_preview boolean, has_search boolean")
+    fast = {r.track_id: (r.decision, r.start_s, r.length_s) for r in ingest.plan_by_availability(df).collect()}
+    assert fast == {1: ("preview_only", 0.0, 30.0), 2: ("one_segment", 92.5, 15.0), 3: ("preview_only", 0.0, 30.0), 4: ("unavailable", None, None)}
+    precise = sorted((r.track_id, r.segment or "", r.start_s) for r in ingest.plan_by_availability(df, precise=True).collect())
+    assert precise == [(1, "1/3", 59.167), (1, "2/3", 125.833), (1, "preview", 0.0), (2, "1/2", 92.5), (2, "1/4", 42.5), (2, "3/4", 142.5), (3, "preview", 0.0), (4, "", None)]
