@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from crateflow.llm.runtime import KeyCounts, durable, runs, text_blocks
 
 #: Bytes of context. With HOT a power of two each broadcast table has 16 * HOT to 32 * HOT bytes.
-DEPTH, HOT = 5, 1 << 19
+DEPTH, HOT = 5, 1 << 18
 #: Bytes that UTF-8 never has: what stands before a text, and its end.
 PAD, END = 0xFE, 0xFF
 _TOKEN = 1 << 61
@@ -320,8 +320,9 @@ def score(docs: DataFrame, trains: Column, text: str = "text", doc_id: str = "do
     base = F.log10((F.col("n_train") + 0.5) / F.lit(float(spread)))
     values = weigh(windows, depth).withColumn("known", F.lit(False))
     model = durable(tokens.select("key", base.alias("value"), (F.col("n_train") > 0).alias("known")).unionByName(values))
-    frequent = model.join(counts.where(_hot(counts, hot)).select("key"), "key", "left_semi").toPandas()
-    table = docs.sparkSession.sparkContext.broadcast(tuple(frequent[c].to_numpy(t) for c, t in (("key", np.int64), ("value", float), ("known", bool))))
+    frequent = model.join(counts.where(_hot(counts, hot)).select("key"), "key", "left_semi").toArrow()
+    table = docs.sparkSession.sparkContext.broadcast(tuple(frequent[c].to_numpy() for c in ("key", "value", "known")))
+    del frequent
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
