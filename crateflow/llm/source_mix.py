@@ -14,6 +14,7 @@ All is integer arithmetic; each node loses less than one token per child to roun
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -70,12 +71,13 @@ def budgets(sized: DataFrame, levels: Sequence[Level], total: int | float, max_e
     keys, weights = _node(levels, depth), [f"__w{k}" for k in range(depth)]
     leaves = durable(sized.groupBy(*keys).agg(F.sum("tokens").alias("tokens"), *[F.max(w).alias(w) for w in weights]))
     capacity = F.col("tokens") * F.lit(max_epochs)
-    root = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all"))
-    dealt = root.select((F.floor(F.col("all") * F.lit(total)) if isinstance(total, float) else F.lit(total)).cast("long").alias("__b"))
+    whole = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
+    dealt: DataFrame | None = None
     for k in range(depth):
         parents, here = keys[:k], keys[: k + 1]
         children = leaves.groupBy(*here).agg(F.sum(capacity).alias("c"), F.max(weights[k]).alias("w")).where("w > 0 and c > 0")
-        children = children.join(dealt, parents) if parents else children.join(F.broadcast(dealt), F.lit(True))
+        root = F.lit(math.floor(whole * total) if isinstance(total, float) else total).cast("long")
+        children = children.join(dealt, parents) if parents else children.withColumn("__b", root)
         order = Window.partitionBy(*parents).orderBy(F.expr("double(c) / double(w)"), keys[k])
         among = Window.partitionBy(*parents)
         before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
