@@ -37,7 +37,11 @@ def tokens(c: Column) -> Column:
 
 def token_overlap(a: Column, b: Column) -> Column:
     """Shared tokens over the larger token set; 0 if either is empty."""
-    x, y = tokens(a), tokens(b)
+    return shared(tokens(a), tokens(b))
+
+
+def shared(x: Column, y: Column) -> Column:
+    """token_overlap() of two token sets."""
     return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y))).otherwise(F.lit(0.0))
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crateflow.functions import status, text
 
 AVAILABLE_FROM = 0.60
+#: Groups of up to so many distinct titles and durations are paired whole.
+PAIRED = 64
 
 
 def scored(pairs: DataFrame) -> DataFrame:
@@ -33,6 +37,112 @@ def best(candidates: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(fine, "available").otherwise("not_found"))
 
 
+class _Range:
+    """The two smallest ordinals of any range of rows in order of duration, by a table of least positions."""
+
+    def __init__(self, duration: np.ndarray, ordinal: np.ndarray):
+        at = np.lexsort((ordinal, duration))
+        self.duration, self.ordinal, self.at = duration[at], ordinal[at], at
+        self.levels = [np.arange(len(at))]
+        while len(self.levels[-1]) > 1 << len(self.levels) - 1:
+            low, step = self.levels[-1], 1 << len(self.levels) - 1
+            a, b = low[:-step], low[step:]
+            self.levels.append(np.where(self.ordinal[a] <= self.ordinal[b], a, b))
+
+    def _least(self, lo: int, hi: int) -> int:
+        level = (hi - lo).bit_length() - 1
+        a, b = self.levels[level][lo], self.levels[level][hi - (1 << level)]
+        return int(a if self.ordinal[a] <= self.ordinal[b] else b)
+
+    def two(self, lo: int, hi: int) -> list[int]:
+        if lo >= hi:
+            return []
+        p = self._least(lo, hi)
+        rest = [self._least(*r) for r in ((lo, p), (p + 1, hi)) if r[0] < r[1]]
+        return [p, min(rest, key=self.ordinal.__getitem__)] if rest else [p]
+
+    def near(self, d: float) -> set[int]:
+        """Rows among which are the two first by duration_score() against d, then by ordinal, however scores are rounded."""
+        find = self.duration.searchsorted
+        bounds = [(find(d - w, "left"), find(d + w, "right")) for w in (3_000, 10_000, 30_000)]
+        found = {p for lo, hi in [*bounds, (0, len(self.at))] for p in self.two(int(lo), int(hi))}
+        if bounds[0][1] - bounds[0][0] >= 2 and d < 60_000_000:
+            return found
+        zero_lo, zero_hi = int(find(0, "right")), int(find(2 * d, "left"))  # outside the score is 0
+        found.update(self.two(0, min(zero_lo, int(bounds[2][0]))), self.two(max(zero_hi, int(bounds[2][1])), len(self.at)))
+        alike = d * 0.0006 + 1  # durations that far apart differ by more than a rounded score
+        at, end, n = int(bounds[2][1]), zero_hi, 0
+        while at < end and n < 2:
+            after = min(end, int(find(self.duration[at] + alike, "right")))
+            found.update(range(at, after))
+            at, n = after, n + after - at
+        at, end, n = int(bounds[2][0]), zero_lo, 0
+        while at > end and n < 2:
+            before = max(end, int(find(self.duration[at - 1] - alike, "left")))
+            found.update(range(before, at))
+            at, n = before, n + at - before
+        return found
+
+
+def _near_in_group(points: pd.DataFrame) -> pd.DataFrame:
+    """Candidates of each distinct (title, duration_ms) of a group. points: grp, title, key, penalty, duration_ms, ordinal."""
+    whole: dict[tuple, list[tuple[_Range, bool, np.ndarray]]] = {}
+    for by in (["penalty"], ["key", "penalty"]):
+        for k, part in points.groupby(by, sort=False):
+            for some in (part[part["duration_ms"].notna()], part[part["duration_ms"].isna()]):
+                if len(some):
+                    ranges = _Range(some["duration_ms"].fillna(0).to_numpy(float), some["ordinal"].to_numpy())
+                    whole.setdefault(k[:-1], []).append((ranges, some["duration_ms"].isna().iloc[0], some.index.to_numpy()))
+    mine, theirs = [], []
+    distinct = points.drop_duplicates(["title", "duration_ms"])
+    for i, key, d in zip(distinct.index, distinct["key"], distinct["duration_ms"], strict=True):
+        for ranges, blank, index in [*whole[()], *whole[(key,)]]:
+            found = ranges.near(float(d)) if d > 0 and not blank else ranges.two(0, len(index))
+            theirs += index[ranges.at[sorted(found)]].tolist()
+        mine += [i] * (len(theirs) - len(mine))
+    a, b = points.loc[mine].reset_index(drop=True), points.loc[theirs].reset_index(drop=True)
+    out = pd.DataFrame({"grp": a["grp"], "title": a["title"], "duration_ms": a["duration_ms"], "ordinal": b["ordinal"], "key": a["key"], "c_key": b["key"], "penalty": b["penalty"], "c_ms": b["duration_ms"]})
+    return out.drop_duplicates()
+
+
+def best_in_group(tracks: DataFrame) -> DataFrame:
+    """best() for every track among all others of its group, without the pairs of the group.
+
+    tracks: track_id, grp, title (one token), duration_ms, isrc; artists agree within a group, all have a url. Tracks with
+    the ISRC come by a join, of each ISRC the two smallest ids. Without one, the score depends on whether the title
+    agrees, its penalty and the durations; so each distinct title and duration gets a few candidates that hold its two best
+    (one may be the track itself). Of groups over PAIRED, the
+    distinct titles and durations are held in one task, never their pairs.
+    """
+    t = tracks.select("track_id", "grp", "title", F.col("duration_ms").cast("double").alias("duration_ms"), F.upper(F.trim("isrc")).alias("code")).where(F.col("grp").isNotNull())
+
+    def two(rows: DataFrame, *by: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("track_id"))
+        return rows.withColumn("n", rank).where("n <= 2").drop("n").withColumnRenamed("track_id", "ordinal")
+
+    coded = two(t.where("code <> ''"), "grp", "code").select("grp", "code", "ordinal")
+    exact = t.join(coded, ["grp", "code"]).where("track_id <> ordinal").withColumns({"score": F.lit(1.0), "confidence": F.lit(1.0), "isrc_exact": F.lit(True)})
+    key = F.array_join(F.array_sort(F.array_distinct(text.tokens(F.col("title")))), " ")
+    points = two(t.drop("code"), "grp", "title", "duration_ms").select("grp", F.coalesce("title", F.lit("")).alias("title"), key.alias("key"), text.title_penalty(F.col("title")).alias("penalty"), "duration_ms", "ordinal").fillna("", ["key"])
+    sized = points.join(points.groupBy("grp").agg(F.count("*").alias("m")), "grp")
+    other = points.select("grp", "ordinal", F.col("key").alias("c_key"), "penalty", F.col("duration_ms").alias("c_ms"))
+    small = sized.where(F.col("m") <= PAIRED).select("grp", "title", "duration_ms", "key").distinct().join(other, "grp")
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    large = sized.where(F.col("m") > PAIRED).drop("m").groupBy("grp").applyInPandas(_near_in_group, f"grp {kinds['grp']}, title string, duration_ms double, ordinal {kinds['ordinal']}, key string, c_key string, penalty double, c_ms double")
+    near = small.unionByName(large)
+    parts = F.split("key", " "), F.split("c_key", " ")  # made once a title; scored() makes them once a pair
+    alike = text.shared(*[F.filter(x, lambda v: v != "") for x in parts])
+    length = text.duration_score(F.col("duration_ms") / 1000, F.col("c_ms") / 1000)
+    score, sure = text.preview_score(alike, F.lit(1.0), length, F.lit(False), F.col("penalty"), F.lit("u"))
+    judged = near.withColumns({"score": score, "confidence": sure, "isrc_exact": F.lit(False)})
+    rank = F.row_number().over(Window.partitionBy("grp", "title", "duration_ms").orderBy(F.desc("score"), "ordinal"))
+    firsts = judged.withColumn("n", rank).where("n <= 2").select(F.col("grp").alias("g"), F.col("title").alias("l"), F.col("duration_ms").alias("d"), "ordinal", "score", "confidence", "isrc_exact")
+    same = (F.col("grp") == F.col("g")) & (F.coalesce("title", F.lit("")) == F.col("l")) & F.col("duration_ms").eqNullSafe(F.col("d"))
+    fuzzy = t.join(firsts, same).where("track_id <> ordinal")
+    columns = ["track_id", "ordinal", "score", "confidence", "isrc_exact"]
+    return best(exact.select(columns).unionByName(fuzzy.select(columns)).withColumn("url", F.lit("u")))
+
+
 def ranked(candidates: DataFrame, viable: float = 0.5) -> DataFrame:
     """Download candidates in order: confidence (high first), then as listed; the best viable one first and selected.
 
