@@ -14,17 +14,17 @@ from crateflow.llm import byte_bpe, jaccard_join, language_id, secret_scan, sour
 from crateflow.llm.queries import MIX_LEVELS, domain_of
 from crateflow.llm.runtime import durable, small_batches
 
-#: Documents whose best language has less of all languages' n-gram counts than this are rejected, as those without a letter.
-LEAST_LANGUAGE_SCORE = 0.3
+#: Documents whose best language has less of their own n-grams than this are rejected, as those without a letter.
+LEAST_COVERED = 0.3
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.8, 1, 29
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the rows with a text and a language; drops documents of no language."""
+    """Learns from the rows with a text and a language; drops documents of no language. Texts too short to judge stay."""
     small_batches(spark)
     model = language_id.learn(docs)
-    judged = language_id.predict(docs, model, out="__lang", score="__score")
-    return judged.where((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    judged = language_id.predict(docs, model, out="__lang", score="__score", covered="__covered")
+    return judged.where((F.col("__lang") != language_id.UNKNOWN) & F.coalesce(F.col("__covered") >= LEAST_COVERED, F.lit(True))).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,8 @@ SLOT_BITS = 20
 #: Odd multipliers of the hash functions; the top SLOT_BITS bits of a product are a slot.
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 UNKNOWN = "und"
+#: Texts of fewer n-grams are too short for a share of them to tell anything.
+LEAST_GRAMS = 16
 
 _SPACED = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 
@@ -137,8 +139,8 @@ def spark_position(languages: list[str]) -> str:
     return f"(array_position(array({quoted}), lang) - 1)"
 
 
-def _judge(texts: list[str], model: LanguageModel) -> tuple[list[str], list[float]]:
-    names, scores = [], []
+def _judge(texts: list[str], model: LanguageModel) -> tuple[list[str], list[float], list[float | None]]:
+    names, scores, covered = [], [], []
     grams, at = _grams(texts)
     n = np.diff(at).astype(float)
     slots = _slots(grams)
@@ -153,6 +155,7 @@ def _judge(texts: list[str], model: LanguageModel) -> tuple[list[str], list[floa
     counts = np.maximum(0, (counts - n[:, None] * f) / (1 - np.minimum(f, 0.999)))
     total = counts.sum(axis=1)
     for k, text in enumerate(texts):
+        covered.append(None if n[k] < LEAST_GRAMS else float(counts[k].max(initial=0) / n[k]))
         if not model.languages or not has_letter(text):
             names.append(UNKNOWN)
             scores.append(0.0)
@@ -163,30 +166,33 @@ def _judge(texts: list[str], model: LanguageModel) -> tuple[list[str], list[floa
             best = int(counts[k].argmax())
             names.append(model.languages[best])
             scores.append(float(counts[k, best] / total[k]))
-    return names, scores
+    return names, scores, covered
 
 
-def predict(docs: DataFrame, model: LanguageModel, text: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel, text: str = "text", out: str = "lang_pred", score: str = "score", covered: str | None = None) -> DataFrame:
     """Adds the predicted language and its share of all languages' corrected counts (0 to 1).
 
     Null texts and texts without a letter are `und` with 0. A text with letters but no known n-gram gets the language
     that most texts had in learning, with 0. Ties go to the language first in alphabetical order. Texts are read whole,
     each repeated row is judged for itself, and other columns stay (columns named as the two new ones are replaced).
+    covered names one more column: the corrected count over the text's own n-grams, which does not fall as languages are
+    added; null for texts of fewer than LEAST_GRAMS n-grams.
     The broadcast model has 2^20 words of a byte for up to eight languages, of eight bytes for each 64 otherwise.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, covered double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, names, scores, lo, size = [t or "" for t in batch], [], [], 0, 0
+            texts, names, scores, shares, lo, size = [t or "" for t in batch], [], [], [], 0, 0
             for k, t in enumerate(texts):
                 size += len(t)
                 if size >= BLOCK_BYTES // 2 or k + 1 == len(texts):
-                    for into, new in zip((names, scores), _judge(texts[lo : k + 1], held.value), strict=True):
+                    for into, new in zip((names, scores, shares), _judge(texts[lo : k + 1], held.value), strict=True):
                         into += new
                     lo, size = k + 1, 0
-            yield pd.DataFrame({"lang": names, "score": scores})
+            yield pd.DataFrame({"lang": names, "score": scores, "covered": pd.Series(shares, dtype=float)})
 
     found = docs.withColumn("__judged", judge(F.col(text)))
-    return found.withColumn(out, F.col("__judged.lang")).withColumn(score, F.col("__judged.score")).drop("__judged")
+    found = found.withColumn(out, F.col("__judged.lang")).withColumn(score, F.col("__judged.score"))
+    return (found.withColumn(covered, F.col("__judged.covered")) if covered else found).drop("__judged")

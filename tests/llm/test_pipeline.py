@@ -1,6 +1,7 @@
 """Every stage of the pipeline against brute force, each on the whole output of the one before."""
 
 import base64
+import random
 import re
 
 import duckdb
@@ -49,6 +50,17 @@ def test_language_keeps_what_has_a_language(spark, steps):
     assert [r.doc_id for r in C.identify_language(spark, docs, DIR).collect()] == [3]
 
 
+@pytest.mark.parametrize("n", [2, 30])
+def test_what_stays_does_not_depend_on_the_number_of_languages(spark, n):
+    rnd = random.Random(n)
+    common = ["".join(rnd.choice("aeiourstlnm") for _ in range(5)) for _ in range(40)]  # words that all languages share
+    own = [["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(60)] for _ in range(n)]
+    made = [(f"l{k:02}", " ".join(rnd.choice(own[k] if rnd.random() < 0.6 else common) for _ in range(80))) for k in range(n) for _ in range(8)]
+    rows = [(k, text, lang) for k, (lang, text) in enumerate(made)] + [(900, "ж" * 4 + " щюя" * 40, None), (901, "hi", None), (902, "12 34", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in C.identify_language(spark, docs, DIR).collect()) == [*range(len(made)), 901]
+
+
 def test_near_copies(steps):
     assert ids(steps[2]) == sorted(r[0] for r in over(steps[1], f"select doc_id from ({queries.JACCARD_SQL}) where kept"))
 
