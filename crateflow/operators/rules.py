@@ -145,18 +145,19 @@ def score(rule: Rule) -> Column:
 
 
 def one_cap(scored: DataFrame, by: str, most: int, size: int) -> DataFrame:
-    """The best `size` rows with at most `most` of each value of `by`, exactly, without a fold."""
+    """The best `size` rows with at most `most` of each value of `by`, exactly, without a fold. Nulls of `by` have no cap."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "track_id"))
-    return scored.withColumn("n", rank).where(F.col("n") <= most).drop("n").orderBy(F.desc("score"), "track_id").limit(size)
+    capped = scored.where(F.col(by).isNotNull()).withColumn("n", rank).where(F.col("n") <= most).drop("n")
+    return capped.unionByName(scored.where(F.col(by).isNull())).orderBy(F.desc("score"), "track_id").limit(size)
 
 
 def _competitive(scored: DataFrame, rule: Rule) -> DataFrame:
     """Rows that the two caps can still choose, far fewer than all: an artist's rows that an album cap may skip stay.
 
     Per artist and album only the first max_per_artist, max_per_album rows (the smaller) can be taken, as further ones
-    meet the same full quota.
+    meet the same full quota. A null artist or album has no cap, so only the other's and target_size hold there.
     """
-    most = min(x for x in (rule.max_per_artist, rule.max_per_album, rule.target_size) if x)
+    most = F.least(F.lit(rule.target_size), *[F.when(F.col(c).isNotNull(), cap) for c, cap in (("artist_id", rule.max_per_artist), ("album_id", rule.max_per_album)) if cap], F.lit(None))
     rank = F.row_number().over(Window.partitionBy("artist_id", "album_id").orderBy(F.desc("score"), "track_id"))
     return scored.withColumn("n", rank).where(F.col("n") <= most).drop("n")
 

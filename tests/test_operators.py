@@ -93,6 +93,19 @@ def test_two_caps_equal_a_greedy_scan(spark):
         assert rules.diversify(df, rule, block) == greedy(rows, per_artist, per_album, size)
 
 
+def test_null_artists_and_albums_have_no_cap(spark):
+    rnd = random.Random(6)
+    rows = [(k, round(rnd.random(), 2), rnd.choice([None, None, *range(6)]), rnd.choice([None, None, *"abcdefgh"])) for k in range(300)]
+    df = spark.createDataFrame(rows, "track_id long, score double, artist_id long, album_id string")
+    for per_artist, per_album, size in ((2, 3, 60), (3, 1, 30), (2, None, 100), (None, 2, 100)):
+        alone = [(t, s, ("no artist", t) if a is None else a, ("no album", t) if b is None else b) for t, s, a, b in rows]
+        rule = rules.Rule(max_per_artist=per_artist, max_per_album=per_album, target_size=size)
+        assert rules.diversify(df, rule, 50) == greedy(alone, per_artist or 999, per_album or 999, size)
+    alone = [(t, s, ("no artist", t) if a is None else a, t) for t, s, a, _ in rows]
+    got = [(r.track_id, r.score) for r in rules.one_cap(df, "artist_id", 2, 100).collect()]
+    assert got == greedy(alone, 2, 999, 100)
+
+
 def test_end_to_end_playlist(spark):
     dir_ = "/root/testdata/sf0.001"
     lib = catalogue.Library(spark, dir_)
