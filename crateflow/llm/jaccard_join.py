@@ -200,7 +200,8 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", siz
     bands = bands_for(threshold, rows, recall)
     keyed = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sets = durable(signatures(keyed, bands, rows, size))
-    classes = sets.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.min_by("mark", F.struct("id", "mark")).alias("rep_mark"), F.count("*").alias("weight"), F.max("n").alias("n"), F.first("bands").alias("bands"))
+    classes = sets.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct(F.col("id").isNull().alias("blank"), "id", "mark")).alias("least"), F.count("*").alias("weight"), F.max("n").alias("n"), F.first("bands").alias("bands"))
+    classes = classes.select("f1", "f2", F.col("least.id").alias("rep"), F.col("least.mark").alias("rep_mark"), "weight", "n", "bands")  # one row gives both
     classes = durable(durable(classes).withColumn("cls", F.monotonically_increasing_id()))  # written, so the numbers stay
     spots = classes.select("cls", F.posexplode("bands").alias("band", "hash")).select("cls", F.xxhash64("band", "hash").alias("bucket"))
     heads = spots.groupBy("bucket").agg(F.min("cls").alias("head"), F.count("*").alias("m")).where("m > 1").select(F.col("bucket").alias("b"), "head")

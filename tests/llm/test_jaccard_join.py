@@ -112,3 +112,10 @@ def test_keep_one(spark):
 def test_against_sql(spark):
     queries = pytest.importorskip("crateflow.llm.queries")
     assert same(spark, "op6_jaccard_join", queries.QUERIES, queries.ORACLES) == 1000
+
+
+def test_a_null_id_in_a_class_keeps_its_links(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(None, " ".join(words)), (1, "  ".join(words)), (2, " ".join([*words[:-1], "other"]))]
+    got = {r.doc_id: (r.class_id, r.text_class, r.n_links, r.kept) for r in J.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {None: (1, 1, 2, False), 1: (1, 1, 2, True), 2: (1, 2, 2, False)}
