@@ -4,7 +4,7 @@ Each rule's regular expression gives a Boolean trigram query: an AND of clauses,
 contain, each string an AND of its trigrams. The index has a posting (trigram, text) for every trigram of any rule's
 query that occurs in the lower-cased text. Counting a text's postings by string and clause intersects them; the texts
 that satisfy a rule's query are its candidates, and only they are matched against its expression. A rule whose expression
-has no mandatory trigram is matched against every text.
+has no mandatory trigram is matched against every text. One pass over a text finds all of its postings.
 
 Positions come from the lengths of the matches and of the pieces between them, summed over each text.
 """
@@ -46,7 +46,7 @@ BASE_RULES = (
 )
 #: Further kinds that are told by their form.
 MORE_RULES = (
-    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=,:.\\\x20\x09-\x0D-]*?-----END [A-Z ]*PRIVATE KEY-----)?"),
     Rule("forge_token", "gh[oprsu]_[A-Za-z0-9]+", 0, 40),
     Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]+", 0, 20),
     Rule("map_key", "AIza[A-Za-z0-9_-]+", 0, 39),
@@ -128,11 +128,25 @@ def _pattern(rule: Rule) -> str:
     return rule.pattern
 
 
+def anywhere(words: Sequence[str]) -> str:
+    """An expression whose group 1 is, at each place of a text, the one of these trigrams that begins there.
+
+    It looks ahead, so overlapping ones are found too, and branches by letter, so a place costs about one comparison a letter.
+    """
+    tree: dict[str, dict[str, set[str]]] = {}
+    for a, b, c in words:
+        tree.setdefault(a, {}).setdefault(b, set()).add(c)
+    any_of = lambda letters: "[" + "".join(map(re.escape, sorted(letters))) + "]"
+    branches = [re.escape(a) + "(?:" + "|".join(re.escape(b) + any_of(last) for b, last in sorted(after.items())) + ")" for a, after in sorted(tree.items())]
+    return f"(?={any_of(tree)})(?=({'|'.join(branches)}))"
+
+
 def index(docs: DataFrame, rules: Sequence[Rule], key: Sequence[str], text: str) -> DataFrame:
     """A row per text: its key and the indexed trigrams it contains. Exploded, these are the postings."""
     vocabulary = sorted({t for rule in rules for clause in trigram_query(rule.pattern) for word in clause for t in trigrams(word)})
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    return docs.withColumn("__low", low).select(*key, F.filter(F.array(*map(F.lit, vocabulary)).cast("array<string>"), lambda t: F.contains(F.col("__low"), t)).alias("present"))
+    present = F.array_distinct(F.regexp_extract_all(low, F.lit(anywhere(vocabulary)), F.lit(1))) if vocabulary else F.array().cast("array<string>")
+    return docs.select(*key, present.alias("present"))
 
 
 def candidates(marks: DataFrame, rules: Sequence[Rule], key: Sequence[str]) -> DataFrame:
@@ -219,17 +233,17 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + MORE_RULES, base:
 def redact(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + MORE_RULES, mask: str = "[secret]", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with the matches that find() counts replaced by the mask; null texts stay null, other columns stay.
 
-    Only texts with spans are rewritten, and only by the rules that found them, with their least lengths in the
-    expressions.
+    Only texts with spans are rewritten, and only by the rules that found them, in the rules' order and with their least
+    lengths in the expressions. Rows are carried whole, so no column's name can clash. Repeated rows are rewritten alike; an
+    empty table gives an empty table.
     """
     _, spans = find(docs, rules, text, doc_id)
-    kinds = durable(spans.groupBy("__id", "__hash").agg(F.collect_set("kind").alias("__kinds"))).withColumnsRenamed({"__id": "__i", "__hash": "__h"})
-    marked = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = marked.join(kinds, F.col(doc_id).eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")), "left")
-    found = F.col(text)
-    for r in rules:
-        found = F.when(F.array_contains("__kinds", r.kind), F.regexp_replace(found, _counted(r), mask)).otherwise(found)
-    return joined.select(*[F.when(F.col("__kinds").isNull(), F.col(c)).otherwise(found).alias(c) if c == text else F.col(c) for c in docs.columns])
+    kinds = durable(spans.groupBy("__id", "__hash").agg(F.collect_set("kind").alias("kinds")))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"), F.col(text).alias("text"))
+    joined = whole.join(kinds, F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash")), "left")
+    steps = F.filter(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(_counted(r)).alias("pattern")) for r in rules]), lambda r: F.array_contains("kinds", r["kind"]))
+    masked = F.aggregate(steps, F.col("text"), lambda held, r: F.regexp_replace(held, r["pattern"], F.lit(mask)))  # one expression, however many the rules
+    return joined.select(*[F.when(F.col("kinds").isNull(), F.col("text")).otherwise(masked).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def _counted(rule: Rule) -> str:

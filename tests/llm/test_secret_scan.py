@@ -57,3 +57,20 @@ def test_redaction_and_empty_table(spark):
     assert [r.text for r in S.redact(df).orderBy("doc_id").collect()] == ['a [secret]" b', "clean", None]
     assert S.scan(df.limit(0)).count() == 0 and S.redact(df.limit(0)).columns == df.columns
     assert S.scan(S.redact(df)).agg(F.sum(F.length("spans"))).first()[0] == 0
+
+
+def test_redaction_of_a_whole_key_in_a_plan_of_one_expression(spark):
+    body = "\n".join("QUJD" * 16 for _ in range(30))
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    df = spark.createDataFrame([(1, f"a {key} b token=abcdefgh", "x", "y", "z"), (1, f"a {key} b token=abcdefgh", "x", "y", "z"), (2, None, "x", "y", "z")], "doc_id long, text string, __hash string, kinds string, row string")
+    out = S.redact(df)
+    assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(1, "a [secret] b [secret]", "x", "y", "z")] * 2 + [(2, None, "x", "y", "z")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_replace") <= 2
+
+
+def test_one_pass_finds_the_trigrams(spark):
+    words = ["aaa", "aab", "b-]", ".x\\", "ab "]
+    texts = ["aaaab ", "b-].x\\", "", "xaabb-]", "]" * 10]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.regexp_extract_all("t", F.lit(S.anywhere(words)), F.lit(1)).alias("found"))
+    for r in df.collect():
+        assert sorted(set(r.found)) == sorted(w for w in words if w in r.t)
