@@ -7,8 +7,9 @@ probabilities, half and half, which gives the node's weight against the deeper o
 estimates along the path of its context by these weights; where training has not seen a longer context the path ends.
 
 All counts are of windows of DEPTH + 1 bytes, as shorter contexts' counts are sums of them. Windows (and tokens, by a
-61-bit hash) are counted over all texts, summed by key, and the trees are weighted by the two nearest context bytes in
-parallel; only depths 0 and 1, at most 2 * 2^16 numbers, meet on the driver. Each window then has one log probability.
+61-bit hash) are counted over all texts, summed by key, and the trees are weighted from the leaves up: depths 3 and more
+where the windows of their three nearest context bytes meet, depth 2 by a sum over depth 3's nodes, and depths 0 and 1,
+at most 2 * 2^16 numbers, on the driver. On the way down each window gets one log probability.
 The HOT most frequent windows and tokens are broadcast, a bounded table; the others are joined by key, so that no join
 key is frequent.
 """
@@ -30,6 +31,10 @@ from crateflow.llm.runtime import KeyCounts, durable, runs, text_blocks
 
 #: Bytes of context. With HOT a power of two each broadcast table has 16 * HOT to 32 * HOT bytes.
 DEPTH, HOT = 5, 1 << 18
+#: What a task holds at a time: bytes of text as windows of 8 bytes each, and keys that it counts.
+BLOCK, MOST_KEYS = 1 << 19, 1 << 19
+#: Windows that a task weighs at a time, and into how many groups those of two nearest bytes are dealt.
+WEIGHED, DEALT = 1 << 15, 16
 #: Bytes that UTF-8 never has: what stands before a text, and its end.
 PAD, END = 0xFE, 0xFF
 _TOKEN = 1 << 61
@@ -60,18 +65,23 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
 
 
-def _windows(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of depth context bytes and a byte (the lowest) of all texts in order, and how many each text has."""
-    pad = bytes([PAD]) * depth
-    data = np.frombuffer(b"".join([p for t in texts for p in (pad, t, b"\xff")]), np.uint8).astype(np.int64)
-    out = data[: len(data) - depth].copy()
-    for k in range(1, depth + 1):
-        out = (out << 8) | data[k : len(data) - depth + k]
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    if depth:
-        starts = np.cumsum(sizes + depth)[:-1]  # the next texts' padding: windows that end in it
-        out = np.delete(out, (starts[:, None] - depth + np.arange(depth)).ravel())
-    return out, sizes
+def _windows(texts: list[bytes], depth: int, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows of depth context bytes and a byte (the lowest) of all texts in order, and each one's text, a block at a time.
+
+    Texts of any length: a longer one goes through several blocks.
+    """
+    data = b"".join([p for t in texts for p in (bytes([PAD]) * depth, t, b"\xff")])
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + depth + 1)
+    for lo in range(depth, len(data), block):
+        part = np.frombuffer(data, np.uint8, min(len(data), lo + block) - lo + depth, lo - depth).astype(np.int64)
+        out = part[: len(part) - depth].copy()
+        for k in range(1, depth + 1):
+            out <<= 8
+            out |= part[k : len(part) - depth + k]
+        place = np.arange(lo, lo + len(out))
+        owner = np.searchsorted(ends, place, "right")
+        real = place >= np.concatenate(([0], ends[:-1]))[owner] + depth  # others end in a text's padding
+        yield out[real], owner[real]
 
 
 def _lowered(column: pa.Array) -> list[bytes]:
@@ -82,7 +92,7 @@ def count_keys(docs: DataFrame, depth: int) -> DataFrame:
     """(key, n_train, n_all) of all tokens and windows. docs: trains (boolean), text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = KeyCounts(1)
+        held = KeyCounts(1, MOST_KEYS)
 
         def out() -> pa.RecordBatch:
             keys, n = held.flush()
@@ -90,13 +100,14 @@ def count_keys(docs: DataFrame, depth: int) -> DataFrame:
 
         for batch in batches:
             trains = np.array(batch.column(0).to_pylist(), bool).astype(np.int64)
-            for lo, hi in text_blocks(batch, 1):
+            for lo, hi in text_blocks(batch, 1, BLOCK):
                 texts = _lowered(batch.column(1).slice(lo, hi - lo))
-                for keys, sizes in (_words(texts), _windows(texts, depth)):
-                    keys, n = runs(keys << 1 | np.repeat(trains[lo:hi], sizes))
+                words, sizes = _words(texts)
+                for keys, of in chain([(words, np.repeat(np.arange(len(texts)), sizes))], _windows(texts, depth)):
+                    keys, n = runs(keys << 1 | trains[lo:hi][of])
                     held.add(keys, n[:, None])
-                if held.full():
-                    yield out()
+                    if held.full():
+                        yield out()
         yield out()
 
     rows = docs.mapInArrow(count, "key long, trains boolean, n long")
@@ -201,28 +212,33 @@ def top_levels(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children:
     return [first, root]
 
 
+def _above(depth: int) -> Column:
+    """The key of the node of this depth above a deeper node."""
+    return F.expr(f"(shiftright(key, 8) & {(1 << 8 * depth) - 1}) * 256 + (key & 255)").alias("key")
+
+
 def weigh(counts: DataFrame, depth: int) -> DataFrame:
-    """(key, value): log10 probability of the last byte of every window. counts: key, n_train; depth is 2 at least."""
+    """(key, value): log10 probability of the last byte of every window. counts: key, n_train; depth is 3 at least."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
         def out(windows: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            p, nodes = grow(windows, n, depth, 2)
+            p, nodes = grow(windows, n, depth, 3)
             yield batch_of(windows, p.astype(np.float32), None, None, None)
             yield batch_of(nodes.keys, None, nodes.zeros, nodes.ones, nodes.log_weighted)
 
         for batch in batches:
             held.append(np.stack([batch.column(k).to_numpy() for k in (1, 2)]))
             size += batch.num_rows
-            if size < 100_000:
+            if size < WEIGHED:
                 continue
             rows = np.concatenate(held, axis=1)
-            whole = _last_start(rows[0])
+            whole = _last_start(rows[0], 3)
             if whole:
                 yield from out(rows[0, :whole], rows[1, :whole])
-                held, size = [rows[:, whole:]], rows.shape[1] - whole
+            held, size = [rows[:, whole:]], rows.shape[1] - whole
         if size:
             rows = np.concatenate(held, axis=1)
             yield from out(rows[0], rows[1])
@@ -233,25 +249,45 @@ def weigh(counts: DataFrame, depth: int) -> DataFrame:
         numbers = [none(pa.float64()) if x is None else pa.array(x, pa.float64()) for x in (zeros, ones, weighted)]
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), probabilities, *numbers], ["key", "p", "zeros", "ones", "weighted"])
 
-    near = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
-    dealt = counts.select(near.alias("near"), "key", "n_train").repartition("near").sortWithinPartitions("near")
+    def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = Nodes.of(*(batch.column(k).to_numpy() for k in range(4)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(nodes.log_weighted), pa.array(nodes.weight)], ["key", "zeros", "ones", "weighted", "weight"])
+
+    dealt = counts.select(F.expr("shiftright(key, 8) & 16777215").alias("near"), "key", "n_train").repartition("near").sortWithinPartitions("near")
     parts = durable(dealt.mapInArrow(local, "key long, p binary, zeros double, ones double, weighted double"))
-    nodes = parts.where("p is null").groupBy(F.expr("(shiftright(key, 8) & 255) * 256 + (key & 255)").alias("key"))
-    first = nodes.agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted")).toPandas()  # 2^16 rows at most
+    sums = [F.sum(c).alias(c) for c in ("zeros", "ones", "weighted")]
+    second = parts.where("p is null").groupBy(_above(2)).agg(*sums)
+    second = durable(second.mapInArrow(weighted, "key long, zeros double, ones double, weighted double, weight double"))
+    first = second.groupBy(_above(1)).agg(*sums).toPandas()  # 2^16 rows at most
     tops = counts.sparkSession.sparkContext.broadcast(top_levels(*(first[c].to_numpy(t) for c, t in (("key", np.int64), ("zeros", float), ("ones", float), ("weighted", float)))))
 
     def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried: np.ndarray | None = None  # the nodes of the last group: 255 at most
         for batch in batches:
-            windows = batch.column(0).to_numpy()
-            p = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, 8).astype(float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(finish(windows, p, tops.value))], ["key", "value"])
-
-    return parts.where("p is not null").select("key", "p").mapInArrow(complete, "key long, value double")
-
-
-def _last_start(windows: np.ndarray) -> int:
-    """Where the last run of equal nearest two bytes begins."""
-    near = windows >> 8 & 0xFFFF
+            near, group, key = (batch.column(k).to_numpy() for k in range(3))
+            is_node = batch.column(3).is_null().to_numpy(zero_copy_only=False)
+            nodes = np.stack([key[is_node].astype(float), *(batch.column(k).filter(pa.array(is_node)).to_numpy() for k in (4, 5, 6)), near[is_node], group[is_node]])
+            nodes = nodes if carried is None else np.concatenate([carried, nodes], axis=1)
+            windows = key[~is_node]
+            if len(windows):
+                level = nodes[:, np.argsort(nodes[0], kind="stable")]
+                p = np.frombuffer(b"".join(batch.column(3).filter(pa.array(~is_node)).to_pylist()), np.float32).reshape(-1, 8).astype(float)
+                before, bits = _decisions(windows)
+                p = Nodes(level[0].astype(np.int64), level[1], level[2], level[3], level[3]).mix(_keys(windows, before, 2), bits, p)
+                yield pa.RecordBatch.from_arrays([pa.array(windows), pa.array(finish(windows, p, tops.value))], ["key", "value"])
+            carried = nodes[:, (nodes[4] == near[-1]) & (nodes[5] == group[-1])] if len(near) else carried
+
+    group = F.expr(f"cast(pmod(shiftright(key, 24), {DEALT}) as int)")
+    windows = parts.where("p is not null").select(F.expr("shiftright(key, 8) & 65535").alias("near"), group.alias("group"), "key", "p", *[F.lit(None).cast("double").alias(c) for c in ("zeros", "ones", "weight")])
+    every = second.select(F.shiftright("key", 8).alias("near"), F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("group"), "key", F.lit(None).cast("binary").alias("p"), "zeros", "ones", "weight")
+    both = windows.unionByName(every).repartition("near", "group").sortWithinPartitions("near", "group", F.col("p").isNotNull())
+    return both.mapInArrow(complete, "key long, value double")
+
+
+def _last_start(windows: np.ndarray, depth: int) -> int:
+    """Where the last run of equal nearest bytes begins."""
+    near = windows >> 8 & ((1 << 8 * depth) - 1)
     changes = np.flatnonzero(near[1:] != near[:-1])
     return int(changes[-1]) + 1 if len(changes) else 0
 
@@ -330,19 +366,21 @@ def score(docs: DataFrame, trains: Column, text: str = "text", doc_id: str = "do
         places, worth, known = Places(keys), np.append(worth, 0.0), np.append(known, False).astype(float)
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for lo, hi in text_blocks(batch, 2):
+            for lo, hi in text_blocks(batch, 2, BLOCK):
                 texts = _lowered(batch.column(2).slice(lo, hi - lo))
-                sums, parts = [], []
-                for each, sizes in (_words(texts), _windows(texts, depth)):
+                heads, parts = len(texts), []
+                sums = np.zeros((6, heads))  # of tokens: value, known, number; of windows the same
+                words, sizes = _words(texts)
+                of_words = np.repeat(np.arange(heads), sizes)
+                for first, (each, of) in chain([(0, (words, of_words))], ((3, x) for x in _windows(texts, depth))):
                     place = places.find(each)  # -1 is the entry added at the end
-                    missing = place < 0
-                    sums += [_per_text(worth[place], sizes), _per_text(known[place], sizes), sizes]
-                    of, rare = np.repeat(np.arange(len(texts)), sizes)[missing], each[missing]
-                    order = np.lexsort((rare, of))
-                    of, rare = of[order], rare[order]
-                    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(of)), bool), (of[1:] != of[:-1]) | (rare[1:] != rare[:-1]))))
-                    parts.append((of[first] + number, rare[first], np.diff(np.append(first, len(of)))))
-                heads = len(texts)
+                    for k, x in enumerate((worth[place], known[place], None)):
+                        sums[first + k] += np.bincount(of, x, heads)
+                    rare = each[place < 0], of[place < 0]
+                    order = np.lexsort(rare)
+                    key, row = rare[0][order], rare[1][order]
+                    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(row)), bool), (row[1:] != row[:-1]) | (key[1:] != key[:-1]))))
+                    parts.append((row[starts] + number, key[starts], np.diff(np.append(starts, len(row)))))
                 row, key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
                 none = lambda t: pa.nulls(len(row), t)
                 yield pa.RecordBatch.from_arrays(
@@ -365,7 +403,3 @@ def score(docs: DataFrame, trains: Column, text: str = "text", doc_id: str = "do
     total = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     out = out.select("doc_id", "trains", "n_tokens", total("n_known", "k").cast("long").alias("n_known"), F.lit(size["n"]).cast("long").alias("train_tokens"), (F.when(F.lit(size["n"]) > 0, total("base", "b"))).alias("base_score"), total("score", "s").alias("score"), "n_bytes")
     return out.withColumn("bits_per_byte", F.when(F.col("n_bytes") > 0, -F.col("score") * F.lit(math.log2(10)) / F.col("n_bytes")))
-
-
-def _per_text(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(values, np.concatenate(([0], np.cumsum(sizes)[:-1]))) if len(sizes) else np.zeros(0)

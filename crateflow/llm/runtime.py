@@ -83,6 +83,7 @@ class KeyCounts:
             self._merge()
 
     def full(self) -> bool:
+        """Whether even without repetition many are held; _merge() is done where this can be."""
         return self.held > self.limit // 2 and len(self.parts) == 1
 
     def _merge(self) -> None:
