@@ -53,7 +53,7 @@ def path_of(url: Column) -> Column:
 def rule_of(host: Column, path: Column, rules: Sequence[UrlRule]) -> Column:
     """The longest fitting rule's name, else null; of two equally long ones the first of `rules`."""
     found = F.lit(None).cast("string")
-    for r in sorted(rules, key=lambda r: len(r.name)):
+    for r in sorted(reversed(rules), key=lambda r: len(r.name)):  # the last one that fits is what stays
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
         found = F.when(fits, F.lit(r.name)).otherwise(found)
     return found
@@ -61,9 +61,8 @@ def rule_of(host: Column, path: Column, rules: Sequence[UrlRule]) -> Column:
 
 def _windows(url: Column) -> Column:
     """For every character and the end, the ORDER characters before it and itself."""
-    chars = F.concat(F.array(*[F.lit(START)] * ORDER), F.split(url, ""), F.array(F.lit(END)))
-    chars = F.filter(chars, lambda c: c != "")
-    return F.transform(F.sequence(F.lit(1), F.size(chars) - ORDER), lambda k: F.array_join(F.slice(chars, k, ORDER + 1), ""))
+    padded = F.concat(F.lit(START * ORDER), url, F.lit(END))
+    return F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{ORDER + 1}}}))."), F.lit(1))
 
 
 def fold_of(url: Column) -> Column:
@@ -108,10 +107,11 @@ def judge(pages: DataFrame, rules: Sequence[UrlRule], url: str = "url") -> DataF
 
     urls = marked.groupBy("__url").agg(F.count("*").alias("n"))
     urls = durable(urls.select(F.col("__url").alias("u"), "n", verdict_of(ruled).alias("known"), fold_of(F.col("__url")).alias("fold")))
-    spots = urls.select("u", "n", "known", "fold", F.explode(_windows(F.col("u"))).alias("gram"))
+    spots = urls.repartition("u").select("u", "n", "known", "fold", F.explode(_windows(F.col("u"))).alias("gram"))  # dealt, as the table may be one file
     trains = F.col("fold") != 0
     count = {v: F.coalesce(F.sum(F.when(trains & (F.col("known") == v), F.col("n"))), F.lit(0)) for v in ("allow", "block")}
-    model = durable(ratios(spots.groupBy("gram").agg(count["allow"].alias("a"), count["block"].alias("b"))))
+    grams = durable(spots.groupBy("gram").agg(count["allow"].alias("a"), count["block"].alias("b")))  # all context lengths read these
+    model = durable(ratios(grams))
     values = spots.select("u", "gram").join(model, "gram").groupBy("u").agg(F.sum("llr").alias("sum"), F.count("*").alias("len"))
     valued = durable(values.select("u", F.floor(F.col("sum").cast("double") / F.col("len")).cast("long").alias("value")))
     held = urls.where("fold = 0 and known is not null").join(valued, "u")

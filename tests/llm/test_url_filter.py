@@ -71,3 +71,17 @@ def test_thresholds():
     assert U.best_threshold([]) == 0 and U.best_threshold([(3, 5, 0)]) == 0
     assert U.best_threshold([(-2, 0, 9), (4, 9, 0)]) == 0
     assert U.best_threshold([(2, 0, 9), (4, 9, 0)]) == 3 * U.STEP
+
+
+def test_of_two_equally_long_rules_the_first_counts(spark):
+    first, second = U.UrlRule("a.net", "/", "block"), U.UrlRule("net", "/xy", "allow")
+    df = spark.createDataFrame([("http://a.net/xyz",)], "url string")
+    for rules in ((first, second), (second, first)):
+        assert U.judge(df, rules).first().rule == rules[0].name
+
+
+def test_windows_of_any_characters(spark):
+    urls = ["", "a", "\U0001f600é\U0001f600", "x\ny" * 5]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    for r in df.select("url", U._windows(df.url).alias("w")).collect():
+        assert r.w == brute_windows(r.url)
