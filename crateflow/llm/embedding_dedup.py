@@ -5,7 +5,8 @@
    of the sample's projections (where few of the sample arrive, at the level's). Vectors within the spill margin of a
    split go down both ways, so near vectors seldom part in every tree. The depth follows the number of classes. The
    sample only shapes the trees; every class goes down all of them.
-3. The classes of a label and leaf are compared with each other, by products of blocks of bounded size. A pair that shares
+3. The classes of a label and leaf are compared with each other, by products of blocks of bounded size. A class's vector
+   moves once for each of its leaves; the leaves of linked classes are found anew where they meet. A pair that shares
    several leaves counts in the smallest shared one only. A group gives one row per class: its verified links, and
    its root among them.
 4. The connected components of (class, root) are the near-duplicates.
@@ -102,21 +103,32 @@ def _unit(vectors: list, dim: int) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
 
 
-def _pairs(left: list, right: list, same: bool, leaf: int, threshold: float) -> list[tuple[int, int]]:
-    """Index pairs at the threshold whose smallest shared leaf this is. Members: (cls, weight, unit vector, leaves)."""
-    near = np.array([x[2] for x in left]) @ np.array([x[2] for x in right]).T >= threshold
+def _pairs(left: np.ndarray, right: np.ndarray, same: bool, leaf: int, forest: Forest, threshold: float) -> list[tuple[int, int]]:
+    """Index pairs of unit vectors at the threshold whose smallest shared leaf this is."""
+    near = left @ right.T >= threshold
     i, j = np.nonzero(np.triu(near, 1) if same else near)
     if not len(i):
         return []
-    width = max(len(x[3]) for x in [*left, *right])
-    a, b = (np.array([list(x[3]) + [pad] * (width - len(x[3])) for x in side], np.int64) for side, pad in ((left, -1), (right, -2)))
+    a, b = _lists(left, np.unique(i), leaf, forest, -1), _lists(right, np.unique(j), leaf, forest, -2)
     first = np.ones(len(i), bool)
     for lo in range(0, len(i), 4096):
         p, q = a[i[lo : lo + 4096]], b[j[lo : lo + 4096]]
-        first[lo : lo + 4096] = ~((p[:, :, None] == q[:, None, :]) & (p[:, :, None] < leaf)).any(axis=(1, 2))
+        first[lo : lo + 4096] = ~(p[:, :, None] == q[:, None, :]).any(axis=(1, 2))
     return list(zip(i[first].tolist(), j[first].tolist(), strict=True))
 
 
+def _lists(units: np.ndarray, wanted: np.ndarray, leaf: int, forest: Forest, pad: int) -> np.ndarray:
+    """For each of the vectors its leaves below `leaf`, as rows padded with pad; only the wanted ones are found."""
+    row, leaves = forest.leaves(units[wanted])
+    row, leaves = row[leaves < leaf], leaves[leaves < leaf]
+    order = np.argsort(row, kind="stable")
+    row, leaves = row[order], leaves[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    out = np.full((len(units), int(place.max(initial=0)) + 1), pad, np.int64)
+    out[wanted[row], place] = leaves
+    return out
+
+
 def near_duplicates(rows: DataFrame, vector: str = "embedding", label: str = "label", vec_id: str = "vec_id", threshold: float = THRESHOLD, trees: int = TREES, leaf_size: int = LEAF, spill: float = SPILL) -> DataFrame:
     """A row per input row: vec_id, n_links, component_id and kept.
 
@@ -141,30 +153,34 @@ def near_duplicates(rows: DataFrame, vector: str = "embedding", label: str = "la
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                row, leaf = forest.value.leaves(_unit(part.column(3).to_pylist(), dim))
+                vectors = part.column(3).to_pylist()
+                row, leaf = forest.value.leaves(_unit(vectors, dim))
                 order = np.lexsort((leaf, row))
                 row, leaf = row[order], leaf[order]
                 starts = np.searchsorted(row, np.arange(part.num_rows + 1))
                 lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(leaf))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], ["label", "cls", "weight", "v", "leaves"])
-
-    kind = classes.schema["v"].dataType.simpleString()
-    down = durable(classes.select("label", "cls", "weight", "v").mapInArrow(descend, f"label string, cls long, weight long, v {kind}, leaves array<long>"))
-    spots = down.select(F.struct("label", F.size("v").alias("dim")).alias("key"), "cls", "weight", "v", "leaves", F.explode("leaves").alias("leaf"))
-    large = spots.groupBy("key", "leaf").count().where(F.col("count") > BLOCK).select(F.col("key").alias("k"), F.col("leaf").alias("l"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    placed = spots.join(large, (F.col("key") == F.col("k")) & (F.col("leaf") == F.col("l")), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = placed.withColumn("blk", F.pmod(F.xxhash64("cls", "leaf"), F.col("blocks")).cast("int"))
+                sizes, packed = pa.array([len(v) for v in vectors], pa.int32()), pa.array([np.array(v, kind).tobytes() for v in vectors], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sizes, part.column(2), packed, lists], ["label", "cls", "dim", "weight", "x", "leaves"])
+
+    kind = np.float32 if classes.schema["v"].dataType.elementType.simpleString() == "float" else np.float64
+    down = durable(classes.select("label", "cls", "weight", "v").mapInArrow(descend, f"label string, cls long, dim int, weight long, x binary, leaves array<long>"))
+    # which leaves are large is found and told to the classes without their vectors
+    spots = down.select("label", "dim", "cls", F.explode("leaves").alias("leaf"))
+    large = spots.groupBy("label", "dim", "leaf").count().where(F.col("count") > BLOCK).select("label", "dim", "leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    told = spots.join(large, ["label", "dim", "leaf"]).groupBy(F.col("cls").alias("c")).agg(F.map_from_entries(F.collect_list(F.struct("leaf", "blocks"))).alias("told"))
+    placed = down.join(told, F.col("cls") == F.col("c"), "left").select("label", "dim", "cls", "weight", "x", "told", F.explode("leaves").alias("leaf"))
+    placed = placed.withColumn("blocks", F.coalesce(F.col("told")[F.col("leaf")], F.lit(1))).withColumn("blk", F.pmod(F.xxhash64("cls", "leaf"), F.col("blocks")).cast("int"))
     both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("blk", k).alias("bi"), F.greatest("blk", k).alias("bj")))
-    dealt = placed.select("key.label", "key.dim", "leaf", F.explode(both).alias("pair"), "blk", "cls", "weight", "v", "leaves")
-    dealt = dealt.select("label", "dim", "leaf", "pair.bi", "pair.bj", "blk", "cls", "weight", "v", "leaves").repartition("label", "dim", "leaf", "bi", "bj").sortWithinPartitions("label", "dim", "leaf", "bi", "bj")
+    dealt = placed.select("label", "dim", "leaf", F.explode(both).alias("pair"), "blk", "cls", "weight", "x")
+    dealt = dealt.select("label", "dim", "leaf", "pair.bi", "pair.bj", "blk", "cls", "weight", "x").repartition("label", "dim", "leaf", "bi", "bj").sortWithinPartitions("label", "dim", "leaf", "bi", "bj")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = (r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns], strict=True))
         out: list[tuple[int, int, int]] = []
-        for (_, width, leaf, bi, bj), members in groupby(stream, key=lambda r: r[:5]):
+        for (_, _, leaf, bi, bj), members in groupby(stream, key=lambda r: r[:5]):
             held = list(members)
-            units = _unit([m[8] for m in held], width)
-            left, right = ([(m[6], m[7], units[k], m[9]) for k, m in enumerate(held) if m[5] == side] for side in (bi, bj))
+            units = _unit([np.frombuffer(m[8], kind) for m in held], dim)
+            left, right = ([k for k, m in enumerate(held) if m[5] == side] for side in (bi, bj))
             if not left or not right:
                 continue
             found, root = {}, {}
@@ -174,11 +190,11 @@ def near_duplicates(rows: DataFrame, vector: str = "embedding", label: str = "la
                     root[x] = x = root[root[x]]
                 return x
 
-            for i, j in _pairs(left, right, bi == bj, leaf, threshold):
-                x, y = left[i], right[j]
-                found[x[0]] = found.get(x[0], 0) + y[1]
-                found[y[0]] = found.get(y[0], 0) + x[1]
-                p, q = sorted((top(x[0]), top(y[0])))
+            for i, j in _pairs(units[left], units[right], bi == bj, leaf, forest.value, threshold):
+                x, y = held[left[i]], held[right[j]]
+                found[x[6]] = found.get(x[6], 0) + y[7]
+                found[y[6]] = found.get(y[6], 0) + x[7]
+                p, q = sorted((top(x[6]), top(y[6])))
                 root[q] = p
             out.extend((x, n, top(x)) for x, n in found.items())
             if len(out) > 10_000:
