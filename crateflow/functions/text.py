@@ -5,16 +5,29 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 #: Latin letters with marks and what decomposition leaves of them.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
 
 
+def plain(text: str) -> str:
+    """Lower case, compatibility decomposition, without marks."""
+    import unicodedata
+
+    return "".join(x for x in unicodedata.normalize("NFKD", text.lower()) if unicodedata.category(x) != "Mn")
+
+
+@F.pandas_udf(StringType())
+def _plain(text: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else plain(t) for t in text], dtype=object)
+
+
 def plain_letters(c: Column) -> Column:
-    """Lower case, marks dropped (precomposed Latin letters by table, combining marks by class)."""
-    return F.regexp_replace(F.translate(F.lower(c), MARKED, PLAIN), r"\p{Mn}", "")
+    """plain() of a column: Latin letters with marks by table and combining marks by class, only what is left beyond ASCII by the function itself."""
+    quick = F.regexp_replace(F.translate(F.lower(c), MARKED, PLAIN), r"\p{Mn}", "")
+    return F.coalesce(_plain(F.when(quick.rlike(r"[^\x00-\x7F]"), quick)), quick)
 
 
 def normalize(c: Column) -> Column:

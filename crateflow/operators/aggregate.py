@@ -62,7 +62,7 @@ def classifiers(values: DataFrame, segments: DataFrame, by: str = "track_id") ->
     total = segments.groupBy(by).agg(F.count_distinct("segment_id").alias("total"))
     used = values.where(F.col("value").isNotNull()).groupBy(by, "feature").agg(median(F.col("value")).alias("value"), median(F.col("confidence")).alias("c"), F.count_distinct("segment_id").alias("used"))
     rows = used.join(total, by).withColumn("coverage", F.col("used") / F.col("total"))
-    return rows.select(by, "feature", "value", F.least(F.lit(1.0), F.col("c") * F.col("coverage")).alias("confidence"), "coverage", F.when(F.col("used") == F.col("total"), "success").otherwise("partial").alias("status"))
+    return rows.select(by, "feature", "value", F.least(F.lit(1.0), F.col("c") * F.col("used") / F.col("total")).alias("confidence"), "coverage", F.when(F.col("used") == F.col("total"), "success").otherwise("partial").alias("status"))
 
 
 def top_labels(labels: DataFrame, k: int = 3, by: str = "track_id") -> DataFrame:

@@ -34,6 +34,11 @@ ALIASES = {
     "acoustic": "acoustic_profile_score", "instrumental": "instrumental_focus_score", "valence_local": "valence_tf", "danceability_local": "danceability_tf",
 }
 
+#: Orders that are named but not offered, ways to bring a playlist up to date, options that are accepted and not used.
+FUTURE_ORDERINGS = ("energy_curve_progressive", "warmup_peak_cooldown", "harmonic_flow", "cluster_walk", "embedding_similarity_path")
+SYNC_MODES = ("create", "replace", "add_only", "remove_obsolete", "replace_after_dry_run")
+UNUSED = ("missing_component_behavior", "unavailable_behavior", "exclude_tags")
+
 
 @dataclass(frozen=True)
 class FeatureFilter:
@@ -52,6 +57,7 @@ class Rule:
     exclude_track_ids: Sequence[int] = ()
     filters: Sequence[FeatureFilter] = ()
     availability: Sequence[str] = ()
+    market: Sequence[str] = ()
     exclude_artists: Sequence[int] = ()
     exclude_albums: Sequence[str] = ()
     weights: Mapping[str, float] = field(default_factory=dict)
@@ -62,10 +68,16 @@ class Rule:
     spread_artists: bool = False
     ordering: str = "score_desc"
     seed: int = 42
+    sync_mode: str = "create"
+    seed_tracks: Sequence[int] = ()
+    clusters: Sequence[str] = ()
+    cluster_diversity: bool = False
+    vocal_balance: bool = False
 
 
 def parse(document: Mapping[str, Any]) -> Rule:
-    """A rule from its document; unknown keys fail, other names of features become their own."""
+    """A rule from its document; unknown keys fail, UNUSED ones are ignored, other names of features become their own."""
+    document = {k: v for k, v in document.items() if k not in UNUSED}
     filters = [FeatureFilter(**{**f, "feature": ALIASES.get(f["feature"], f["feature"])}) for f in document.get("filters", ())]
     return Rule(**{**document, "filters": filters, "weights": {ALIASES.get(k, k): v for k, v in document.get("weights", {}).items()}})
 
@@ -81,13 +93,26 @@ def problems(rule: Rule, known: Sequence[str]) -> list[str]:
         found.append("NO_SOURCE_SELECTED")
     found += [f"UNKNOWN_FILTER:{f.feature}" for f in rule.filters if f.feature not in known]
     found += [f"INVALID_RANGE:{f.feature}" for f in rule.filters if f.low is not None and f.high is not None and f.low > f.high]
-    if not rule.weights:
+    if sum(rule.weights.values()) <= 0:
         found.append("NO_SCORING_COMPONENTS")
+    found += [f"UNKNOWN_FILTER:{name}" for name in rule.weights if name not in (*known, *DERIVED, *DERIVED_BY)]
+    if rule.ordering in FUTURE_ORDERINGS:
+        found.append("ORDERING_MODE_NOT_AVAILABLE_YET")
+    if rule.sync_mode not in SYNC_MODES:
+        found.append("UNKNOWN_SYNC_MODE")
     if not 1 <= rule.target_size <= MOST_TRACKS:
         found.append("INVALID_TARGET_SIZE")
     return found
 
 
+def notices(rule: Rule, future: Sequence[str] = ()) -> list[str]:
+    """Codes of what a rule asks for that has no effect yet, each once. future: features that are known but not computed."""
+    found = ["CLUSTER_SOURCE_NOT_AVAILABLE_YET"] if rule.clusters or rule.cluster_diversity else []
+    found += ["SEED_TRACKS_NOT_AVAILABLE_IN_PHASE_5"] if rule.seed_tracks else []
+    named = [*(f.feature for f in rule.filters), *rule.weights, *(["vocal_balance"] if rule.vocal_balance else [])]
+    return found + [f"FEATURE_NOT_AVAILABLE_YET:{n}" for n in dict.fromkeys(named) if n in (*future, "vocal_balance")]
+
+
 def candidates(rule: Rule, liked: DataFrame, playlist_tracks: DataFrame) -> DataFrame:
     """Distinct ids of current likes, current items of the playlists and the ids named, less what is excluded."""
     spark = liked.sparkSession
@@ -120,7 +145,9 @@ def reasons(rule: Rule) -> Column:
         unsure = F.when(status == "low_confidence", "FEATURE_LOW_CONFIDENCE").when(value.isNull(), "FEATURE_MISSING") if f.required else F.lit(None).cast("string")
         parts.append(F.when(absent, code).otherwise(F.coalesce(unsure, outside)))
     if rule.availability:
-        parts.append(F.when(~F.coalesce(F.col("availability").isin(*rule.availability), F.lit(False)), "AVAILABILITY_NOT_ALLOWED"))
+        parts.append(F.when(~F.coalesce(F.col("availability").isin(*rule.availability), F.lit(False)), "TRACK_UNAVAILABLE"))
+    if rule.market:
+        parts.append(F.when(~F.coalesce(F.col("market_status").isin(*rule.market), F.lit(False)), "MARKET_UNAVAILABLE"))
     parts += [F.when(F.array_contains("artist_ids", a), "ARTIST_EXCLUDED") for a in rule.exclude_artists]
     parts += [F.when(F.col("album_id") == a, "ALBUM_EXCLUDED") for a in rule.exclude_albums]
     return F.array_compact(F.array(*parts)) if parts else F.array().cast("array<string>")
@@ -157,7 +184,7 @@ def _competitive(scored: DataFrame, rule: Rule) -> DataFrame:
     Per artist and album only the first max_per_artist, max_per_album rows (the smaller) can be taken, as further ones
     meet the same full quota. A null artist or album has no cap, so only the other's and target_size hold there.
     """
-    most = F.least(F.lit(rule.target_size), *[F.when(F.col(c).isNotNull(), cap) for c, cap in (("artist_id", rule.max_per_artist), ("album_id", rule.max_per_album)) if cap], F.lit(None))
+    most = F.least(F.lit(rule.target_size), *[F.when(F.col(c).isNotNull(), cap) for c, cap in (("artist_id", rule.max_per_artist), ("album_id", rule.max_per_album)) if cap is not None], F.lit(None))
     rank = F.row_number().over(Window.partitionBy("artist_id", "album_id").orderBy(F.desc("score"), "track_id"))
     return scored.withColumn("n", rank).where(F.col("n") <= most).drop("n")
 
@@ -166,39 +193,81 @@ def diversify(scored: DataFrame, rule: Rule, block: int = 20_000) -> list[tuple[
     """(track_id, score) in selection order under both caps: a greedy scan in score order that stops at target_size.
 
     Two caps interact, so no window expresses them. The rows come to the driver in score order, a block at a time, and
-    the scan stops at target_size; a row over the artist's cap is not tested for its album and uses no quota.
+    the scan stops at target_size; a row over the artist's cap is not tested for its album and uses no quota. Artists and
+    albums that are full (target_size of each at most) are left out of the next block, so every block but the last adds rows.
     """
-    chosen: list[tuple[int, float, int]] = []
-    per_artist: dict[Any, int] = {}
-    per_album: dict[Any, int] = {}
+    chosen = _chosen(scored, rule, block)
+    return [(t, s) for t, s, *_ in (spread(chosen) if rule.spread_artists else chosen)]
+
+
+def _chosen(scored: DataFrame, rule: Rule, block: int = 20_000) -> list[tuple[int, float, Any, Any]]:
+    """The scan of diversify(): (track_id, score, artist_id, album_id)."""
+    chosen: list[tuple[int, float, Any, Any]] = []
+    caps = {"artist_id": rule.max_per_artist, "album_id": rule.max_per_album}
+    used: dict[str, dict[Any, int]] = {c: {} for c in caps}
     rows = _competitive(scored, rule).select("track_id", "score", "artist_id", "album_id")
     after: tuple[float, int] | None = None
     while len(chosen) < rule.target_size:
         some = rows if after is None else rows.where((F.col("score") < after[0]) | ((F.col("score") == after[0]) & (F.col("track_id") > after[1])))
+        for c, cap in caps.items():
+            full = [v for v, n in used[c].items() if cap is not None and n >= cap]
+            some = some.where(F.col(c).isNull() | ~F.col(c).isin(*full)) if full else some
         batch = some.orderBy(F.desc("score"), "track_id").limit(block).collect()  # block rows at most
         for r in batch:
-            a, b = r["artist_id"], r["album_id"]
             if len(chosen) == rule.target_size:
                 break
-            if rule.max_per_artist and a is not None and per_artist.get(a, 0) >= rule.max_per_artist:
+            if any(cap is not None and r[c] is not None and used[c].get(r[c], 0) >= cap for c, cap in caps.items()):
                 continue
-            if rule.max_per_album and b is not None and per_album.get(b, 0) >= rule.max_per_album:
-                continue
-            per_artist[a], per_album[b] = per_artist.get(a, 0) + 1, per_album.get(b, 0) + 1
-            chosen.append((r["track_id"], r["score"], a))
+            for c in caps:
+                if r[c] is not None:
+                    used[c][r[c]] = used[c].get(r[c], 0) + 1
+            chosen.append(tuple(r))
         if len(batch) < block:
             break
         after = batch[-1]["score"], batch[-1]["track_id"]
-    if rule.spread_artists:
-        chosen = spread(chosen)
-    return [(t, s) for t, s, _ in chosen]
+    return chosen
+
 
+def capped(scored: DataFrame, rule: Rule, chosen: list[tuple[int, float, Any, Any]]) -> DataFrame:
+    """(track_id, reason) of the rows that the scan passed over: the artist's cap, else the album's.
 
-def spread(rows: list[tuple[int, float, int]]) -> list[tuple[int, float, int]]:
-    """Greedy: the next row of another artist than the last placed one, else the next row. MOST_TRACKS rows at most."""
+    A row is over a cap if it comes after the chosen row that filled it. Rows after the last one that target_size let in
+    were not looked at and have no reason. chosen: as from the scan, MOST_TRACKS at most.
+    """
+    spark = scored.sparkSession
+    taken = spark.createDataFrame([(t,) for t, *_ in chosen], "track_id long")
+    left = scored.select("track_id", "score", "artist_id", "album_id").join(F.broadcast(taken), "track_id", "left_anti")
+
+    def behind(t: Column, s: Column) -> Column:
+        return (F.col("score") < s) | ((F.col("score") == s) & (F.col("track_id") > t))
+
+    if len(chosen) >= rule.target_size:
+        left = left.where(~behind(F.lit(chosen[-1][0]), F.lit(chosen[-1][1])))
+    over = []
+    for c, cap, at in (("artist_id", rule.max_per_artist, 2), ("album_id", rule.max_per_album, 3)):
+        seen: dict[Any, int] = {}
+        filled = []
+        for row in chosen:
+            if cap and row[at] is not None:
+                seen[row[at]] = seen.get(row[at], 0) + 1
+                filled += [(row[at], row[0], row[1])] if seen[row[at]] == cap else []
+        kind = scored.schema[c].dataType.simpleString()
+        full = spark.createDataFrame(filled, f"__{c} {kind}, __t_{c} long, __s_{c} double")
+        left = left.join(F.broadcast(full), F.col(c) == F.col(f"__{c}"), "left")
+        none = F.lit(cap == 0) & F.col(c).isNotNull()
+        over.append(none | F.coalesce(behind(F.col(f"__t_{c}"), F.col(f"__s_{c}")), F.lit(False)))
+    reason = F.when(over[0], "MAX_TRACKS_PER_ARTIST").when(over[1], "MAX_TRACKS_PER_ALBUM")
+    return left.select("track_id", reason.alias("reason")).where("reason is not null")
+
+
+def spread(rows: list[tuple]) -> list[tuple]:
+    """Greedy: the next row of another artist than the last placed one, else the next row. MOST_TRACKS rows at most.
+
+    Rows are (track_id, score, artist, ...); a row without an artist is no one's neighbour.
+    """
     left, out = list(rows), []
     while left:
-        at = next((k for k, r in enumerate(left) if not out or r[2] != out[-1][2]), 0)
+        at = next((k for k, r in enumerate(left) if not out or r[2] is None or r[2] != out[-1][2]), 0)
         out.append(left.pop(at))
     return out
 
@@ -217,20 +286,22 @@ def ordered(chosen: list[tuple[int, float]], ordering: str, seed: int = 42) -> l
 def preview(rule: Rule, view: DataFrame, liked: DataFrame, playlist_tracks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items, exclusions). view: the wide view with track_id, isrc, artist_id, album_id, artist_ids, availability.
 
-    ISRC duplicates go before the filters, so a track that a filter drops still hides its duplicates. Rows after the
-    target size is reached have no exclusion.
+    ISRC duplicates go before the filters, so a track that a filter drops still hides its duplicates. Rows that a cap
+    passed over tell which; rows after the target size is reached have no exclusion.
     """
     from crateflow.operators.duplicates import first_per_isrc
 
     spark = view.sparkSession
     pool = view.join(candidates(rule, liked, playlist_tracks), "track_id", "left_semi")
     unique = first_per_isrc(pool)
-    doubles = pool.join(unique.select("track_id"), "track_id", "left_anti").select("track_id", F.lit("DUPLICATE_ISRC").alias("reason"))
+    doubles = pool.join(unique.select("track_id"), "track_id", "left_anti").select("track_id", F.lit("DUPLICATE_ISRC_EXCLUDED").alias("reason"))
     judged = unique.withColumn("reasons", reasons(rule)).withColumn("score", score(rule))
     dropped = judged.select("track_id", F.explode("reasons").alias("reason"))
     passed = judged.where(F.size("reasons") == 0)
     scored = passed.where(F.col("score").isNotNull())
     blank = passed.where(F.col("score").isNull()).select("track_id", F.lit("SCORE_NOT_COMPUTABLE").alias("reason"))
-    final = ordered(diversify(scored, rule), rule.ordering, rule.seed)
+    chosen = _chosen(scored, rule)
+    over = capped(scored, rule, chosen)
+    final = ordered([(t, s) for t, s, *_ in (spread(chosen) if rule.spread_artists else chosen)], rule.ordering, rule.seed)
     items = spark.createDataFrame([(k, t, float(s)) for k, (t, s) in enumerate(final)], "position int, track_id long, score double")
-    return items, dropped.unionByName(doubles).unionByName(blank)
+    return items, dropped.unionByName(doubles).unionByName(over).unionByName(blank)

@@ -13,6 +13,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crateflow.functions.text import plain
+
 Tables = Mapping[str, DataFrame]
 
 SORT_KEYS = ("title", "artist", "album", "duration", "popularity", "added_at", "playlist_count", "isrc")
@@ -55,15 +57,7 @@ class SearchSpec:
 
 def _like(column: Column, text: str) -> Column:
     """Wildcards in the text stay wildcards."""
-    return column.like(f"%{_driver_normal(text)}%")
-
-
-def _driver_normal(text: str) -> str:
-    """normalize() on the driver for one search term."""
-    import unicodedata
-
-    marks = unicodedata.normalize("NFKD", text.strip().lower())
-    return " ".join("".join(c for c in marks if not unicodedata.combining(c)).split())
+    return column.like(f"%{' '.join(plain(text).split())}%")
 
 
 def _artists_like(tables: Tables, text: str) -> DataFrame:
@@ -146,15 +140,19 @@ def page_ids(tables: Tables, spec: SearchSpec) -> DataFrame:
 
 
 def page(tables: Tables, spec: SearchSpec) -> DataFrame:
-    """The page's tracks with their details, artists in order and playlist counts."""
-    ids = page_ids(tables, spec)
-    rows = F.broadcast(ids).join(tables["tracks"], "track_id")  # a page
+    """The page's tracks with their details, artists in order and playlist counts.
+
+    The ids are found once and are a local table of MOST_PER_PAGE rows at most, which all lookups share.
+    """
+    found = [tuple(r) for r in page_ids(tables, spec).collect()]  # a page
+    kind = tables["tracks"].schema["track_id"].dataType.simpleString()
+    ids = tables["tracks"].sparkSession.createDataFrame(found, f"track_id {kind}, position int")
+    numbers = [t for t, _ in found]
+    rows = F.broadcast(ids).join(tables["tracks"].where(F.col("track_id").isin(*numbers)), "track_id")
     rows = rows.join(tables["albums"].select("album_id", F.col("name").alias("album")), "album_id", "left")
-    rows = rows.join(tables["liked"].select("track_id", F.lit(True).alias("is_liked"), "added_at"), "track_id", "left")
-    credited = tables["track_artists"].join(F.broadcast(ids.select("track_id")), "track_id", "left_semi")
-    rows = rows.join(artists_in_order(tables, credited), "track_id", "left")
-    counted = tables["playlist_tracks"].join(F.broadcast(ids.select("track_id")), "track_id", "left_semi")
-    rows = rows.join(playlist_counts(counted), "track_id", "left")
+    rows = rows.join(tables["liked"].where(F.col("track_id").isin(*numbers)).select("track_id", F.lit(True).alias("is_liked"), "added_at"), "track_id", "left")
+    rows = rows.join(artists_in_order(tables, tables["track_artists"].where(F.col("track_id").isin(*numbers))), "track_id", "left")
+    rows = rows.join(playlist_counts(tables["playlist_tracks"].where(F.col("track_id").isin(*numbers))), "track_id", "left")
     return rows.select(
         "position", "track_id", "name", "album", "artists", "duration_ms", "popularity", "isrc", F.coalesce("market_status", F.lit("unknown")).alias("market_status"),
         F.coalesce("is_liked", F.lit(False)).alias("liked"), "added_at", F.coalesce("playlist_count", F.lit(0)).alias("playlist_count"),

@@ -507,3 +507,25 @@ def work_selection(lib):
 def worker_heartbeats(lib):
     beats = lib["items"].select(F.col("job_id").alias("worker_id"), F.col("created_at").alias("last_seen_at"), "item_id")
     return jobs.heartbeats(beats).select(F.col("worker_id").alias("job_id"), "item_id")
+
+
+@query("""
+    , cand as (select t.track_id, t.popularity::double as score, case when t.track_id % 9 <> 0 then x.artist_id end as artist_id, case when t.track_id % 11 <> 0 then split_part(t.album_id, '|', 1) end as album_id
+      from tracks t left join track_artists x on x.track_id = t.track_id and x.position = 0),
+    o as (select *, row_number() over (order by score desc, track_id) as n from cand),
+    g as (select 0::bigint as n, []::bigint[] as ids, []::bigint[] as artists, []::varchar[] as albums
+      union all select o.n, case when fits then list_append(ids, o.track_id) else ids end, case when fits then list_append(artists, o.artist_id) else artists end, case when fits then list_append(albums, o.album_id) else albums end
+      from (select g.*, o.track_id, o.artist_id, o.album_id, o.n as m, (o.artist_id is null or len(list_filter(artists, lambda a: a = o.artist_id)) < 2) and (o.album_id is null or len(list_filter(albums, lambda a: a = o.album_id)) < 3) as fits
+        from g join o on o.n = g.n + 1 where len(ids) < 90) as o(n0, ids, artists, albums, track_id, artist_id, album_id, n, fits)),
+    last as (select ids from g order by n desc limit 1)
+    select unnest(ids) as track_id, (generate_subscripts(ids, 1) - 1)::int as position from last""", "tracks", "track_artists")
+def diversity_two_caps(lib):
+    """Two artists' and three albums' tracks at most, those without an artist or album uncapped."""
+    first = lib["track_artists"].where("position = 0").select(F.col("track_id").alias("t"), "artist_id")
+    rows = lib["tracks"].join(first, F.col("track_id") == F.col("t"), "left")
+    scored = rows.select("track_id", F.col("popularity").cast("double").alias("score"), F.when(F.col("track_id") % 9 != 0, F.col("artist_id")).alias("artist_id"), F.when(F.col("track_id") % 11 != 0, F.element_at(F.split("album_id", r"\|"), 1)).alias("album_id"))
+    chosen = rules.diversify(scored, rules.Rule(max_per_artist=2, max_per_album=3, target_size=90))
+    return lib.spark.createDataFrame([(t, k) for k, (t, _) in enumerate(chosen)], "track_id long, position int")
+
+
+ORACLES["diversity_two_caps"] = ORACLES["diversity_two_caps"].replace("with", "with recursive", 1)

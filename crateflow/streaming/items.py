@@ -12,16 +12,22 @@ from crateflow.operators.jobs import LOCK_SECONDS
 
 STATE = "status string, stage string, locked_at timestamp, attempts int"
 OUTPUT = "item_id string, status string, attempts int, at timestamp"
+FINAL = ("success", "skipped", "cancelled", "failed")
+#: Seconds that a rate-limited item waits.
+WAIT_SECONDS = 60
 #: Which events lead where; retryable failures are decided by the attempts left.
 MOVES = {"reserve": "running", "success": "success", "skip": "skipped", "cancel": "cancelled", "unblock": "pending", "block": "blocked"}
 
 
 def advance(status: str, attempts: int, event: str, most: int) -> tuple[str, int]:
-    """The state after an event: final states stay, running items are not cancelled, failures wait while attempts are left."""
-    if status in ("success", "skipped", "cancelled", "failed"):
+    """The state after an event: final states stay, running items are not cancelled, failures wait while attempts are left.
+
+    limit is a failure after which the item is rate-limited for a while.
+    """
+    if status in FINAL:
         return status, attempts
-    if event == "fail":
-        return ("pending" if attempts + 1 < most else "failed"), attempts + 1
+    if event in ("fail", "limit"):
+        return ({"fail": "pending", "limit": "rate_limited"}[event] if attempts + 1 < most else "failed"), attempts + 1
     if event == "cancel" and status == "running":
         return status, attempts
     return MOVES.get(event, status), attempts
@@ -31,7 +37,8 @@ def item_states(events: DataFrame, most_attempts: int = 3, watermark: str = "10
     """A row per change of an item's state. events: item_id, stage, event, at (timestamp).
 
     Events of an item are taken in order of time within a batch. A running item whose lock is older than its stage
-    allows returns to pending when the watermark has passed that time.
+    allows returns to pending when the watermark has passed that time, a rate-limited one when it has waited WAIT_SECONDS.
+    An item's state is dropped once it is final: its later events, of which there are none but errors, begin anew.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -39,7 +46,7 @@ def item_states(events: DataFrame, most_attempts: int = 3, watermark: str = "10
         status, stage, locked, attempts = state.get if state.exists else ("pending", None, None, 0)
         out = []
         if state.hasTimedOut:
-            if status == "running":
+            if status in ("running", "rate_limited"):
                 status = "pending"
                 out.append((key[0], status, attempts, pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")))
             locked = None
@@ -48,13 +55,16 @@ def item_states(events: DataFrame, most_attempts: int = 3, watermark: str = "10
             for r in rows.itertuples():
                 new, attempts = advance(status, attempts, r.event, most_attempts)
                 stage = r.stage or stage
-                locked = r.at if new == "running" else None
+                locked = r.at if new in ("running", "rate_limited") else None
                 if new != status:
                     out.append((key[0], new, attempts, r.at))
                 status = new
-        state.update((status, stage, locked, attempts))
-        if status == "running" and locked is not None:
-            due = int(pd.Timestamp(locked).timestamp() * 1000) + 1000 * LOCK_SECONDS.get(stage, 900)
+        if status in FINAL:
+            state.remove()
+        else:
+            state.update((status, stage, locked, attempts))
+        if status in ("running", "rate_limited") and locked is not None:
+            due = int(pd.Timestamp(locked).timestamp() * 1000) + 1000 * (WAIT_SECONDS if status == "rate_limited" else LOCK_SECONDS.get(stage, 900))
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["item_id", "status", "attempts", "at"])
 

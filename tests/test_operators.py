@@ -239,3 +239,40 @@ def test_plans_by_availability(spark):
     assert fast == {1: ("preview_only", 0.0, 30.0), 2: ("one_segment", 92.5, 15.0), 3: ("preview_only", 0.0, 30.0), 4: ("unavailable", None, None)}
     precise = sorted((r.track_id, r.segment or "", r.start_s) for r in ingest.plan_by_availability(df, precise=True).collect())
     assert precise == [(1, "1/3", 59.167), (1, "2/3", 125.833), (1, "preview", 0.0), (2, "1/2", 92.5), (2, "1/4", 42.5), (2, "3/4", 142.5), (3, "preview", 0.0), (4, "", None)]
+
+
+def test_caps_tell_why(spark):
+    rnd = random.Random(8)
+    rows = [(k, round(rnd.random(), 2), rnd.choice([None, *range(5)]), rnd.choice([None, *"abcd"])) for k in range(120)]
+    df = spark.createDataFrame(rows, "track_id long, score double, artist_id long, album_id string")
+    for per_artist, per_album, size in ((2, 3, 12), (0, 2, 500), (None, 1, 500), (1, None, 5)):
+        rule = rules.Rule(max_per_artist=per_artist, max_per_album=per_album, target_size=size)
+        chosen, why, artists, albums = [], {}, {}, {}
+        for t, s, a, b in sorted(rows, key=lambda r: (-r[1], r[0])):
+            if len(chosen) == size:
+                break
+            if per_artist is not None and a is not None and artists.get(a, 0) >= per_artist:
+                why[t] = "MAX_TRACKS_PER_ARTIST"
+            elif per_album is not None and b is not None and albums.get(b, 0) >= per_album:
+                why[t] = "MAX_TRACKS_PER_ALBUM"
+            else:
+                artists[a], albums[b] = artists.get(a, 0) + 1, albums.get(b, 0) + 1
+                chosen.append((t, s))
+        assert rules.diversify(df, rule, 25) == chosen
+        assert {r.track_id: r.reason for r in rules.capped(df, rule, rules._chosen(df, rule)).collect()} == why
+
+
+def test_rule_codes_and_notices(spark):
+    rule = rules.parse({"liked": True, "weights": {"zzz": 1, "freshness_score": 1}, "ordering": "cluster_walk", "sync_mode": "other", "exclude_tags": ["x"], "seed_tracks": [1], "clusters": ["c"], "vocal_balance": True})
+    assert rules.problems(rule, ["bpm"]) == ["UNKNOWN_FILTER:zzz", "ORDERING_MODE_NOT_AVAILABLE_YET", "UNKNOWN_SYNC_MODE"]
+    assert rules.notices(rule, ["zzz"]) == ["CLUSTER_SOURCE_NOT_AVAILABLE_YET", "SEED_TRACKS_NOT_AVAILABLE_IN_PHASE_5", "FEATURE_NOT_AVAILABLE_YET:zzz", "FEATURE_NOT_AVAILABLE_YET:vocal_balance"]
+    df = spark.createDataFrame([(1, "available", "restricted"), (2, None, "available")], "track_id long, availability string, market_status string")
+    got = df.select("track_id", rules.reasons(rules.Rule(availability=["available"], market=["available"])).alias("r")).orderBy("track_id").collect()
+    assert [r.r for r in got] == [["MARKET_UNAVAILABLE"], ["TRACK_UNAVAILABLE"]]
+    assert [r[0] for r in rules.spread([(1, 0.9, None), (2, 0.8, None), (3, 0.7, 5)])] == [1, 2, 3]
+
+
+def test_one_normalisation_for_term_and_column(spark):
+    words = ["Việt Nam", "ﬁre", "ＡＢＣ", "Ünï", "plain", "Ａ́b", ""]
+    got = [r.n for r in spark.createDataFrame([(w,) for w in words], "w string").select(text.normalize(F.col("w")).alias("n")).collect()]
+    assert got == [" ".join(text.plain(w).split()) for w in words] and got[:3] == ["viet nam", "fire", "abc"]

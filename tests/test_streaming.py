@@ -47,3 +47,22 @@ def test_windows(spark, tmp_path):
         assert {(r.event, r.n) for r in spark.sql("select * from counts").collect()} == {("reserve", 3), ("success", 1), ("fail", 1)}
     finally:
         query.stop()
+
+
+def test_state_ends_with_the_item_and_limits_wait(spark, tmp_path):
+    source = tmp_path / "in"
+    write(source, 0, [("a", "download", "reserve", "2026-01-01 10:00:00"), ("b", "download", "reserve", "2026-01-01 10:00:00"), ("b", "download", "limit", "2026-01-01 10:00:05")])
+    events = spark.readStream.schema("item_id string, stage string, event string, at timestamp").json(str(source))
+    query = items.item_states(events, watermark="1 second").writeStream.format("memory").queryName("ended").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        query.processAllAvailable()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
+        write(source, 1, [("a", "download", "success", "2026-01-01 10:30:00")])
+        query.processAllAvailable()
+        write(source, 2, [("b", "download", "reserve", "2026-01-01 10:31:00"), ("b", "download", "success", "2026-01-01 10:32:00")])
+        query.processAllAvailable()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+        got = [r.status for r in spark.sql("select * from ended where item_id = 'b' order by at").collect()]
+    finally:
+        query.stop()
+    assert got[:2] == ["running", "rate_limited"] and got[-1] == "success" and "pending" in got
