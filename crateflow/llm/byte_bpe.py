@@ -20,6 +20,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crateflow.llm.runtime import with_results
+
 #: Pieces and pairs that a worker memoises; beyond that the memory is emptied and refilled.
 MEMO_PIECES, MEMO_PAIRS = 1 << 16, 1 << 18
 
@@ -203,5 +205,4 @@ def round_trip(docs: DataFrame, words: Broadcast, text: str = "text", ids: str =
             coded = [codec.encode(t or "") for t in batch]
             yield pd.DataFrame({"ids": coded, "raw": [codec.decode(x) for x in coded]}, dtype=object)
 
-    found = docs.withColumn("__both", both(F.col(text)))
-    return found.withColumn(ids, F.col("__both.ids")).withColumn(out, F.col("__both.raw")).drop("__both")
+    return with_results(docs, both(F.col(text)), {ids: "ids", out: "raw"})

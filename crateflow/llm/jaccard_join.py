@@ -188,11 +188,12 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = WORDS, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
-    """A row per row of docs: its id, mark (xxhash64 of the text), class_id, text_class, n_links, n_text_links and kept.
+    """A row per row of docs: its id, mark (xxhash64 of the text), class_id, text_class, n_links, n_text_links, kept, class_key.
 
     text_class: the smallest id whose text has the same n-grams; class_id: the smallest id reachable by links; n_links:
     the other rows linked directly, copies included; n_text_links: the other classes of equal n-gram sets linked
-    directly; kept: whether the row has the class's id, so one id of each class stays. A text without words (null,
+    directly; kept: whether the row has the class's id, so one id of each class stays; class_key: a number of the class, null
+    without words. A text without words (null,
     empty or blank) links with nothing and is its own class. Repeated rows are copies of each other, and as they
     share an id they are kept or not together; a null id is larger than all others. Texts are compared whole. An empty
     table gives an empty table.
@@ -228,7 +229,7 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", siz
     named = classes.select("cls", "f1", "f2", "rep", "weight").join(groups, F.col("cls") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy(F.col("component").alias("k")).agg(F.min("rep").alias("class_id"))
     verdict = named.join(least, F.col("component") == F.col("k")).join(links, F.col("cls") == F.col("c"), "left")
-    verdict = durable(verdict.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "class_id", F.col("rep").alias("text_class"), "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts")))
+    verdict = durable(verdict.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "class_id", F.col("component").alias("class_key"), F.col("rep").alias("text_class"), "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts")))
     out = sets.select("id", "mark", "f1", "f2", "n").join(verdict, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left")
     worded = F.col("n") > 0
     out = out.withColumn("class_id", F.when(worded, F.col("class_id")).otherwise(F.col("id"))).withColumn("text_class", F.when(worded, F.col("text_class")).otherwise(F.col("id")))
@@ -236,7 +237,7 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", siz
         F.col("id").alias("doc_id"), "mark", "class_id", "text_class",
         F.when(worded, F.col("weight") - 1 + F.col("links")).otherwise(0).cast("long").alias("n_links"),
         F.when(worded, F.col("texts")).otherwise(0).cast("long").alias("n_text_links"),
-        F.col("id").eqNullSafe(F.col("class_id")).alias("kept"),
+        F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), "class_key",
     )
 
 
@@ -245,3 +246,19 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opti
     kept = near_copies(docs, text, doc_id, **options).where("kept").select(F.col("doc_id").alias("__i"), F.col("mark").alias("__m")).distinct()
     match = F.col(doc_id).eqNullSafe(F.col("__i")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__m"))
     return docs.join(kept, match, "left_semi")
+
+
+def keep_one_row(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """As keep_one(), but one row of each class even where rows share an id.
+
+    Of the rows with the smallest id that of the least mark stays, and of its repetitions any one. Rows without words are no
+    copies: all stay. Rows are carried whole, so no column's name can clash; an empty table gives an empty table.
+    """
+    found = near_copies(docs, text, doc_id, **options).where("kept")
+    alone = F.col("class_key").isNull()
+    kept = found.groupBy("class_key", F.when(alone, F.col("doc_id")).alias("own_id"), F.when(alone, F.col("mark")).alias("own_mark")).agg(F.min(F.struct("mark", "doc_id")).alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.mark").alias("kept_mark"), F.col("class_key").isNotNull().alias("once"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"))
+    rows = whole.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark")))
+    rows = rows.withColumn("own", F.when(F.col("once"), F.lit(-1)).otherwise(F.monotonically_increasing_id())).dropDuplicates(["id", "mark", "own"])
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crateflow.llm.runtime import BLOCK_BYTES, KeyCounts, durable, runs, text_blocks
+from crateflow.llm.runtime import BLOCK_BYTES, KeyCounts, durable, runs, text_blocks, with_results
 
 #: An n-gram must make up this share of a language's n-grams. Bounds each language to 1 / SHARE of them.
 SHARE = 2.0**-17
@@ -193,6 +193,4 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", out: str
                     lo, size = k + 1, 0
             yield pd.DataFrame({"lang": names, "score": scores, "covered": pd.Series(shares, dtype=float)})
 
-    found = docs.withColumn("__judged", judge(F.col(text)))
-    found = found.withColumn(out, F.col("__judged.lang")).withColumn(score, F.col("__judged.score"))
-    return (found.withColumn(covered, F.col("__judged.covered")) if covered else found).drop("__judged")
+    return with_results(docs, judge(F.col(text)), {out: "lang", score: "score"} | ({covered: "covered"} if covered else {}))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +23,20 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or where that is unset (tests, one machine) one of our own."""
+    """The folder that all executors see: spark.checkpoint.dir. Where that is unset one machine alone may take its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return folder or os.path.join("/tmp/checkpoints", f"{os.path.basename(tempfile.gettempdir())}-{os.getuid()}")
 
 
+def with_results(docs: DataFrame, result: Column, fields: Mapping[str, str]) -> DataFrame:
+    """docs with columns from the fields of a struct: name of the column to field. Rows are carried whole, so no name clashes."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), result.alias("result"))
+    new = {name: F.col("result").getField(field).alias(name) for name, field in fields.items()}
+    return packed.select(*[new.pop(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns], *new.values())
+
+
 def write_table(df: DataFrame) -> tuple[DataFrame, str]:
     """Writes df to the shared folder and reads it back: the lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession

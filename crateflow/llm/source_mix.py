@@ -117,14 +117,16 @@ def mix(docs: DataFrame, levels: Sequence[Level], total: int | float, max_epochs
     depth = len(levels)
     keys = _node(levels, depth)
     with_keys = {f"__n{k}": F.concat(F.when(F.col(v.column).isNull(), "n").otherwise("v"), F.coalesce(F.col(v.column).cast("string"), F.lit(""))) for k, v in enumerate(levels)}
-    marked = docs.withColumns(with_keys).withColumn("__tokens", count_words(F.col(text))).withColumn("__mark", F.substring(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")), 1, 8))
-    sized = durable(marked.select(F.col(doc_id).alias("__id"), *keys, F.col("__tokens").alias("tokens"), "__mark", *[v.weight().alias(f"__w{k}") for k, v in enumerate(levels)]))
+    mark = F.substring(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")), 1, 8).alias("__mark")
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("__id"), count_words(F.col(text)).alias("__tokens"), mark]
+    marked = docs.select(*whole, *[c.alias(k) for k, c in with_keys.items()], *[v.weight().alias(f"__w{k}") for k, v in enumerate(levels)])  # rows are carried whole, so no name clashes
+    sized = durable(marked.select("__id", *keys, F.col("__tokens").alias("tokens"), "__mark", *[f"__w{k}" for k in range(depth)]))
     leaves = budgets(sized, levels, total, max_epochs)
     leaves = durable(leaves.select(*keys, F.col("tokens").alias("leaf_tokens"), F.col("budget").alias("leaf_budget"), F.expr("if(tokens > 0, budget div tokens, 0)").alias("__e"), F.expr("if(tokens > 0, budget % tokens, 0)").alias("__rest")))
     keyed = sized.join(leaves.where("__rest > 0"), keys).select(*keys, "tokens", order_key(seed, F.col("__e") + 1, F.col("__id"), F.col("__mark")).alias("key"), F.col("__rest").alias("rest"))
     cuts = leaves.join(_cut(keyed.where("tokens > 0"), keys), keys, "left")
-    found = marked.drop("leaf_tokens", "leaf_budget", "n_copies", "n_tokens").join(durable(cuts), keys, "left")
-    drawn = (F.col("__rest") > 0) & (order_key(seed, F.col("__e") + 1, F.col(doc_id), F.col("__mark")) < F.col("__cut"))
+    found = marked.join(durable(cuts), keys, "left")
+    drawn = (F.col("__rest") > 0) & (order_key(seed, F.col("__e") + 1, F.col("__id"), F.col("__mark")) < F.col("__cut"))
     copies = F.when(F.col("__tokens") > 0, F.col("__e") + F.when(drawn, 1).otherwise(0)).otherwise(0).cast("long")
     kept = [c for c in docs.columns if c not in ("n_tokens", "leaf_tokens", "leaf_budget", "n_copies")]
-    return found.select(*kept, F.col("__tokens").alias("n_tokens"), F.coalesce("leaf_tokens", F.lit(0)).alias("leaf_tokens"), F.coalesce("leaf_budget", F.lit(0)).alias("leaf_budget"), copies.alias("n_copies"))
+    return found.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("__tokens").alias("n_tokens"), F.coalesce("leaf_tokens", F.lit(0)).alias("leaf_tokens"), F.coalesce("leaf_budget", F.lit(0)).alias("leaf_budget"), copies.alias("n_copies"))

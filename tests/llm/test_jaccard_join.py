@@ -119,3 +119,15 @@ def test_a_null_id_in_a_class_keeps_its_links(spark):
     rows = [(None, " ".join(words)), (1, "  ".join(words)), (2, " ".join([*words[:-1], "other"]))]
     got = {r.doc_id: (r.class_id, r.text_class, r.n_links, r.kept) for r in J.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {None: (1, 1, 2, False), 1: (1, 1, 2, True), 2: (1, 2, 2, False)}
+
+
+def test_one_row_of_each_class(spark):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", F.lit("clash")).withColumn("row", F.lit("clash"))
+    kept = J.keep_one_row(df.unionByName(df.where("length(text) > 3")))
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [x[0] for x in brute(rows) if x[3]]
+    rows = [(1, "a b c"), (1, "a b c"), (1, "A  b c"), (2, "a b c"), (None, "d e f"), (None, "D e f"), (None, "g h i"), (3, ""), (3, ""), (None, None)]
+    got = J.keep_one_row(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, (r.text or "").lower().split()) for r in got) == sorted([(1, ["a", "b", "c"]), (0, ["d", "e", "f"]), (0, ["g", "h", "i"]), (3, []), (3, []), (0, [])])
+    assert J.keep_one_row(df.limit(0)).count() == 0

@@ -61,3 +61,32 @@ def test_held_out_accuracy(spark):
     truth = spark.read.parquet(f"{dir_}/documents.parquet").select("doc_id", "lang")
     row = got.join(truth, "doc_id").where("held_out").agg(F.avg(F.expr("double(lang = lang_pred)")).alias("share"), F.min("score").alias("low"), F.max("score").alias("high")).first()
     assert row.share > 0.97 and row.low >= 0 and row.high <= 1
+
+
+def test_scores_against_counting_one_by_one(spark):
+    """Each n-gram of each text looked up bit by bit, the counts corrected, the best language's share of them."""
+    texts = ["The house of the king", "das Haus des Königs ist groß", "la maison du roi", "", None, "12 34", "ééé", "the", "the house das haus " * 40]
+    learned = spark.createDataFrame([("en", texts[0]), ("de", texts[1]), ("fr", texts[2])] * 3, "lang string, text string")
+    model = L.learn(learned)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("row", F.lit("clash")).withColumn("result", F.lit("clash"))
+    got = {r.doc_id: r for r in L.predict(rows, model).collect()}
+
+    def grams(text):
+        data = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in (text or "").lower().encode())
+        data = b" " + b" ".join(data.split(b" ")) + b" "
+        while b"  " in data:
+            data = data.replace(b"  ", b" ")
+        return [int.from_bytes(data[k : k + 4], "little") for k in range(len(data) - 3)]
+
+    for k, text in enumerate(texts):
+        counts = []
+        for bit in range(len(model.languages)):
+            has = sum(all(int(model.table[(g * m % 2**32) >> (32 - L.SLOT_BITS), 0]) >> bit & 1 for m in L.MULTIPLIERS) for g in grams(text))
+            f = float(model.false_positive[bit])
+            counts.append(max(0.0, (has - len(grams(text)) * f) / (1 - f)))
+        if not text or not any(map(str.isalpha, text)):
+            assert (got[k].lang_pred, got[k].score) == (L.UNKNOWN, 0.0)
+        elif sum(counts) == 0:
+            assert (got[k].lang_pred, got[k].score) == (model.fallback, 0.0)
+        else:
+            assert got[k].lang_pred == model.languages[counts.index(max(counts))] and abs(got[k].score - max(counts) / sum(counts)) < 1e-9

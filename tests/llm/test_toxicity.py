@@ -59,3 +59,25 @@ def test_query_on_held_out_rows(spark):
     hits = [sum(r.predicted == 1 for r in got if r.toxic == t) / max(1, sum(r.toxic == t for r in got)) for t in (0, 1)]
     print(hits)
     assert hits[0] < 0.05 and hits[1] > 0.6
+
+
+def test_scores_against_compressing_one_by_one(spark, model):
+    """Each window compressed anew with a dictionary of its own, and the curve by hand."""
+    import math
+
+    import zstandard
+
+    rnd = random.Random(4)
+    texts = [text(rnd, k % 3 == 0) for k in range(12)] + ["", None, "gromblat", "é" * 200]
+    rows = T.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+
+    def length(window, content):
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(level=T.LEVEL)
+        return len(zstandard.ZstdCompressor(level=T.LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress(window))
+
+    for r in rows:
+        far = sorted(length(w, model.ordinary) - length(w, model.toxic) for w in T.windows(texts[r.doc_id] or ""))
+        x = [sum(far) / len(far), far[-1], sum(far[-3:]) / len(far[-3:]), sum(d >= T.LARGE for d in far) / len(far)] if far else [0.0] * 4
+        z = sum(w * v / s for w, v, s in zip(model.weights, x, model.scale)) + model.weights[4]
+        assert abs(r.score - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))) < 1e-9 and r.predicted == int(r.score >= 0.5)

@@ -96,3 +96,20 @@ def test_dedup_edges(spark):
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in E.near_duplicates(df).collect())
     assert got == sorted([(0, 3, 0, True), (1, 3, 0, False), (2, 0, 2, True), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True), (8, 0, 8, True), (9, 3, 0, False), (10, 0, 10, True), (11, 3, 0, False)])
     assert E.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_dedup_on_more_vectors(spark):
+    assert same(spark, "op8_embedding_dedup", queries.QUERIES, queries.ORACLES, "/root/testdata/sf0.1") == 2000
+
+
+def test_search_skips_shards_and_postings():
+    """Queries near one of several far apart groups traverse few postings of the others' pieces."""
+    rng = np.random.default_rng(5)
+    centers = 60 * np.eye(16)[:8]
+    x = np.floor(np.concatenate([c + rng.normal(size=(256, 16)) for c in centers]))
+    block = T.Block(np.arange(20), x[:20], 5)
+    for lo in range(0, len(x), 256):
+        block.meet(np.arange(lo, lo + 256), x[lo : lo + 256])
+    assert block.traversed <= 20 * 256 * 16 and block.probed <= 20 * 256  # the first group alone
+    got = sorted((int(block.at[n]), int(block.cand[n]), int(block.score[n])) for n in range(len(block.at)))
+    assert got == sorted((q, c, s) for q, _, c, s in brute_top(x.astype(int), range(20), 5))
