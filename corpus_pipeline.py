@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
 of their input. Near-copies and mixing have random parts, and token ids no SQL, so ORACLE_SQL is None; the tests hold every
-stage against brute force.
+stage against brute force. An empty table goes through all stages, texts are read whole whatever their length, and columns
+beyond those of documents stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,11 @@ MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.8, 1, 29
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the rows with a text and a language; drops documents of no language. Texts too short to judge stay."""
+    """Learns from the rows with a text and a language; drops documents of no language. Texts too short to judge stay.
+
+    Null and empty texts and those without a letter go, each repeated row is judged for itself, ties between languages
+    don't matter here, and null ids and languages are nothing special.
+    """
     small_batches(spark)
     model = language_id.learn(docs)
     judged = language_id.predict(docs, model, out="__lang", score="__score", covered="__covered")
@@ -28,25 +33,35 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of near-copies."""
+    """Keeps the document with the smallest id of each class of near-copies; null ids are the largest.
+
+    One row of a class stays even where rows are repeated or share an id. Null, empty and blank texts are no copies: all stay.
+    """
     small_batches(spark)
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one_row(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks what the rules find and counts the characters anew."""
+    """Masks what the rules find and counts the characters anew; null texts stay null, and so does their count.
+
+    No row goes; repeated rows and rows of one id are masked alike or each by its own text.
+    """
     masked = secret_scan.redact(docs)
     return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws the documents of MIX_SHARE of the tokens by the target weights, each once at most."""
+    """Draws the documents of MIX_SHARE of the tokens by the target weights, each once at most.
+
+    Null and empty texts are never drawn, null languages and sources are leaves of their own, repeated rows have one place
+    in the order and are drawn together.
+    """
     mixed = source_mix.mix(docs.withColumn("domain", domain_of()), MIX_LEVELS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
     return mixed.where("n_copies > 0").select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, token_ids (little-endian unsigned 32-bit)."""
+    """doc_id, lang, source, n_tokens, token_ids (little-endian unsigned 32-bit), a row per row; a null text has no ids."""
     import public_tokenizers
 
     small_batches(spark)
