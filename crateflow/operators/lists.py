@@ -153,3 +153,24 @@ def library_summary(tracks: DataFrame, playlists: DataFrame, albums: DataFrame)
 def numbered(rows: DataFrame, by: Sequence[str], *order: Column) -> DataFrame:
     """position from 0 within each key."""
     return rows.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+
+
+def metadata(ids: DataFrame, tracks: DataFrame, albums: DataFrame, track_artists: DataFrame, artists: DataFrame) -> DataFrame:
+    """track_id, name, album and the artists' names in order of the tracks named by ids; those that no track has are left out."""
+    wanted = ids.select("track_id").distinct()
+    rows = tracks.select("track_id", "name", "album_id").join(wanted, "track_id", "left_semi").join(albums.select("album_id", F.col("name").alias("album")), "album_id", "left")
+    credits = track_artists.join(wanted, "track_id", "left_semi").join(artists.select("artist_id", F.col("name").alias("artist")), "artist_id")
+    ordered = credits.groupBy("track_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "artist"))), lambda a: a["artist"]).alias("artists"))
+    return rows.join(ordered, "track_id", "left").select("track_id", "name", "album", "artists")
+
+
+def ids_to_audit(previews: DataFrame, downloads: DataFrame, segments: DataFrame, limit: int) -> DataFrame:
+    """The first track_ids of previews, of downloads whose metadata (JSON) tell a decision, and of segments, each once."""
+    decided = downloads.where(F.get_json_object("metadata", "$.decision").isNotNull())
+    ids = previews.select("track_id").unionByName(decided.select("track_id")).unionByName(segments.select("track_id"))
+    return ids.distinct().orderBy("track_id").limit(limit)
+
+
+def temp_file_counts(segments: DataFrame) -> DataFrame:
+    """track_id and its files that are there and not deleted."""
+    return segments.where(F.col("path").isNotNull() & F.col("deleted_at").isNull()).groupBy("track_id").agg(F.count("*").alias("files"))

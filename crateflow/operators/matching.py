@@ -176,3 +176,8 @@ def audited(previews: DataFrame, least: float = AVAILABLE_FROM) -> DataFrame:
     """Adds the verdict and whether it asks for a remedy. previews: isrc_unresolvable, mismatch, fuzzy, confidence."""
     verdict = status.audit_verdict(F.col("isrc_unresolvable"), F.col("mismatch"), F.col("fuzzy"), F.col("confidence"), least)
     return previews.withColumn("verdict", verdict).withColumn("needs_remedy", F.col("verdict").isin("mismatch", "low_confidence_fuzzy"))
+
+
+def verdict_counts(audited_: DataFrame) -> DataFrame:
+    """How many rows of audited() have each verdict, and whether it asks for a remedy."""
+    return audited_.groupBy("verdict").agg(F.count("*").alias("n"), F.bool_or("needs_remedy").alias("needs_remedy"))

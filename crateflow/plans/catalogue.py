@@ -27,8 +27,9 @@ def query(sql: str, *views: str):
 
 
 def r6(c: Column | str) -> Column:
-    """Six digits, and no negative zero."""
-    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+    """Six digits by scaled halves away from zero, as the SQL engine rounds, and no negative zero."""
+    scaled = (F.col(c) if isinstance(c, str) else c).cast("double") * 1e6
+    return F.signum(scaled) * F.floor(F.abs(scaled) + 0.5) / 1e6 + F.lit(0.0)
 
 
 def _page(lib: Library, **facets) -> DataFrame:
@@ -529,3 +530,5 @@ def diversity_two_caps(lib):
 
 
 ORACLES["diversity_two_caps"] = ORACLES["diversity_two_caps"].replace("with", "with recursive", 1)
+
+from crateflow.plans import lookups  # noqa: E402, F401  (registers its queries here)
