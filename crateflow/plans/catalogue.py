@@ -479,21 +479,17 @@ def feature_status(lib):
 
 @query("""select track_id, candidate_id, score from (select t.track_id, c.track_id as candidate_id, round(greatest(0, least(1, 0.45::double * (t.normalized_title = c.normalized_title)::int::double + 0.35::double + 0.20::double * case when abs(t.duration_ms - c.duration_ms) <= 3000 then 1.0::double
     when abs(t.duration_ms - c.duration_ms) <= 10000 then 0.85::double when abs(t.duration_ms - c.duration_ms) <= 30000 then 0.6::double else greatest(0, 1 - abs(t.duration_ms - c.duration_ms) / t.duration_ms::double) end + case when upper(t.isrc) = upper(c.isrc) then 0.35::double else 0 end)), 4) as s0, case when upper(t.isrc) = upper(c.isrc) then 1.0::double else s0 end as score,
-    coalesce(upper(t.isrc) = upper(c.isrc), false) as exact from (select * from tracks where track_id % 5 = 0) t join tracks c on t.album_id = c.album_id and t.track_id <> c.track_id) qualify row_number() over (partition by track_id order by exact desc, score desc, candidate_id) = 1""", "tracks")
+    coalesce(upper(t.isrc) = upper(c.isrc), false) as exact from tracks t join tracks c on t.album_id = c.album_id and t.track_id <> c.track_id) qualify row_number() over (partition by track_id order by exact desc, score desc, candidate_id) = 1""", "tracks")
 def preview_best_match(lib):
-    t = lib["tracks"]
+    """The best match of every track among the others of its album."""
     title = F.regexp_replace("normalized_title", r"[^\p{L}\p{N}]", "")
-    mine = t.where("track_id % 5 = 0").select("track_id", "album_id", title.alias("title"), F.lit("a").alias("artist"), (F.col("duration_ms") / 1000).alias("duration_s"), "isrc")
-    other = t.select(F.col("track_id").alias("ordinal"), "album_id", title.alias("c_title"), F.lit("a").alias("c_artist"), (F.col("duration_ms") / 1000).alias("c_duration_s"), F.col("isrc").alias("c_isrc"), F.lit("u").alias("url"))
-    pairs = mine.join(other, "album_id").where("track_id <> ordinal")  # candidates share the album
-    return matching.best(matching.scored(pairs)).select("track_id", F.col("ordinal").alias("candidate_id"), "score")
+    rows = lib["tracks"].select("track_id", F.col("album_id").alias("grp"), title.alias("title"), "duration_ms", "isrc")
+    return matching.best_in_group(rows).select("track_id", F.col("ordinal").alias("candidate_id"), "score")
 
 
 def preview_best_match_all(spark, sf_dir):
-    """The best match of every track; the SQL of preview_best_match tells of every fifth only. Tested against all pairs."""
-    title = F.regexp_replace("normalized_title", r"[^\p{L}\p{N}]", "")
-    rows = Library(spark, sf_dir)["tracks"].select("track_id", F.col("album_id").alias("grp"), title.alias("title"), "duration_ms", "isrc")
-    return matching.best_in_group(rows).select("track_id", F.col("ordinal").alias("candidate_id"), "score")
+    """preview_best_match without SQL, for tables on which all pairs of an album are too many for it. Tested against all pairs."""
+    return QUERIES["preview_best_match"](spark, sf_dir)
 
 
 QUERIES["preview_best_match_all"] = preview_best_match_all
