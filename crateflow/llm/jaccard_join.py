@@ -4,9 +4,11 @@
 2. A class's MinHash signature is cut into bands; bands and rows are chosen so that a pair at the threshold shares a band
    with the target probability. Classes that share a band hash hang on the smallest one of the bucket: as many edges as
    bucket members. The connected components of these edges hold every pair that shares a band.
-3. A component is cut into blocks of bounded size, and each pair of blocks is one group: there, pairs that share a band
-   are verified on their whole n-gram sets. A group gives one row per class: its verified links and its root
-   among them, so neither candidates nor links are ever rows of their own.
+3. A component that fits one block of bounded size is one unit; of a larger one each bucket is, so a long chain of
+   look-alikes costs what its buckets cost. Buckets with the same members count once. A unit is cut into blocks, and each
+   pair of blocks is one group: there, pairs that share a bucket are verified on their whole n-gram sets, each
+   pair in its smallest bucket. A group gives one row per class: its verified links and its root among them, so neither
+   candidates nor links are ever rows of their own.
 4. The connected components of (class, root) are the near-copies.
 """
 
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crateflow.llm.components import components
-from crateflow.llm.runtime import durable, text_blocks
+from crateflow.llm.runtime import drop_table, durable, text_blocks, write_table
 
 WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9998, 8
 #: Limits of a block: classes, and bytes of n-gram hashes.
@@ -109,13 +111,24 @@ def signatures(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
     return docs.mapInArrow(sign, f"id {kind}, mark long, f1 long, f2 long, n long, bands array<long>")
 
 
-def _linked(left: list, right: list, same: bool, threshold: float) -> list[tuple[int, int]]:
-    """Index pairs of verified links between two blocks of (cls, weight, set, bands); same: both are one block."""
-    a, b = np.array([x[3] for x in left]), np.array([x[3] for x in right])
+def _candidates(left: list, right: list, unit: int, whole: bool) -> np.ndarray:
+    """Which of left and right meet here: in a whole component those with a bucket in common, else those with none before the unit's."""
+    held: dict[int, tuple[list[int], list[int]]] = {}
+    for side, block in enumerate((left, right)):
+        for k, x in enumerate(block):
+            for bucket in x[3]:
+                held.setdefault(bucket, ([], []))[side].append(k)
+    fit = np.full((len(left), len(right)), not whole)
+    for bucket, (i, j) in held.items():
+        if i and j and (whole or bucket < unit):
+            fit[np.ix_(i, j)] = whole
+    return fit
+
+
+def _linked(left: list, right: list, same: bool, unit: int, whole: bool, threshold: float) -> list[tuple[int, int]]:
+    """Index pairs of verified links between two blocks of (cls, weight, set, buckets); same: both are one block."""
     sizes_a, sizes_b = np.array([len(x[2]) for x in left]), np.array([len(x[2]) for x in right])
-    fit = np.zeros((len(left), len(right)), bool)
-    for k in range(a.shape[1]):
-        fit |= a[:, k, None] == b[None, :, k]
+    fit = _candidates(left, right, unit, whole)
     fit &= np.minimum(sizes_a[:, None], sizes_b) >= threshold * np.maximum(sizes_a[:, None], sizes_b) - 1e-9
     if same:
         fit = np.triu(fit, 1)
@@ -147,15 +160,15 @@ def _common(left: list, right: list) -> np.ndarray:
 
 
 def _verify(rows: DataFrame, threshold: float) -> DataFrame:
-    """(cls, links, texts, root) per class and group; rows: part, bi, bj, blk, cls, weight, hashes, bands, dealt by (part, bi, bj)."""
+    """(cls, links, texts, root) per class and group; rows: unit, whole, bi, bj, blk, cls, weight, hashes, buckets, dealt by the first four."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = (r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns], strict=True))
         out: list[tuple[int, int, int, int]] = []
-        for (_, bi, bj), members in groupby(stream, key=lambda r: r[:3]):
+        for (unit, whole, bi, bj), members in groupby(stream, key=lambda r: r[:4]):
             sides: dict[int, dict[int, tuple]] = {bi: {}, bj: {}}
-            for _, _, _, blk, cls, weight, hashes, bands in members:
-                sides[blk][cls] = (cls, weight, np.frombuffer(hashes, np.uint64), np.array(bands, np.int64))
+            for *_, blk, cls, weight, hashes, buckets in members:
+                sides[blk][cls] = (cls, weight, np.frombuffer(hashes, np.uint64), buckets)
             left, right = list(sides[bi].values()), list(sides[bj].values())
             if not left or not right:
                 continue
@@ -167,7 +180,7 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
                     root[x] = x = root[root[x]]
                 return x
 
-            for i, j in _linked(left, right, bi == bj, threshold):
+            for i, j in _linked(left, right, bi == bj, unit, whole, threshold):
                 x, y = left[i], right[j]
                 for p, q in ((x, y), (y, x)):
                     found[p[0]][0] += q[1]
@@ -187,6 +200,28 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(check, "cls long, links long, texts long, root long")
 
 
+def _shared_buckets(classes: DataFrame) -> DataFrame:
+    """(cls, bucket, head) for the buckets of two classes or more, head the smallest; one bucket of those with the same members."""
+    spots = classes.select("cls", F.posexplode("bands").alias("band", "hash")).select("cls", F.xxhash64("band", "hash").alias("bucket"))
+    members = [F.bit_xor(F.xxhash64("cls")).alias("x1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("x2")]
+    full = spots.groupBy("bucket").agg(F.min("cls").alias("head"), F.count("*").alias("m"), *members).where("m > 1")
+    once = full.groupBy("head", "m", "x1", "x2").agg(F.min("bucket").alias("b")).select("b", "head")
+    return spots.join(once, F.col("bucket") == F.col("b")).select("cls", "bucket", "head")
+
+
+def _units(grouped: DataFrame, shared: DataFrame) -> DataFrame:
+    """(cls, units, buckets) per class of grouped (cls, n, part): its units (unit, whole, blocks) and its shared buckets, `bands` at most."""
+    blocks = F.expr(f"greatest(ceil(count(*) / {BLOCK_CLASSES}), ceil(8 * sum(n) / {BLOCK_SET_BYTES}))").cast("int").alias("blocks")
+    placed = grouped.join(grouped.groupBy(F.col("part").alias("p")).agg(blocks), F.col("part") == F.col("p"))
+    whole = placed.where("blocks = 1").select("cls", F.col("part").alias("unit"), F.lit(True).alias("whole"), "blocks")
+    spread = placed.where("blocks > 1").select(F.col("cls").alias("c"), "n").join(shared, F.col("c") == F.col("cls")).select("cls", "n", "bucket")
+    sized = spread.groupBy(F.col("bucket").alias("unit")).agg(blocks)
+    split = spread.join(sized, F.col("bucket") == F.col("unit")).select("cls", "unit", F.lit(False).alias("whole"), "blocks")
+    units = whole.unionByName(split).groupBy("cls").agg(F.collect_list(F.struct("unit", "whole", "blocks")).alias("units"))
+    buckets = shared.groupBy(F.col("cls").alias("c")).agg(F.collect_list("bucket").alias("buckets"))
+    return units.join(buckets, F.col("cls") == F.col("c")).select("cls", "units", "buckets")
+
+
 def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = WORDS, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
     """A row per row of docs: its id, mark (xxhash64 of the text), class_id, text_class, n_links, n_text_links, kept, class_key.
 
@@ -202,34 +237,38 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", siz
     keyed = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sets = durable(signatures(keyed, bands, rows, size))
     classes = sets.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct(F.col("id").isNull().alias("blank"), "id", "mark")).alias("least"), F.count("*").alias("weight"), F.max("n").alias("n"), F.first("bands").alias("bands"))
-    classes = classes.select("f1", "f2", F.col("least.id").alias("rep"), F.col("least.mark").alias("rep_mark"), "weight", "n", "bands")  # one row gives both
-    classes = durable(durable(classes).withColumn("cls", F.monotonically_increasing_id()))  # written, so the numbers stay
-    spots = classes.select("cls", F.posexplode("bands").alias("band", "hash")).select("cls", F.xxhash64("band", "hash").alias("bucket"))
-    heads = spots.groupBy("bucket").agg(F.min("cls").alias("head"), F.count("*").alias("m")).where("m > 1").select(F.col("bucket").alias("b"), "head")
-    candidates = durable(components(spots.join(heads, F.col("bucket") == F.col("b")).where("cls <> head").select(F.col("cls").alias("u"), F.col("head").alias("v"))))
-    grouped = classes.join(candidates, F.col("cls") == F.col("node")).select("cls", "rep", "rep_mark", "weight", "n", "bands", F.col("component").alias("part"))
-    parts = grouped.groupBy("part").agg(F.expr(f"greatest(ceil(count(*) / {BLOCK_CLASSES}), ceil(8 * sum(n) / {BLOCK_SET_BYTES}))").cast("int").alias("blocks")).withColumnRenamed("part", "p")
-    placed = durable(grouped.join(parts, F.col("part") == F.col("p")).drop("p").withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")))
-    wanted = placed.select("cls", "rep", "rep_mark", "weight", "bands", "part", "blocks", "blk")
-    texts = keyed.join(wanted, F.col("id").eqNullSafe(F.col("rep")) & (F.col("mark") == F.col("rep_mark"))).select("part", "blocks", "blk", "cls", "weight", "bands", "text")
+    unnumbered, spare = write_table(classes.select("f1", "f2", F.col("least.id").alias("rep"), F.col("least.mark").alias("rep_mark"), "weight", "n", "bands"))  # one row gives both
+    classes, classes_path = write_table(unnumbered.withColumn("cls", F.monotonically_increasing_id()))  # written, so the numbers stay
+    drop_table(docs.sparkSession, spare)
+    shared, shared_path = write_table(_shared_buckets(classes))
+    candidates = components(shared.where("cls <> head").select(F.col("cls").alias("u"), F.col("head").alias("v")))
+    grouped, grouped_path = write_table(classes.join(candidates, F.col("cls") == F.col("node")).select("cls", "n", F.col("component").alias("part")))
+    units = _units(grouped, shared).withColumnRenamed("cls", "c")
+    wanted, wanted_path = write_table(classes.join(units, F.col("cls") == F.col("c")).select("cls", "rep", "rep_mark", "weight", "units", "buckets"))
+    texts = keyed.join(wanted, F.col("id").eqNullSafe(F.col("rep")) & (F.col("mark") == F.col("rep_mark"))).select("units", "cls", "weight", "buckets", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in text_blocks(batch, 6):
-                sets_ = [shingles(t, size).tobytes() for t in batch.column(6).slice(lo, hi - lo).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(k).slice(lo, hi - lo) for k in range(6)] + [pa.array(sets_, pa.binary())], ["part", "blocks", "blk", "cls", "weight", "bands", "hashes"])
+            for lo, hi in text_blocks(batch, 4):
+                sets_ = [shingles(t, size).tobytes() for t in batch.column(4).slice(lo, hi - lo).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(lo, hi - lo) for k in range(4)] + [pa.array(sets_, pa.binary())], ["units", "cls", "weight", "buckets", "hashes"])
 
-    ready = texts.mapInArrow(hashed, "part long, blocks int, blk int, cls long, weight long, bands array<long>, hashes binary")
+    ready = texts.mapInArrow(hashed, "units array<struct<unit:bigint,whole:boolean,blocks:int>>, cls long, weight long, buckets array<long>, hashes binary")
+    ready = ready.select(F.explode("units").alias("u"), "cls", "weight", "hashes", "buckets").select("u.*", F.pmod(F.xxhash64("cls"), F.col("u.blocks")).cast("int").alias("blk"), "cls", "weight", "hashes", "buckets")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("blk", k).alias("bi"), F.greatest("blk", k).alias("bj")))
-    dealt = ready.select("part", F.explode(pairs).alias("pair"), "blk", "cls", "weight", "hashes", "bands").select("part", "pair.bi", "pair.bj", "blk", "cls", "weight", "hashes", "bands")
-    dealt = dealt.repartition("part", "bi", "bj").sortWithinPartitions("part", "bi", "bj")
-    found = durable(_verify(dealt, threshold))
+    dealt = ready.select("unit", "whole", F.explode(pairs).alias("pair"), "blk", "cls", "weight", "hashes", "buckets").select("unit", "whole", "pair.bi", "pair.bj", "blk", "cls", "weight", "hashes", "buckets")
+    dealt = dealt.repartition("unit", "whole", "bi", "bj").sortWithinPartitions("unit", "whole", "bi", "bj")
+    found, found_path = write_table(_verify(dealt, threshold))
+    for path in (shared_path, grouped_path, wanted_path):
+        drop_table(docs.sparkSession, path)
     groups = components(found.where("root <> cls").select(F.col("cls").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts")).withColumnRenamed("cls", "c")
     named = classes.select("cls", "f1", "f2", "rep", "weight").join(groups, F.col("cls") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy(F.col("component").alias("k")).agg(F.min("rep").alias("class_id"))
     verdict = named.join(least, F.col("component") == F.col("k")).join(links, F.col("cls") == F.col("c"), "left")
     verdict = durable(verdict.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "class_id", F.col("component").alias("class_key"), F.col("rep").alias("text_class"), "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts")))
+    for path in (classes_path, found_path):
+        drop_table(docs.sparkSession, path)
     out = sets.select("id", "mark", "f1", "f2", "n").join(verdict, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left")
     worded = F.col("n") > 0
     out = out.withColumn("class_id", F.when(worded, F.col("class_id")).otherwise(F.col("id"))).withColumn("text_class", F.when(worded, F.col("text_class")).otherwise(F.col("id")))

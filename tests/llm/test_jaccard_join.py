@@ -131,3 +131,34 @@ def test_one_row_of_each_class(spark):
     got = J.keep_one_row(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, (r.text or "").lower().split()) for r in got) == sorted([(1, ["a", "b", "c"]), (0, ["d", "e", "f"]), (0, ["g", "h", "i"]), (3, []), (3, []), (0, [])])
     assert J.keep_one_row(df.limit(0)).count() == 0
+
+
+def test_a_chain_is_verified_by_its_buckets(spark, monkeypatch):
+    """A component of many look-alikes: every set goes to its buckets, not to every block of the component."""
+    rnd = random.Random(3)
+    words = [f"w{k}" for k in range(80)]
+    rows = []
+    for k in range(120):  # neighbours are near copies, the ends have nothing in common
+        words[rnd.randrange(len(words))] = f"n{k}"
+        rows.append((k, " ".join(words)))
+    monkeypatch.setattr(J, "BLOCK_CLASSES", 8)
+    shipped = []
+    verify = J._verify
+
+    def counted(dealt, threshold):
+        shipped.append(dealt.count())
+        return verify(dealt, threshold)
+
+    monkeypatch.setattr(J, "_verify", counted)
+    got = sorted((r.doc_id, r.class_id, r.n_links, r.kept) for r in J.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
+    assert shipped[0] <= 120 * J.bands_for()
+
+
+def test_each_pair_has_one_bucket():
+    """Of the buckets that two classes share, the smallest verifies them; a whole component takes all of its buckets."""
+    left, right = [(0, 1, None, [3, 5]), (1, 1, None, [5])], [(2, 1, None, [3, 5]), (3, 1, None, [5, 9])]
+    assert J._candidates(left, right, 5, False).tolist() == [[False, True], [True, True]]
+    assert J._candidates(left, right, 3, False)[:1, :1].tolist() == [[True]]
+    assert J._candidates([(0, 1, None, [1])], right, 0, True).tolist() == [[False, False]]
+    assert J._candidates(left, right, 0, True).tolist() == [[True, True], [True, True]]
