@@ -272,8 +272,13 @@ def spread(rows: list[tuple]) -> list[tuple]:
     return out
 
 
-def ordered(chosen: list[tuple[int, float]], ordering: str, seed: int = 42) -> list[tuple[int, float]]:
-    """The selection's final order; orders of adding fall through to the score, and a seed of 0 or none counts 42."""
+def ordered(chosen: list[tuple[int, float]], ordering: str, seed: int = 42, artists: Mapping[int, str] | None = None) -> list[tuple[int, float]]:
+    """The selection's final order; orders of adding fall through to the score, and a seed of 0 or none counts 42.
+
+    artists: the name of a track's first artist, for `artist_grouped`; tracks without one come first.
+    """
+    if ordering == "artist_grouped":
+        return sorted(chosen, key=lambda r: ((artists or {}).get(r[0]) or "", -r[1], r[0]))
     if ordering == "artist_spread":
         return chosen
     if ordering == "random_seeded":
@@ -286,8 +291,9 @@ def ordered(chosen: list[tuple[int, float]], ordering: str, seed: int = 42) -> l
 def preview(rule: Rule, view: DataFrame, liked: DataFrame, playlist_tracks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items, exclusions). view: the wide view with track_id, isrc, artist_id, album_id, artist_ids, availability.
 
-    ISRC duplicates go before the filters, so a track that a filter drops still hides its duplicates. Rows that a cap
-    passed over tell which; rows after the target size is reached have no exclusion.
+    `artist_grouped` needs artist_names (in order) too. ISRC duplicates go before the filters, so a track that a filter
+    drops still hides its duplicates. Rows that a cap passed over tell which; rows after the target size is reached
+    have no exclusion.
     """
     from crateflow.operators.duplicates import first_per_isrc
 
@@ -302,6 +308,10 @@ def preview(rule: Rule, view: DataFrame, liked: DataFrame, playlist_tracks: Data
     blank = passed.where(F.col("score").isNull()).select("track_id", F.lit("SCORE_NOT_COMPUTABLE").alias("reason"))
     chosen = _chosen(scored, rule)
     over = capped(scored, rule, chosen)
-    final = ordered([(t, s) for t, s, *_ in (spread(chosen) if rule.spread_artists else chosen)], rule.ordering, rule.seed)
+    names = {}
+    if rule.ordering == "artist_grouped" and "artist_names" in view.columns:  # target_size rows at most
+        named = view.where(F.col("track_id").isin([t for t, *_ in chosen])).select("track_id", F.get("artist_names", F.lit(0)))
+        names = dict(map(tuple, named.collect()))
+    final = ordered([(t, s) for t, s, *_ in (spread(chosen) if rule.spread_artists else chosen)], rule.ordering, rule.seed, names)
     items = spark.createDataFrame([(k, t, float(s)) for k, (t, s) in enumerate(final)], "position int, track_id long, score double")
     return items, dropped.unionByName(doubles).unionByName(over).unionByName(blank)

@@ -79,14 +79,14 @@ def backfilled(albums: DataFrame, derived: DataFrame) -> tuple[DataFrame, DataFr
 def profile_closure(edges: DataFrame, start: str) -> DataFrame:
     """All that a profile needs, through any number of edges (name, needs), each once; cycles end by themselves.
 
-    One join a level; profiles are a catalogue of some dozens of rows.
+    Profiles are a catalogue of some dozens of rows: a level's names are looked up in one scan, and the plan stays as it is.
     """
-    seen = edges.sparkSession.createDataFrame([(start,)], "name string")
-    new = seen
-    while not new.isEmpty():
-        new = edges.join(new, "name", "left_semi").select(F.col("needs").alias("name")).distinct().join(seen, "name", "left_anti")
-        seen = seen.unionByName(new)
-    return seen
+    seen, new = {start}, [start]
+    while new:
+        needed = edges.where(F.col("name").isin(*new) & F.col("needs").isNotNull()).select("needs").distinct().collect()
+        new = sorted({r[0] for r in needed} - seen)
+        seen.update(new)
+    return edges.sparkSession.createDataFrame([(n,) for n in sorted(seen)], "name string")
 
 
 def build_rows(parts: Sequence[DataFrame]) -> DataFrame:

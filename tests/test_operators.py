@@ -131,6 +131,7 @@ def test_rules():
     assert [r[0] for r in rules.spread(rows)] == [1, 3, 2]
     assert rules.ordered([(1, 0.5), (2, 0.9)], "recently_added_desc") == [(2, 0.9), (1, 0.5)]
     assert rules.ordered([(k, 0.0) for k in range(9)], "random_seeded", 0) == rules.ordered([(k, 0.0) for k in range(9)], "random_seeded", 42)
+    assert rules.ordered([(1, 0.5), (2, 0.9), (3, 0.1), (4, 0.5)], "artist_grouped", artists={1: "b", 2: "b", 4: "a", 3: None}) == [(3, 0.1), (4, 0.5), (2, 0.9), (1, 0.5)]
 
 
 def test_search_checks():
