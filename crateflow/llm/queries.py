@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateflow.llm import byte_bpe, embedding_dedup, jaccard_join, language_id, lm_scoring, secret_scan, source_mix, topk_search, toxicity, url_filter
+from crateflow.llm import byte_bpe, divergence, embedding_dedup, importance, jaccard_join, language_id, lm_scoring, secret_scan, sharding, source_mix, topk_search, toxicity, url_filter
 from crateflow.llm.runtime import bucket_of, small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -224,5 +224,82 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op1_lm_scoring": op1_lm_scoring, "op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op4_topk_search": op4_topk_search, "op5_url_filter": op5_url_filter, "op6_jaccard_join": op6_jaccard_join, "op7_secret_scan": op7_secret_scan, "op8_embedding_dedup": op8_embedding_dedup, "op9_byte_bpe": op9_byte_bpe, "op10_source_mix": op10_source_mix}
-ORACLES: dict[str, str] = {"op4_topk_search": TOPK_SQL, "op8_embedding_dedup": DEDUP_SQL, "op6_jaccard_join": JACCARD_SQL, "op5_url_filter": _url_sql(), "op7_secret_scan": _secret_sql(), "op10_source_mix": mix_sql()}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Every group against every term.
+DIVERGENCE_SQL = rf"""
+    with docs as (select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source, {_LOWERED} as t from documents),
+    w as (select rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+    kept as (select lang, term, count(*)::hugeint as total from w group by all having count(distinct rid) >= 3),
+    v as (select lang, count(*)::hugeint as v, sum(total)::hugeint as nl from kept group by lang),
+    g as (select distinct lang, source from docs),
+    c as (select lang, source, term, count(*)::hugeint as n from w semi join kept using (lang, term) group by all),
+    s as (select lang, source, coalesce(sum(n), 0)::hugeint as n from g left join c using (lang, source) group by all),
+    p as (select s.lang, s.source, k.term, coalesce(c.n, 0) as n, 1 + 1000000000::hugeint * (coalesce(c.n, 0) + 1) // (s.n + v.v) as p, 1 + 1000000000::hugeint * (k.total + 1) // (v.nl + v.v) as q
+      from s join v using (lang) join kept k using (lang) left join c on c.lang = s.lang and c.source = s.source and c.term = k.term),
+    pairs as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p)::bigint as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+    found as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(pairs.value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source
+      union all select lang, source, 'term', term, ((p - q) * (p - q) // q)::bigint from p where n > 0 and p > q)
+    select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from found qualify part = 'pair' or rank <= 200"""
+
+SHARDS = 40
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.placed(_table(spark, sf_dir, "documents").select("doc_id", "text"), sharding.regular(SHARDS))
+    return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+#: The checksum's table, made bit by bit, and a checksum as a fold over the bytes of `{}`.
+_CRC_TABLE = "tab as (select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) as tab)"
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({})), '..'), lambda x: ('0x' || x)::bigint)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _sharding_sql() -> str:
+    """Every child of the node that a key has reached, level by level, in the tree and the grown one."""
+    trees = {"shard": sharding.regular(SHARDS), "grown_shard": sharding.regular(SHARDS).grown()}
+    steps, ends = [], []
+    for name, tree in trees.items():
+        for k, level in enumerate(tree.levels()):
+            rows = ", ".join(f"({at}, '{child}', {weight}::double, {place})" for at, children in enumerate(level) for child, weight, place in children)
+            draw = f"-ln((('0x' || substr(md5(child || ':' || key), 1, {sharding.DIGITS}))::bigint::double + 0.5) / {float(16**sharding.DIGITS)}::double) / weight"
+            before = f"{name}{k - 1}" if k else "(select rid, key, 0 as node from d)"
+            steps.append(f"{name}{k} as (select rid, any_value(key) as key, arg_min(place, {draw}) as node from {before} join (values {rows}) as t(parent, child, weight, place) on parent = node group by rid)")
+        ends.append(f"(select rid, node::int as {name} from {name}2)")
+    return f"""
+    with d as (select row_number() over () as rid, doc_id, coalesce(doc_id::varchar, '') as key, coalesce(text, '') as t from documents), {_CRC_TABLE},
+    {", ".join(steps)}
+    select doc_id, strlen(t)::bigint + {sharding.ROW_BYTES} as size, {_CRC.format("t")} as text_crc32, '{sharding.LAW}' as law, shard, row_number() over (partition by shard order by doc_id, rid) - 1 as slot, grown_shard
+    from d join {ends[0]} using (rid) join {ends[1]} using (rid), tab"""
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.resample(docs, _table(spark, sf_dir, "benchmark").select("text")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def _importance_sql() -> str:
+    s = importance.Settings()
+    words = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+    with d as (select row_number() over () as rid, doc_id, {words} as words from documents), {_CRC_TABLE},
+    dw as (select rid, word, count(*) as n from (select rid, unnest(words) as word from d) group by all),
+    bw as (select unnest({words}) as word from benchmark),
+    hashed as (select word, {_CRC.format("word")} % {s.buckets} as bucket from (select word from dw union select word from bw), tab),
+    s as (select bucket, sum(n) as s from dw join hashed using (word) group by bucket),
+    t as (select bucket, count(*) as t from bw join hashed using (word) group by bucket),
+    gains as (select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select coalesce(sum(s), 0) from s) + {s.buckets})::double / ((coalesce(s, 0) + 1)::double * ((select coalesce(sum(t), 0) from t) + {s.buckets})::double)))::bigint as gain
+      from s full join t using (bucket)),
+    sums as (select rid, sum(n * gain)::bigint as total, sum(n)::bigint as n from dw join hashed using (word) join gains using (bucket) group by rid),
+    w as (select rid, doc_id, len(words) as n_words, coalesce(n, 0) as n_features, case when n > 0 then (total - ((total % n) + n) % n) // n else 0 end as weight from d left join sums using (rid)),
+    sc as (select *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('{s.seed}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint::double + 0.5) / 4294967296.0::double)))::bigint as score from w),
+    r as (select *, n_words >= {s.least_words} as able, row_number() over (partition by n_words >= {s.least_words} order by score desc, doc_id, rid) as place from sc)
+    select doc_id, n_features, weight, score, case when able and place <= {s.percent} * (select count(*) from r where able) // 100 then place end as rank from r"""
+
+
+QUERIES: dict[str, Query] = {"op1_lm_scoring": op1_lm_scoring, "op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op4_topk_search": op4_topk_search, "op5_url_filter": op5_url_filter, "op6_jaccard_join": op6_jaccard_join, "op7_secret_scan": op7_secret_scan, "op8_embedding_dedup": op8_embedding_dedup, "op9_byte_bpe": op9_byte_bpe, "op10_source_mix": op10_source_mix, "op11_source_divergence": op11_source_divergence, "op12_sharding": op12_sharding, "op13_importance_resampling": op13_importance_resampling}
+ORACLES: dict[str, str] = {"op4_topk_search": TOPK_SQL, "op8_embedding_dedup": DEDUP_SQL, "op6_jaccard_join": JACCARD_SQL, "op5_url_filter": _url_sql(), "op7_secret_scan": _secret_sql(), "op10_source_mix": mix_sql(), "op11_source_divergence": DIVERGENCE_SQL, "op12_sharding": _sharding_sql(), "op13_importance_resampling": _importance_sql()}

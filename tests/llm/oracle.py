@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -23,7 +24,7 @@ def same(spark, name, queries, oracles, dir_=SMALL, digits=9):
 
     def rows(df):
         clean = lambda x: round(x, digits) + 0.0 if isinstance(x, float) else x
-        return sorted([tuple(clean(v) if v == v and v is not None else None for v in r) for r in df[columns].itertuples(index=False)], key=repr)
+        return sorted([tuple(None if v is None or v is pd.NA or v != v else clean(v) for v in r) for r in df[columns].itertuples(index=False)], key=repr)
 
     a, b = rows(got), rows(want)
     assert len(a) == len(b), (len(a), len(b))
