@@ -19,7 +19,7 @@ from crateflow.llm.words import BEYOND, LOWER, folding, parts
 LETTERS = folding(LOWER + BEYOND)
 SCALE = 1_000_000_000
 #: Distinct (group, term) counts that a task holds before it gives them out.
-HELD = 1 << 17
+HELD = 1 << 19
 #: Pairs of postings that are worked on at a time.
 PAIRS = 1 << 20
 #: Counts up to this are buckets of their own; larger ones share FINE buckets for each factor of e.
