@@ -74,10 +74,14 @@ def unblocked(items: DataFrame, edges: DataFrame) -> DataFrame:
     edges: item_id, needs_id. A prerequisite that does not exist is not met; an item without any is met.
     """
     blocked = items.where("status = 'blocked'").select("item_id")
+    return blocked.join(unmet(blocked, items, edges), "item_id", "left_anti")
+
+
+def unmet(some: DataFrame, items: DataFrame, edges: DataFrame) -> DataFrame:
+    """Those of some item_ids with a prerequisite that isn't met."""
     state = items.select(F.col("item_id").alias("needs_id"), F.when(F.col("stage") == "download", F.col("status") == "success").otherwise(F.col("status").isin("success", "skipped", "failed")).alias("met"))
-    needs = edges.join(blocked, "item_id", "left_semi").join(state, "needs_id", "left")
-    unmet = needs.where(~F.coalesce("met", F.lit(False))).select("item_id").distinct()
-    return blocked.join(unmet, "item_id", "left_anti")
+    needs = edges.join(some, "item_id", "left_semi").join(state, "needs_id", "left")
+    return needs.where(~F.coalesce("met", F.lit(False))).select("item_id").distinct()
 
 
 def queue_head(items: DataFrame, now: Column, n: int = 1) -> DataFrame:
@@ -148,6 +152,37 @@ def stuck_hint(items: DataFrame) -> DataFrame:
     return items.groupBy("job_id").agg(hint.alias("hint"))
 
 
+#: Items that a run of aggregation or cleanup takes, and the backlog from which it takes twice as many.
+RUN_SIZE, HIGH_BACKLOG = 25, 100
+
+
+def run_head(items: DataFrame, stage: str, edges: DataFrame, adaptive: bool = True) -> DataFrame:
+    """The pending items of a stage that a run takes of each job: the oldest RUN_SIZE, twice as many from HIGH_BACKLOG on, if adaptive.
+
+    Of these only items whose needs are met are returned; the others keep their place and wait.
+    """
+    pending = items.where((F.col("stage") == stage) & (F.col("status") == "pending"))
+    backlog = pending.groupBy("job_id").agg(F.count("*").alias("backlog"))
+    rank = F.row_number().over(Window.partitionBy("job_id").orderBy("created_at", "item_id"))
+    first = pending.withColumn("n", rank).where(F.col("n") <= 2 * RUN_SIZE).join(backlog, "job_id")
+    most = F.when((F.col("backlog") >= HIGH_BACKLOG) & F.lit(adaptive), 2 * RUN_SIZE).otherwise(RUN_SIZE)
+    head = first.where(F.col("n") <= most).drop("n", "backlog")
+    waiting = unmet(head.select("item_id"), items, edges)
+    return head.join(waiting, "item_id", "left_anti")
+
+
+def cleaned_up(head: DataFrame, segments: DataFrame, items: DataFrame, keep: bool = False) -> DataFrame:
+    """What a cleanup run makes of its items: item_id, status, error_code, blocked (segments that other items still need).
+
+    An item with such a segment fails and may be tried again; with keep nothing is removed and all succeed. segments: job_id, track_id, segment_id.
+    """
+    busy = items.where(F.col("status").isin("pending", "running", "rate_limited", "blocked") & F.col("stage").isin("lowlevel", "tensorflow")).select("segment_id").distinct()
+    held = segments.join(busy, "segment_id", "left_semi").groupBy("job_id", "track_id").agg(F.count("*").alias("blocked"))
+    rows = head.join(held, ["job_id", "track_id"], "left").withColumn("blocked", F.lit(0).cast("long") if keep else F.coalesce("blocked", F.lit(0)))
+    waits = F.col("blocked") > 0
+    return rows.select("item_id", F.when(waits, "failed").otherwise("success").alias("status"), F.when(waits, "SEGMENT_CONSUMER_PENDING").alias("error_code"), "blocked")
+
+
 def orphaned(jobs: DataFrame, alive: DataFrame, managed: tuple[str, ...]) -> DataFrame:
     """Queued or running jobs that nothing alive runs become failed; types that workers manage stay."""
     live = jobs.join(alive.select("job_id", F.lit(True).alias("__alive")), "job_id", "left")
@@ -155,7 +190,8 @@ def orphaned(jobs: DataFrame, alive: DataFrame, managed: tuple[str, ...]) -> Dat
     return live.withColumn("status", F.when(lost, "failed").otherwise(F.col("status"))).drop("__alive")
 
 
-def heartbeats(beats: DataFrame) -> DataFrame:
-    """The last beat of each worker."""
+def heartbeats(beats: DataFrame, tie: str | None = None) -> DataFrame:
+    """The last beat of each worker; of beats at one time the one with the largest `tie`, if that is named."""
     rest = [c for c in beats.columns if c != "worker_id"]
-    return beats.groupBy("worker_id").agg(F.max_by(F.struct(*rest), "last_seen_at").alias("b")).select("worker_id", *[F.col(f"b.{c}").alias(c) for c in rest])
+    newest = F.struct("last_seen_at", *([tie] if tie else []))
+    return beats.groupBy("worker_id").agg(F.max_by(F.struct(*rest), newest).alias("b")).select("worker_id", *[F.col(f"b.{c}").alias(c) for c in rest])

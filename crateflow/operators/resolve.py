@@ -60,6 +60,21 @@ def by_priority(rows: DataFrame, field: str, sources: Sequence[str], confidence:
     return picked.select("track_id", F.lit(field).alias("feature"), value.alias("value"), F.when(value.isNotNull(), F.col("p.c")).alias("confidence"), F.when(value.isNotNull(), F.col("p.s")).alias("source"), status.alias("status"))
 
 
+def wide_by_priority(rows: DataFrame, fields: Sequence[str], sources: Sequence[str], confidence: str) -> DataFrame:
+    """by_priority() of several fields as structs (value, confidence, source, status), from one grouping of the rows."""
+    sure = or_default(F.col(confidence), 1.0)
+    held = {f: F.col(f).cast("double") for f in fields}
+    best = [F.max_by(F.struct(held[f].alias("v"), sure.alias("c"), F.lit(s).alias("s")), F.when((F.col("source") == s) & held[f].isNotNull(), F.col("row_id"))).alias(f"{f}_{k}") for f in fields for k, s in enumerate(sources)]
+    per = rows.groupBy("track_id").agg(*best)
+    picked = per.select("track_id", *[F.coalesce(*[F.col(f"{f}_{k}") for k in range(len(sources))]).alias(f) for f in fields])
+    out = []
+    for f in fields:
+        value = valid_field(f, F.col(f"{f}.v"))
+        status = F.when(value.isNull(), "missing").when(F.col(f"{f}.c") < LOW_CONFIDENCE, "low_confidence").otherwise("available")
+        out.append(F.struct(value.alias("value"), F.when(value.isNotNull(), F.col(f"{f}.c")).alias("confidence"), F.when(value.isNotNull(), F.col(f"{f}.s")).alias("source"), status.alias("status")).alias(f))
+    return picked.select("track_id", *out)
+
+
 def long_form_status(row_status: Column, value: Column, confidence: Column) -> Column:
     return F.when(row_status == "model_missing", "model_missing").when(value.isNull(), "missing").when((row_status == "partial") | (confidence < LOW_CONFIDENCE), "low_confidence").otherwise("available")
 

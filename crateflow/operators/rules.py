@@ -7,14 +7,16 @@ over all tracks. Features come as columns of a wide view: <name>, <name>_status.
 from __future__ import annotations
 
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crateflow.functions.numeric import clamp01, min_max
+from crateflow.sources.tables import written
 
 MOST_TRACKS = 500
 #: Reason codes of range failures. Features without their own report one of two others.
@@ -127,13 +129,16 @@ def candidates(rule: Rule, liked: DataFrame, playlist_tracks: DataFrame) -> Data
     return out.where(~F.col("track_id").isin(*rule.exclude_track_ids)) if rule.exclude_track_ids else out
 
 
-def reasons(rule: Rule) -> Column:
+def reasons(rule: Rule, future: Sequence[str] = ()) -> Column:
     """Array of the reasons that exclude a row of the wide view; empty: it passes.
 
-    A missing feature excludes only where required, one of low confidence too; otherwise its range still holds.
+    A missing feature excludes only where required, one of low confidence too; otherwise its range still holds. Filters on
+    features that are not computed yet have no effect, and need no column.
     """
     parts: list[Column] = []
     for f in rule.filters:
+        if f.feature in future:
+            continue
         value, status = F.col(f.feature), F.col(f"{f.feature}_status")
         absent = status.isNull() | status.isin("missing", "source_failed", "not_available_yet")
         code = F.when(status.isNull(), "FEATURE_MISSING").otherwise("FEATURE_NOT_AVAILABLE_YET") if f.required else F.lit(None).cast("string")
@@ -153,10 +158,12 @@ def reasons(rule: Rule) -> Column:
     return F.array_compact(F.array(*parts)) if parts else F.array().cast("array<string>")
 
 
-def score(rule: Rule) -> Column:
-    """Weighted mean of the usable components, their weights renormalised; null if none is usable."""
+def score(rule: Rule, future: Sequence[str] = ()) -> Column:
+    """Weighted mean of the usable components, their weights renormalised; null if none is usable. Those to come are passed over."""
     total, weights, usable = F.lit(0.0), F.lit(0.0), F.lit(0)
     for name, weight in rule.weights.items():
+        if name in future:
+            continue
         if name in DERIVED or name in DERIVED_BY:
             flag, yes, no = DERIVED_BY.get(name, (None, 0.0, DERIVED.get(name, 0.0)))
             value = F.lit(no) if flag is None else F.when(F.coalesce(F.col(flag), F.lit(False)), yes).otherwise(no)
@@ -172,91 +179,100 @@ def score(rule: Rule) -> Column:
 
 
 def one_cap(scored: DataFrame, by: str, most: int, size: int) -> DataFrame:
-    """The best `size` rows with at most `most` of each value of `by`, exactly, without a fold. Nulls of `by` have no cap."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "track_id"))
-    capped = scored.where(F.col(by).isNotNull()).withColumn("n", rank).where(F.col("n") <= most).drop("n")
-    return capped.unionByName(scored.where(F.col(by).isNull())).orderBy(F.desc("score"), "track_id").limit(size)
+    """The best `size` rows with at most `most` of each value of `by`, exactly, without a fold. Nulls of `by` have no cap.
+
+    One window: a row without a value is alone in its partition.
+    """
+    alone = F.when(F.col(by).isNull(), F.col("track_id"))
+    rank = F.row_number().over(Window.partitionBy(by, alone).orderBy(F.desc("score"), "track_id"))
+    return scored.withColumn("n", rank).where(F.col("n") <= most).drop("n").orderBy(F.desc("score"), "track_id").limit(size)
+
+
+def _caps(rule: Rule) -> dict[str, int]:
+    return {c: cap for c, cap in (("artist_id", rule.max_per_artist), ("album_id", rule.max_per_album)) if cap is not None}
 
 
 def _competitive(scored: DataFrame, rule: Rule) -> DataFrame:
-    """Rows that the two caps can still choose, far fewer than all: an artist's rows that an album cap may skip stay.
+    """Rows that the caps can still choose, far fewer than all: an artist's rows that an album cap may skip stay.
 
     Per artist and album only the first max_per_artist, max_per_album rows (the smaller) can be taken, as further ones
     meet the same full quota. A null artist or album has no cap, so only the other's and target_size hold there.
     """
-    most = F.least(F.lit(rule.target_size), *[F.when(F.col(c).isNotNull(), cap) for c, cap in (("artist_id", rule.max_per_artist), ("album_id", rule.max_per_album)) if cap is not None], F.lit(None))
+    most = F.least(F.lit(rule.target_size), *[F.when(F.col(c).isNotNull(), cap) for c, cap in _caps(rule).items()], F.lit(None))
     rank = F.row_number().over(Window.partitionBy("artist_id", "album_id").orderBy(F.desc("score"), "track_id"))
-    return scored.withColumn("n", rank).where(F.col("n") <= most).drop("n")
+    return scored.withColumn("n", rank).where(F.col("n") <= rule.target_size).where(F.col("n") <= most).drop("n")
+
 
+def _behind(score: Column, track_id: Column) -> Column:
+    """Whether a row comes after the one of this score and id."""
+    return (F.col("score") < score) | ((F.col("score") == score) & (F.col("track_id") > track_id))
 
-def diversify(scored: DataFrame, rule: Rule, block: int = 20_000) -> list[tuple[int, float]]:
-    """(track_id, score) in selection order under both caps: a greedy scan in score order that stops at target_size.
 
-    Two caps interact, so no window expresses them. The rows come to the driver in score order, a block at a time, and
-    the scan stops at target_size; a row over the artist's cap is not tested for its album and uses no quota. Artists and
-    albums that are full (target_size of each at most) are left out of the next block, so every block but the last adds rows.
+def diversify(scored: DataFrame, rule: Rule) -> DataFrame:
+    """track_id, score, artist_id, album_id of what a greedy scan in score order takes under both caps, target_size rows at most.
+
+    Rounds, no scan. A row is taken if its place among the undecided rows of its artist, and of its album, is within what
+    each has free: earlier rows cannot use that up. No undecided row comes before a row by which its artist or album
+    became full, so the rows of full ones go. Once target_size rows are taken, those behind the last of them go too, and rows
+    taken behind it are forgotten, as nothing before it depends on them. The first undecided row is taken in every
+    round, so there are target_size rounds at most and one that takes nothing. What is taken is a written table of
+    MOST_TRACKS rows at most, from which the undecided rows follow, so plans stay as they are; these are written anew when
+    target_size is first reached, as few are left then. A window keeps max_per_artist or max_per_album rows of a key, so
+    an artist with a third of all rows costs no more than another.
     """
-    chosen = _chosen(scored, rule, block)
-    return [(t, s) for t, s, *_ in (spread(chosen) if rule.spread_artists else chosen)]
-
-
-def _chosen(scored: DataFrame, rule: Rule, block: int = 20_000) -> list[tuple[int, float, Any, Any]]:
-    """The scan of diversify(): (track_id, score, artist_id, album_id)."""
-    chosen: list[tuple[int, float, Any, Any]] = []
-    caps = {"artist_id": rule.max_per_artist, "album_id": rule.max_per_album}
-    used: dict[str, dict[Any, int]] = {c: {} for c in caps}
-    rows = _competitive(scored, rule).select("track_id", "score", "artist_id", "album_id")
-    after: tuple[float, int] | None = None
-    while len(chosen) < rule.target_size:
-        some = rows if after is None else rows.where((F.col("score") < after[0]) | ((F.col("score") == after[0]) & (F.col("track_id") > after[1])))
+    columns = ["track_id", "score", "artist_id", "album_id"]
+    caps, size = _caps(rule), min(rule.target_size, MOST_TRACKS)
+    order = [F.desc("score"), F.col("track_id")]
+    base = written(_competitive(scored, rule).select(*columns))
+    for c, cap in caps.items():
+        base = base if cap > 0 else base.where(F.col(c).isNull())
+    taken, held, known, cut = base.limit(0), base, None, False
+    while True:
+        sure = held
+        for c, cap in caps.items():
+            used = F.broadcast(taken.groupBy(c).agg(F.count("*").alias("used")))
+            rank = F.row_number().over(Window.partitionBy(c).orderBy(*order))
+            first = held.where(F.col(c).isNotNull()).withColumn("n", rank).where(F.col("n") <= cap)
+            free = first.join(used, c, "left").where(F.col("n") <= cap - F.coalesce("used", F.lit(0)))
+            able = free.select("track_id").unionByName(held.where(F.col(c).isNull()).select("track_id"))
+            sure = sure.join(able, "track_id", "left_semi")
+        taken = written(taken.unionByName(sure).orderBy(*order).limit(size))
+        last = taken.agg(F.count("*"), F.max(F.struct(-F.col("score"), "track_id")), F.sum(F.xxhash64("track_id").cast("decimal(38,0)"))).first()
+        if last == known:
+            return taken
+        known, held = last, base.join(F.broadcast(taken.select("track_id")), "track_id", "left_anti")
         for c, cap in caps.items():
-            full = [v for v, n in used[c].items() if cap is not None and n >= cap]
-            some = some.where(F.col(c).isNull() | ~F.col(c).isin(*full)) if full else some
-        batch = some.orderBy(F.desc("score"), "track_id").limit(block).collect()  # block rows at most
-        for r in batch:
-            if len(chosen) == rule.target_size:
-                break
-            if any(cap is not None and r[c] is not None and used[c].get(r[c], 0) >= cap for c, cap in caps.items()):
-                continue
-            for c in caps:
-                if r[c] is not None:
-                    used[c][r[c]] = used[c].get(r[c], 0) + 1
-            chosen.append(tuple(r))
-        if len(batch) < block:
-            break
-        after = batch[-1]["score"], batch[-1]["track_id"]
-    return chosen
-
-
-def capped(scored: DataFrame, rule: Rule, chosen: list[tuple[int, float, Any, Any]]) -> DataFrame:
-    """(track_id, reason) of the rows that the scan passed over: the artist's cap, else the album's.
+            full = taken.groupBy(c).agg(F.count("*").alias("n")).where(F.col("n") >= cap).select(c)
+            held = held.join(F.broadcast(full), c, "left_anti")
+        if last[0] == size:
+            held = held.where(~_behind(F.lit(-last[1][0]), F.lit(last[1][1])))
+            if not cut:
+                base, cut = written(held.select(*columns)), True
+                held = base
+
+
+def capped(scored: DataFrame, rule: Rule, chosen: DataFrame) -> DataFrame:
+    """(track_id, reason) of the rows that the caps passed over: the artist's cap, else the album's.
 
     A row is over a cap if it comes after the chosen row that filled it. Rows after the last one that target_size let in
-    were not looked at and have no reason. chosen: as from the scan, MOST_TRACKS at most.
+    were not looked at and have no reason. chosen: as from diversify(), MOST_TRACKS rows at most, which is what is sent.
     """
-    spark = scored.sparkSession
-    taken = spark.createDataFrame([(t,) for t, *_ in chosen], "track_id long")
-    left = scored.select("track_id", "score", "artist_id", "album_id").join(F.broadcast(taken), "track_id", "left_anti")
-
-    def behind(t: Column, s: Column) -> Column:
-        return (F.col("score") < s) | ((F.col("score") == s) & (F.col("track_id") > t))
-
-    if len(chosen) >= rule.target_size:
-        left = left.where(~behind(F.lit(chosen[-1][0]), F.lit(chosen[-1][1])))
-    over = []
-    for c, cap, at in (("artist_id", rule.max_per_artist, 2), ("album_id", rule.max_per_album, 3)):
-        seen: dict[Any, int] = {}
-        filled = []
-        for row in chosen:
-            if cap and row[at] is not None:
-                seen[row[at]] = seen.get(row[at], 0) + 1
-                filled += [(row[at], row[0], row[1])] if seen[row[at]] == cap else []
-        kind = scored.schema[c].dataType.simpleString()
-        full = spark.createDataFrame(filled, f"__{c} {kind}, __t_{c} long, __s_{c} double")
-        left = left.join(F.broadcast(full), F.col(c) == F.col(f"__{c}"), "left")
-        none = F.lit(cap == 0) & F.col(c).isNotNull()
-        over.append(none | F.coalesce(behind(F.col(f"__t_{c}"), F.col(f"__s_{c}")), F.lit(False)))
-    reason = F.when(over[0], "MAX_TRACKS_PER_ARTIST").when(over[1], "MAX_TRACKS_PER_ALBUM")
+    left = scored.select("track_id", "score", "artist_id", "album_id").join(F.broadcast(chosen.select("track_id")), "track_id", "left_anti")
+    last = chosen.agg(F.count("*"), F.max(F.struct(-F.col("score"), "track_id"))).first()
+    if last[0] >= rule.target_size:
+        left = left.where(~_behind(F.lit(-last[1][0]), F.lit(last[1][1])))
+    over = {}
+    for c in ("artist_id", "album_id"):
+        cap = _caps(rule).get(c)
+        over[c] = F.lit(False)
+        if cap == 0:
+            over[c] = F.col(c).isNotNull()
+        elif cap:
+            rank = F.row_number().over(Window.partitionBy(c).orderBy(F.desc("score"), "track_id"))
+            full = chosen.where(F.col(c).isNotNull()).withColumn("n", rank).where(F.col("n") == cap).select(c, F.col("track_id").alias(f"t_{c}"), F.col("score").alias(f"s_{c}"))
+            left = left.join(F.broadcast(full), c, "left")
+            over[c] = F.coalesce(_behind(F.col(f"s_{c}"), F.col(f"t_{c}")), F.lit(False))
+    reason = F.when(over["artist_id"], "MAX_TRACKS_PER_ARTIST").when(over["album_id"], "MAX_TRACKS_PER_ALBUM")
     return left.select("track_id", reason.alias("reason")).where("reason is not null")
 
 
@@ -288,30 +304,46 @@ def ordered(chosen: list[tuple[int, float]], ordering: str, seed: int = 42, arti
     return sorted(chosen, key=lambda r: (r[1], r[0])) if ordering == "score_asc" else sorted(chosen, key=lambda r: (-r[1], r[0]))
 
 
-def preview(rule: Rule, view: DataFrame, liked: DataFrame, playlist_tracks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def arranged(chosen: DataFrame, rule: Rule) -> DataFrame:
+    """position, track_id, score: what diversify() took in the rule's final order. Adds artist_name where `artist_grouped` has it.
+
+    One task sees MOST_TRACKS rows at most; spreading and shuffling are one row after another by what they mean.
+    """
+    named = "artist_name" in chosen.columns
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [r for b in batches for r in b.itertuples(index=False)]
+        rows = sorted(((r.track_id, r.score, None if pd.isna(r.artist) else r.artist, r.name) for r in rows), key=lambda r: (-r[1], r[0]))
+        names = {r[0]: r[3] for r in rows}
+        final = ordered([r[:2] for r in (spread(rows) if rule.spread_artists else rows)], rule.ordering, rule.seed, names)
+        yield pd.DataFrame([(k, t, s) for k, (t, s) in enumerate(final)], columns=["position", "track_id", "score"])
+
+    name = F.col("artist_name") if named else F.lit(None).cast("string")
+    rows = chosen.select("track_id", F.col("score").cast("double").alias("score"), F.col("artist_id").cast("string").alias("artist"), name.alias("name"))
+    return rows.coalesce(1).mapInPandas(place, "position int, track_id long, score double")
+
+
+def preview(rule: Rule, view: DataFrame, liked: DataFrame, playlist_tracks: DataFrame, future: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(items, exclusions). view: the wide view with track_id, isrc, artist_id, album_id, artist_ids, availability.
 
     `artist_grouped` needs artist_names (in order) too. ISRC duplicates go before the filters, so a track that a filter
     drops still hides its duplicates. Rows that a cap passed over tell which; rows after the target size is reached
-    have no exclusion.
+    have no exclusion. The judged rows are written once, and all that follows reads them. future: features that are not computed yet.
     """
     from crateflow.operators.duplicates import first_per_isrc
 
-    spark = view.sparkSession
     pool = view.join(candidates(rule, liked, playlist_tracks), "track_id", "left_semi")
-    unique = first_per_isrc(pool)
-    doubles = pool.join(unique.select("track_id"), "track_id", "left_anti").select("track_id", F.lit("DUPLICATE_ISRC_EXCLUDED").alias("reason"))
-    judged = unique.withColumn("reasons", reasons(rule)).withColumn("score", score(rule))
-    dropped = judged.select("track_id", F.explode("reasons").alias("reason"))
-    passed = judged.where(F.size("reasons") == 0)
+    names = F.get("artist_names", F.lit(0)) if "artist_names" in view.columns else F.lit(None).cast("string")
+    columns = ["track_id", "isrc", "artist_id", "album_id"]
+    judged = written(pool.select(*columns, names.alias("artist_name"), reasons(rule, future).alias("reasons"), score(rule, future).alias("score")))
+    unique = first_per_isrc(judged)
+    doubles = judged.select("track_id").join(unique.select("track_id"), "track_id", "left_anti").select("track_id", F.lit("DUPLICATE_ISRC_EXCLUDED").alias("reason"))
+    dropped_ = unique.select("track_id", F.explode("reasons").alias("reason"))
+    passed = unique.where(F.size("reasons") == 0)
     scored = passed.where(F.col("score").isNotNull())
     blank = passed.where(F.col("score").isNull()).select("track_id", F.lit("SCORE_NOT_COMPUTABLE").alias("reason"))
-    chosen = _chosen(scored, rule)
+    chosen = diversify(scored, rule)
     over = capped(scored, rule, chosen)
-    names = {}
-    if rule.ordering == "artist_grouped" and "artist_names" in view.columns:  # target_size rows at most
-        named = view.where(F.col("track_id").isin([t for t, *_ in chosen])).select("track_id", F.get("artist_names", F.lit(0)))
-        names = dict(map(tuple, named.collect()))
-    final = ordered([(t, s) for t, s, *_ in (spread(chosen) if rule.spread_artists else chosen)], rule.ordering, rule.seed, names)
-    items = spark.createDataFrame([(k, t, float(s)) for k, (t, s) in enumerate(final)], "position int, track_id long, score double")
-    return items, dropped.unionByName(doubles).unionByName(over).unionByName(blank)
+    if rule.ordering == "artist_grouped":
+        chosen = scored.select("track_id", "artist_name").join(F.broadcast(chosen), "track_id")
+    return arranged(chosen, rule), dropped_.unionByName(doubles).unionByName(over).unionByName(blank)

@@ -230,8 +230,9 @@ def wide_view(lib: Library) -> DataFrame:
     """Resolved features as columns, with artist, album and availability."""
     active = lib["features"].where("is_active")
     rows = lib["tracks"]
-    for f in ("bpm", "energy", "valence"):
-        rows = rows.join(resolve.by_priority(active, f, ["api", "local"], "confidence").select("track_id", F.col("value").alias(f), F.col("status").alias(f"{f}_status")), "track_id", "left")
+    fields = ("bpm", "energy", "valence")
+    wide = resolve.wide_by_priority(active, fields, ["api", "local"], "confidence")
+    rows = rows.join(wide.select("track_id", *[c for f in fields for c in (F.col(f"{f}.value").alias(f), F.col(f"{f}.status").alias(f"{f}_status"))]), "track_id", "left")
     first = lib["track_artists"].where("position = 0").select("track_id", "artist_id")
     credits = lib["track_artists"].groupBy("track_id").agg(F.collect_set("artist_id").alias("artist_ids"))
     return rows.join(first, "track_id", "left").join(credits, "track_id", "left").withColumn("availability", status.availability(F.col("is_playable"), F.col("market_status")))
@@ -277,14 +278,25 @@ def diversity_one_cap(lib):
     return rules.one_cap(scored, "artist_id", 2, 40).select("track_id", r6("score").alias("score"))
 
 
-def playlist_end_to_end(spark, sf_dir):
-    """Two interacting caps have no short SQL; the tests hold this against a plain greedy scan."""
-    lib = Library(spark, sf_dir)
+def _scan_sql(caps: dict[str, int], size: int) -> str:
+    """A greedy scan of `o` (n from 1, track_id, artist_id, album_id): the list `ids` of last(ids)."""
+    fits = " and ".join(f"(o.{c} is null or len(list_filter({c}s, lambda a: a = o.{c})) < {cap})" for c, cap in caps.items())
+    return f"""
+    g as (select 0::bigint as n, []::bigint[] as ids, []::bigint[] as artist_ids, []::varchar[] as album_ids
+      union all select m, case when fits then list_append(ids, track_id) else ids end, case when fits then list_append(artist_ids, artist_id) else artist_ids end, case when fits then list_append(album_ids, album_id) else album_ids end
+      from (select g.ids, g.artist_ids, g.album_ids, o.track_id, o.artist_id, o.album_id, o.n as m, {fits} as fits from g join o on o.n = g.n + 1 where len(ids) < {size})),
+    last as (select ids from g order by n desc limit 1)"""
+
+
+@query(_WIDE + f""", f as (select * from sc where track_id in (select track_id from cand) qualify isrc is null or isrc = '' or row_number() over (partition by isrc order by track_id) = 1),
+    o as (select track_id, artist_id, album_id, score, row_number() over (order by score desc, track_id) as n from f where len(reasons) = 0 and score is not null), {_scan_sql({"artist_id": 2, "album_id": 3}, 40)}
+    select position::int as position, track_id, round(score, 6) + 0.0 as score from (select unnest(ids) as track_id, generate_subscripts(ids, 1) - 1 as position from last) join o using (track_id)""", *_RULE_VIEWS)
+def playlist_end_to_end(lib):
     items, _ = rules.preview(RULE, wide_view(lib), lib["liked"], lib["playlist_tracks"])
     return items.withColumn("score", r6("score"))
 
 
-QUERIES["playlist_end_to_end"] = playlist_end_to_end
+ORACLES["playlist_end_to_end"] = ORACLES["playlist_end_to_end"].replace("with", "with recursive", 1)
 
 
 def _snapshots(lib: Library) -> tuple[DataFrame, DataFrame]:
@@ -521,10 +533,10 @@ def diversity_two_caps(lib):
     first = lib["track_artists"].where("position = 0").select(F.col("track_id").alias("t"), "artist_id")
     rows = lib["tracks"].join(first, F.col("track_id") == F.col("t"), "left")
     scored = rows.select("track_id", F.col("popularity").cast("double").alias("score"), F.when(F.col("track_id") % 9 != 0, F.col("artist_id")).alias("artist_id"), F.when(F.col("track_id") % 11 != 0, F.element_at(F.split("album_id", r"\|"), 1)).alias("album_id"))
-    chosen = rules.diversify(scored, rules.Rule(max_per_artist=2, max_per_album=3, target_size=90))
-    return lib.spark.createDataFrame([(t, k) for k, (t, _) in enumerate(chosen)], "track_id long, position int")
+    rule = rules.Rule(max_per_artist=2, max_per_album=3, target_size=90)
+    return rules.arranged(rules.diversify(scored, rule), rule).select("track_id", "position")
 
 
 ORACLES["diversity_two_caps"] = ORACLES["diversity_two_caps"].replace("with", "with recursive", 1)
 
-from crateflow.plans import lookups, states  # noqa: E402, F401  (register their queries here)
+from crateflow.plans import lookups, states, streams  # noqa: E402, F401  (register their queries here)

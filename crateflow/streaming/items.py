@@ -1,81 +1,189 @@
-"""The job queue as a stream of events: item states with lock timeouts, and windowed counts."""
+"""The job queue as a stream of events: item states with lock timeouts, dependencies, and windowed counts."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any, NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from crateflow.operators.jobs import LOCK_SECONDS
 
-STATE = "status string, stage string, locked_at timestamp, attempts int"
-OUTPUT = "item_id string, status string, attempts int, at timestamp"
 FINAL = ("success", "skipped", "cancelled", "failed")
-#: Seconds that a rate-limited item waits.
-WAIT_SECONDS = 60
-#: Which events lead where; retryable failures are decided by the attempts left.
-MOVES = {"reserve": "running", "success": "success", "skip": "skipped", "cancel": "cancelled", "unblock": "pending", "block": "blocked"}
+#: Seconds that a rate-limited item waits, and those of stages without their own.
+WAIT_SECONDS, OTHER_SECONDS = 60, 900
+#: Which events lead from where to where; retryable failures are decided by the attempts left.
+MOVES = {
+    "reserve": (("pending",), "running"), "block": (("pending",), "blocked"), "unblock": (("blocked",), "pending"),
+    "cancel": (("pending", "blocked", "rate_limited"), "cancelled"), "success": (None, "success"), "skip": (None, "skipped"),
+}
 
 
 def advance(status: str, attempts: int, event: str, most: int) -> tuple[str, int]:
     """The state after an event: final states stay, running items are not cancelled, failures wait while attempts are left.
 
-    limit is a failure after which the item is rate-limited for a while.
+    limit is a failure after which the item is rate-limited for a while. An event that doesn't fit the state changes nothing.
     """
     if status in FINAL:
         return status, attempts
     if event in ("fail", "limit"):
         return ({"fail": "pending", "limit": "rate_limited"}[event] if attempts + 1 < most else "failed"), attempts + 1
-    if event == "cancel" and status == "running":
-        return status, attempts
-    return MOVES.get(event, status), attempts
+    froms, to = MOVES.get(event, ((), status))
+    return (to if froms is None or status in froms else status), attempts
+
+
+class Item(NamedTuple):
+    """What is kept of an item: due_ms is when its lock or its wait ends, last_* the newest event applied, timer_ms the timer set."""
+
+    status: str = "pending"
+    stage: str | None = None
+    attempts: int = 0
+    due_ms: int | None = None
+    last_ms: int = -1
+    last_id: int = -1
+    final_ms: int | None = None
+    timer_ms: int | None = None
+
+
+ITEM = "status string, stage string, attempts int, due_ms long, last_ms long, last_id long, final_ms long, timer_ms long"
+WAITING = "at_ms long, event_id long, stage string, event string"
+
+
+class ItemStates(StatefulProcessor):
+    """Keeps the events that the watermark hasn't passed and applies the others in order of time and id."""
+
+    def __init__(self, most_attempts: int, keep_seconds: int):
+        self.most, self.keep_ms = most_attempts, 1000 * keep_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.item, self.waiting = handle.getValueState("item", ITEM), handle.getListState("waiting", WAITING)
+
+    def _item(self) -> Item:
+        held = self.item.get()
+        return Item(*held) if held is not None else Item()
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        new = [(r.at_ms, r.event_id, r.stage, r.event) for r in rows]
+        if new:
+            self.waiting.appendList(new)
+            item, first = self._item(), min(new)[0] + 1
+            if item.timer_ms is None or first < item.timer_ms:
+                self._set(item, first)
+        return iter(())
+
+    def _set(self, item: Item, timer: int) -> None:
+        if item.timer_ms is not None:
+            self.handle.deleteTimer(item.timer_ms)
+        self.handle.registerTimer(timer)
+        self.item.update(tuple(item._replace(timer_ms=timer)))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        now, item = timerValues.getCurrentWatermarkInMs(), self._item()._replace(timer_ms=None)
+        waiting = sorted(set(self.waiting.get()), key=lambda e: e[:2])
+        changes: list[tuple] = []
+        for at, event_id, stage, event in waiting:
+            if at >= now:
+                break
+            if (at, event_id) <= (item.last_ms, item.last_id):
+                continue  # a repeated event
+            item = self._released(item, at, changes)._replace(last_ms=at, last_id=event_id)
+            status, attempts = advance(item.status, item.attempts, event, self.most)
+            item = item._replace(stage=stage or item.stage)
+            if (status, attempts) != (item.status, item.attempts):
+                changes.append((status, attempts, at, event_id))
+                wait = {"running": LOCK_SECONDS.get(item.stage, OTHER_SECONDS), "rate_limited": WAIT_SECONDS}.get(status)
+                item = item._replace(status=status, attempts=attempts, due_ms=at + 1000 * wait if wait else None, final_ms=at if status in FINAL else None)
+        item = self._released(item, now, changes)
+        rest = [e for e in waiting if e[0] >= now]
+        self.waiting.put(rest) if rest else self.waiting.clear()
+        ends = None if item.final_ms is None else item.final_ms + self.keep_ms
+        if ends is not None and ends < now and not rest:
+            self.item.clear()
+        else:
+            times = [t for t in (rest[0][0] if rest else None, item.due_ms, ends) if t is not None and t >= now]
+            self.item.update(tuple(item)) if not times else self._set(item, min(times) + 1)
+        for status, attempts, at, event_id in changes:
+            yield Row(item_id=key[0], status=status, attempts=attempts, at_ms=at, event_id=event_id)
+
+    @staticmethod
+    def _released(item: Item, now: int, changes: list[tuple]) -> Item:
+        """An item whose lock or wait ended before now is pending from then on."""
+        if item.due_ms is None or item.due_ms >= now:
+            return item
+        changes.append(("pending", item.attempts, item.due_ms, None))
+        return item._replace(status="pending", due_ms=None)
+
+
+def item_states(events: DataFrame, most_attempts: int = 3, watermark: str = "10 minutes", keep_seconds: int = 86_400) -> DataFrame:
+    """A row per change of an item's state: item_id, status, attempts, at, event_id (null where time alone made it).
+
+    events: item_id, event_id, stage, event, at (timestamp). An event waits until the watermark has passed it; then it is applied
+    in order of time and id, whatever order and batch it came in. So the changes don't depend on how the stream was cut, a
+    repeated event changes nothing, and one later than the watermark is dropped (see late_rows()). A running item whose lock is
+    older than its stage allows is pending from that time on, a rate-limited one when it has waited WAIT_SECONDS. Final
+    states stay; keep_seconds of event time after one its state goes, as events that old are late by then. Needs the RocksDB
+    state store (see streaming.runs).
+    """
+    kind = events.schema["item_id"].dataType.simpleString()
+    rows = events.withWatermark("at", watermark).withColumn("at_ms", F.unix_millis("at"))
+    out = f"item_id {kind}, status string, attempts int, at_ms long, event_id long"
+    changes = rows.groupBy("item_id").transformWithState(ItemStates(most_attempts, keep_seconds), out, "Append", "EventTime")
+    return changes.select("item_id", "status", "attempts", F.timestamp_millis("at_ms").alias("at"), "event_id")
+
+
+class Dependencies(StatefulProcessor):
+    """Per job and track the status of each item and what blocked items need."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.met = handle.getMapState("met", "item_id long", "at_ms long, event_id long, met boolean")
+        self.needs = handle.getMapState("needs", "item_id long", "needs array<long>")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        for r in rows:
+            if r.needs is not None:
+                self.needs.updateValue((r.item_id,), (list(r.needs),))
+            else:
+                held = self.met.getValue((r.item_id,)) if self.met.containsKey((r.item_id,)) else None
+                if held is None or (held[0], held[1]) < (r.at_ms, r.event_id):
+                    self.met.updateValue((r.item_id,), (r.at_ms, r.event_id, r.met))
+        state = {k[0]: v[2] for k, v in self.met.iterator()}
+        free = [k[0] for k, v in self.needs.iterator() if all(state.get(n, False) for n in v[0])]
+        for item_id in free:
+            self.needs.removeKey((item_id,))
+            yield Row(job_id=key[0], track_id=key[1], item_id=item_id)
+
+
+def unblocked_items(events: DataFrame) -> DataFrame:
+    """job_id, track_id, item_id of blocked items, each once, when all they need is met; the streaming form of jobs.unblocked().
+
+    events: job_id, track_id, item_id, event_id, at, and either needs (ids that a blocked item of the same job and track waits
+    for) or stage and status (what an item is now). Both may come in any order: of an item's statuses the newest
+    counts. Success, skipped and failed meet a need, of a download success only. A key's state is its job's items for one track.
+    """
+    met = F.when(F.col("stage") == "download", F.col("status") == "success").otherwise(F.col("status").isin("success", "skipped", "failed"))
+    rows = events.select("job_id", "track_id", "item_id", "event_id", F.unix_millis("at").alias("at_ms"), "needs", F.coalesce(met, F.lit(False)).alias("met"))
+    return rows.groupBy("job_id", "track_id").transformWithState(Dependencies(), "job_id long, track_id long, item_id long", "Append", "None")
 
 
-def item_states(events: DataFrame, most_attempts: int = 3, watermark: str = "10 minutes") -> DataFrame:
-    """A row per change of an item's state. events: item_id, stage, event, at (timestamp).
+def handed_over(slots: DataFrame, ready: DataFrame, wait: str = "1 day", watermark: str = "10 minutes") -> DataFrame:
+    """job_id, track_id, segment_index, item_id, segment_id: blocked slots and the segments that downloads have made, joined as they come.
 
-    Events of an item are taken in order of time within a batch. A running item whose lock is older than its stage
-    allows returns to pending when the watermark has passed that time, a rate-limited one when it has waited WAIT_SECONDS.
-    An item's state is dropped once it is final: its later events, of which there are none but errors, begin anew.
+    slots: job_id, track_id, segment_index, item_id, slot_at; ready: the same keys, segment_id, ready_at. Either side may come first;
+    they meet if `wait` apart at most, and what the watermarks put beyond that is dropped from the state.
     """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, stage, locked, attempts = state.get if state.exists else ("pending", None, None, 0)
-        out = []
-        if state.hasTimedOut:
-            if status in ("running", "rate_limited"):
-                status = "pending"
-                out.append((key[0], status, attempts, pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")))
-            locked = None
-        else:
-            rows = pd.concat(list(batches)).sort_values(["at", "event"])
-            for r in rows.itertuples():
-                new, attempts = advance(status, attempts, r.event, most_attempts)
-                stage = r.stage or stage
-                locked = r.at if new in ("running", "rate_limited") else None
-                if new != status:
-                    out.append((key[0], new, attempts, r.at))
-                status = new
-        if status in FINAL:
-            state.remove()
-        else:
-            state.update((status, stage, locked, attempts))
-        if status in ("running", "rate_limited") and locked is not None:
-            due = int(pd.Timestamp(locked).timestamp() * 1000) + 1000 * (WAIT_SECONDS if status == "rate_limited" else LOCK_SECONDS.get(stage, 900))
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["item_id", "status", "attempts", "at"])
-
-    return events.withWatermark("at", watermark).groupBy("item_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    keys = ["job_id", "track_id", "segment_index"]
+    a = slots.withWatermark("slot_at", watermark)
+    b = ready.withWatermark("ready_at", watermark).select(*[F.col(k).alias(f"r_{k}") for k in keys], "segment_id", "ready_at")
+    near = F.col("ready_at").between(F.col("slot_at") - F.expr(f"interval {wait}"), F.col("slot_at") + F.expr(f"interval {wait}"))
+    same = near
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"r_{k}"))
+    return a.join(b, same).select(*keys, "item_id", "segment_id", "slot_at", "ready_at")
 
 
 def windowed_counts(events: DataFrame, window: str = "5 minutes", watermark: str = "10 minutes") -> DataFrame:
     """Events per stage and kind in tumbling windows; later than the watermark is dropped."""
     return events.withWatermark("at", watermark).groupBy(F.window("at", window), "stage", "event").agg(F.count("*").alias("n")).select("window.start", "window.end", "stage", "event", "n")
-
-
-def tick(events: DataFrame, handle, seconds: int = 45):
-    """A query that hands every micro-batch to handle(batch, number)."""
-    return events.writeStream.trigger(processingTime=f"{seconds} seconds").foreachBatch(handle)

@@ -72,6 +72,10 @@ def test_vectors_and_labels(spark):
     assert [(r.label, round(r.score, 6)) for r in aggregate.top_labels(labels).orderBy("rank").collect()] == [("Techno", 0.7), ("A", 0.3), ("B", 0.3)]
 
 
+def taken(chosen):
+    return sorted(((r.track_id, r.score) for r in chosen.collect()), key=lambda r: (-r[1], r[0]))
+
+
 def greedy(rows, per_artist, per_album, size):
     chosen, a_count, b_count = [], {}, {}
     for t, s, a, b in sorted(rows, key=lambda r: (-r[1], r[0])):
@@ -88,9 +92,21 @@ def test_two_caps_equal_a_greedy_scan(spark):
     rnd = random.Random(5)
     rows = [(k, round(rnd.random(), 2), rnd.randint(0, 9), f"a{rnd.randint(0, 14)}") for k in range(300)]
     df = spark.createDataFrame(rows, "track_id long, score double, artist_id long, album_id string")
-    for per_artist, per_album, size, block in ((2, 3, 40, 7), (3, 1, 10, 1000), (5, 2, 500, 11)):
+    for per_artist, per_album, size in ((2, 3, 40), (3, 1, 10), (5, 2, 500)):
+        rule = rules.Rule(max_per_artist=per_artist, max_per_album=per_album, target_size=size)
+        assert taken(rules.diversify(df, rule)) == greedy(rows, per_artist, per_album, size)
+
+
+def test_two_caps_of_skewed_keys(spark):
+    """One artist with a third of all rows, one album across artists, a chain in which each row waits for the one before."""
+    rnd = random.Random(9)
+    rows = [(k, round(rnd.random(), 3), 0 if k % 3 == 0 else rnd.randint(1, 40), "big" if k % 4 == 0 else f"a{rnd.randint(0, 60)}") for k in range(900)]
+    chain = [(k, 1.0 - k / 100, k // 2, f"c{(k + 1) // 2}") for k in range(24)]
+    for some, per_artist, per_album, size in ((rows, 1, 1, 50), (rows, 4, 2, 200), (chain, 1, 1, 30), (chain, 1, 1, 5)):
+        df = spark.createDataFrame(some, "track_id long, score double, artist_id long, album_id string")
         rule = rules.Rule(max_per_artist=per_artist, max_per_album=per_album, target_size=size)
-        assert rules.diversify(df, rule, block) == greedy(rows, per_artist, per_album, size)
+        assert taken(rules.diversify(df, rule)) == greedy(some, per_artist, per_album, size)
+    assert rules.diversify(df.limit(0), rule).count() == 0
 
 
 def test_null_artists_and_albums_have_no_cap(spark):
@@ -100,7 +116,7 @@ def test_null_artists_and_albums_have_no_cap(spark):
     for per_artist, per_album, size in ((2, 3, 60), (3, 1, 30), (2, None, 100), (None, 2, 100)):
         alone = [(t, s, ("no artist", t) if a is None else a, ("no album", t) if b is None else b) for t, s, a, b in rows]
         rule = rules.Rule(max_per_artist=per_artist, max_per_album=per_album, target_size=size)
-        assert rules.diversify(df, rule, 50) == greedy(alone, per_artist or 999, per_album or 999, size)
+        assert taken(rules.diversify(df, rule)) == greedy(alone, per_artist or 999, per_album or 999, size)
     alone = [(t, s, ("no artist", t) if a is None else a, t) for t, s, a, _ in rows]
     got = [(r.track_id, r.score) for r in rules.one_cap(df, "artist_id", 2, 100).collect()]
     assert got == greedy(alone, 2, 999, 100)
@@ -259,8 +275,9 @@ def test_caps_tell_why(spark):
             else:
                 artists[a], albums[b] = artists.get(a, 0) + 1, albums.get(b, 0) + 1
                 chosen.append((t, s))
-        assert rules.diversify(df, rule, 25) == chosen
-        assert {r.track_id: r.reason for r in rules.capped(df, rule, rules._chosen(df, rule)).collect()} == why
+        found = rules.diversify(df, rule)
+        assert taken(found) == chosen
+        assert {r.track_id: r.reason for r in rules.capped(df, rule, found).collect()} == why
 
 
 def test_rule_codes_and_notices(spark):
