@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MOST_AFFECTED = 500
+#: After every place in a list.
+END = 1 << 30
 
 
 def latest(rows: DataFrame, by: Sequence[str], *order: Column) -> DataFrame:
@@ -77,16 +79,44 @@ def backfilled(albums: DataFrame, derived: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def profile_closure(edges: DataFrame, start: str) -> DataFrame:
-    """All that a profile needs, through any number of edges (name, needs), each once; cycles end by themselves.
+    """All that a profile needs, through any number of edges (name, needs), each once, itself included.
 
-    Profiles are a catalogue of some dozens of rows: a level's names are looked up in one scan, and the plan stays as it is.
+    One recursive query over the catalogue; paths end where they would meet themselves.
     """
-    seen, new = {start}, [start]
-    while new:
-        needed = edges.where(F.col("name").isin(*new) & F.col("needs").isNotNull()).select("needs").distinct().collect()
-        new = sorted({r[0] for r in needed} - seen)
-        seen.update(new)
-    return edges.sparkSession.createDataFrame([(n,) for n in sorted(seen)], "name string")
+    query = """
+        with recursive found(name, path) as (
+            select cast(:start as string), array(cast(:start as string))
+            union all
+            select e.needs, array_append(f.path, e.needs) from found f join {edges} e on e.name = f.name where e.needs is not null and not array_contains(f.path, e.needs))
+        select distinct name from found"""
+    return edges.sparkSession.sql(query, args={"start": start}, edges=edges.select("name", "needs"))
+
+
+def profile_models(profiles: DataFrame, models: DataFrame, start: str) -> DataFrame:
+    """model, place (from 0): what a profile runs, in an order in which each model comes after those that it depends on.
+
+    profiles: name, extends, models (an array); models: model, depends_on (an array). A profile's parents come first, the
+    farthest ancestor at once; a chain of parents that comes back ends there. Within a profile models go as listed, each after its
+    dependencies as listed; a model's first place counts. Dependencies must not form a cycle. A path is a list
+    of places and ends with END, which puts a node after all below it, so ordering the paths is the walk. A profile that is
+    not there is an error. Catalogues are dozens of rows, so one task may number them.
+    """
+    spark = profiles.sparkSession
+    if profiles.where(F.col("name") == start).isEmpty():
+        raise ValueError(f"PROFILE_NOT_FOUND: {start}")
+    query = """
+        with recursive chain(name, extends, models, depth, seen) as (
+            select name, extends, models, 0, array(name) from {profiles} where name = :start
+            union all
+            select p.name, p.extends, p.models, c.depth + 1, array_append(c.seen, p.name) from chain c join {profiles} p on p.name = c.extends where not array_contains(c.seen, p.name)),
+        listed as (select m.col as model, array(-depth, m.pos) as path from chain, lateral posexplode(models) as m),
+        walk(model, path) as (
+            select model, path from listed
+            union all
+            select d.col, array_append(w.path, d.pos) from walk w join {models} m on m.model = w.model, lateral posexplode(m.depends_on) as d)
+        select model, min(array_append(path, :end)) as first from walk group by model"""
+    found = spark.sql(query, args={"start": start, "end": END}, profiles=profiles.select("name", "extends", "models"), models=models.select("model", "depends_on"))
+    return found.select("model", (F.row_number().over(Window.orderBy("first")) - 1).alias("place"))
 
 
 def build_rows(parts: Sequence[DataFrame]) -> DataFrame:

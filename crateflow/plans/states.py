@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crateflow.functions import status
 from crateflow.operators import jobs, lists, upserts, work
-from crateflow.plans.catalogue import query
+from crateflow.plans.catalogue import query, r6
 from crateflow.sources import ingest
 
 
@@ -148,3 +148,52 @@ def rows_of_liked(lib):
 def active_segments(lib):
     rows = lib["segments"].withColumns({"deleted_at": F.when(F.col("quality") < 1, _now()), "path": F.when(F.col("mode") == 1, "p"), "segment_type": F.lit("A")})
     return lists.active_segments(rows, with_file=True).select("track_id", "segment_id")
+
+
+@query("""with recursive p as (select r_regionkey as name, (r_regionkey + 1) % 5 as extends from region), n as (select n_nationkey as m, n_regionkey as r, row_number() over (partition by n_regionkey order by n_nationkey desc) - 1 as pos from nation),
+    chain as (select 2 as name, 0 as depth union all select (name + 1) % 5, depth + 1 from chain where depth < 4),
+    walk as (select m::bigint as m, [-depth, pos] as path from chain join n on r = name
+      union all select d.need::bigint, list_append(path, d.pos) from walk, (values (0, 2), (1, 3)) as v(pos, k), lateral (select walk.m // v.k as need, v.pos as pos) d where walk.m >= 2),
+    f as (select m, min(list_append(path, 1000000)) as first from walk group by m)
+    select 'm' || m as model, (row_number() over (order by first) - 1)::int as place from f""")
+def profile_models(lib):
+    """Nations as models that depend on smaller ones, regions as profiles that extend each other in a ring."""
+    key = F.col("n_nationkey")
+    name = lambda c: F.concat(F.lit("m"), F.floor(c).cast("string"))
+    models = lib.raw("nation").select(name(key).alias("model"), F.when(key >= 2, F.array(name(key / 2), name(key / 3))).otherwise(F.array().cast("array<string>")).alias("depends_on"), "n_regionkey", key)
+    listed = models.groupBy("n_regionkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "model")), False), lambda m: m["model"]).alias("models"))
+    profiles = lib.raw("region").join(listed, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_regionkey").cast("string").alias("name"), ((F.col("r_regionkey") + 1) % 5).cast("string").alias("extends"), "models")
+    return work.profile_models(profiles, models, "2")
+
+
+#: A node of each shape, with what it is as a number; {v} is a value.
+SHAPES = (
+    ("{v}", "v"), ('{{"mean": {v}}}', "v"), ('{{"mean": [{v}, {v}, 4]}}', "(2 * v + 4) / 3.0"), ('{{"value": {v}}}', "v"), ('{{"mean": "x", "avg": {v}}}', "v"), ('{{"average": {v}, "median": 1}}', "v"),
+    ('[{v}, "x", 3, null]', "(v + 3) / 2.0"), ('"{v}"', "null"), ("null", "null"), ('{{"mean": [], "avg": null}}', "null"), ("[]", "null"), ('{{"mean": {{"mean": 1}}}}', "null"),
+)
+
+
+def _by_shape(k: str, part: int) -> str:
+    return f"case {k} % {len(SHAPES)} " + " ".join(f"when {n} then " + (f"replace('{shape[0].format(v='@')}', '@', cast(v as string))" if part == 0 else shape[1]) for n, shape in enumerate(SHAPES)) + " end"
+
+
+@query(f"""with e as (select event_id, event_id % 977 as v from events), n as (select event_id, v, ({_by_shape("event_id", 1)})::double as bpm, ({_by_shape("(event_id // 3)", 1)})::double as loudness,
+      ({_by_shape("(event_id // 5)", 1)})::double as average from e),
+    given as (select *, case event_id // 3 % {len(SHAPES)} when 0 then v <> 0 when 8 then false when 10 then false else true end as there from n)
+    select event_id, round(bpm, 6) + 0.0 as bpm, case when bpm is not null then 0.85::double end as bpm_confidence, round(case when there then loudness else average end, 6) + 0.0 as loudness, case event_id % 4 when 0 then 1 when 1 then 10 when 2 then 3 end as key, case event_id % 3 when 0 then 1 when 1 then 0 end as mode,
+      case when event_id % 2 = 0 then round(v / 7.0::double, 6) end + 0.0 as first_mfcc, (v * 1000)::bigint as duration_ms from given""")
+def analysis_numbers(lib):
+    """Documents with every shape of node, one malformed tail, keys in several places."""
+    from crateflow.sources.analysis import analysis_documents
+
+    e = lib.raw("events").select("event_id", (F.col("event_id") % 977).alias("v"))
+    shape = lambda k: F.expr(_by_shape(k, 0))
+    key = F.expr("case event_id % 4 when 0 then '\"key_key\": \"C#\"' when 1 then '\"key_key\": \"\", \"key\": \" bB \"' when 2 then '\"key_edma\": 5, \"key_krumhansl\": {\"key\": 3}' else '\"key\": \"H\"' end")
+    scale = F.expr("case event_id % 3 when 0 then '\"scale\": \"Major\"' when 1 then '\"key_scale\": null, \"scale\": \"min\"' else '\"scale\": \"x\"' end")
+    mfcc = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"mean": ['), (F.col("v") / 7.0).cast("string"), F.lit(", 2]}"))).otherwise(F.lit("null"))
+    text = F.concat(
+        F.lit('{"rhythm": {"bpm": '), shape("event_id"), F.lit('}, "tonal": {'), key, F.lit(", "), scale, F.lit('}, "metadata": {"audio_properties": {"length": '), F.col("v").cast("string"),
+        F.lit('}}, "lowlevel": {"loudness": '), shape("(event_id div 3)"), F.lit(', "average_loudness": '), shape("(event_id div 5)"), F.lit(', "mfcc": '), mfcc, F.lit("}}"),
+    )
+    rows = analysis_documents(e.select("event_id", text.alias("value")))
+    return rows.select("event_id", r6("bpm").alias("bpm"), "bpm_confidence", r6("loudness").alias("loudness"), "key", "mode", r6(F.get("mfcc", F.lit(0))).alias("first_mfcc"), "duration_ms")

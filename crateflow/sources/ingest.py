@@ -1,4 +1,4 @@
-"""Landed platform documents to library tables, and files of the analysis tools."""
+"""Landed platform documents to library tables, and plans of segments."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from crateflow.functions.status import cover_image
 from crateflow.functions.text import normalize
+from crateflow.sources.analysis import analysis_documents  # noqa: F401
 
 _ARTIST = T.StructType([T.StructField("id", T.StringType()), T.StructField("name", T.StringType())])
 _IMAGE = T.StructType([T.StructField("width", T.LongType()), T.StructField("url", T.StringType())])
@@ -47,41 +48,6 @@ def normalised(tracks: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-#: Names of the twelve keys, sharps and flats, and of the scales.
-KEYS = {"C": 0, "C#": 1, "DB": 1, "D": 2, "D#": 3, "EB": 3, "E": 4, "F": 5, "F#": 6, "GB": 6, "G": 7, "G#": 8, "AB": 8, "A": 9, "A#": 10, "BB": 10, "B": 11}
-SCALES = {"minor": 0, "major": 1}
-
-
-def _lookup(c: Column, table: dict[str, int]) -> Column:
-    found = F.lit(None).cast("int")
-    for name, value in table.items():
-        found = F.when(c == name, value).otherwise(found)
-    return found
-
-
-def _number(document: Column, *paths: str) -> Column:
-    """The first path with a number, or with an object that has a mean."""
-    return F.coalesce(*[F.get_json_object(document, f"$.{p}{tail}").try_cast("double") for p in paths for tail in ("", ".mean")])
-
-
-def analysis_documents(documents: DataFrame, column: str = "value") -> DataFrame:
-    """Low-level analysis documents (JSON text) to columns; malformed ones give nulls.
-
-    Loudness and onset rate of 0 count as absent, and a tempo without confidence has .85.
-    """
-    d = F.col(column)
-    bpm = _number(d, "rhythm.bpm")
-    vectors = {n: F.from_json(F.coalesce(F.get_json_object(d, f"$.lowlevel.{n}.mean"), F.get_json_object(d, f"$.tonal.{n}.mean")), "array<double>") for n in ("mfcc", "hpcp", "spectral_contrast")}
-    key = F.upper(F.coalesce(F.get_json_object(d, "$.tonal.key_key"), F.get_json_object(d, "$.tonal.key_edma.key")))
-    scale = F.lower(F.coalesce(F.get_json_object(d, "$.tonal.key_scale"), F.get_json_object(d, "$.tonal.key_edma.scale")))
-    return documents.select(
-        *documents.columns, bpm.alias("bpm"), F.when(bpm.isNotNull(), F.coalesce(_number(d, "rhythm.bpm_confidence"), F.lit(0.85))).alias("bpm_confidence"), _lookup(key, KEYS).alias("key"), _lookup(scale, SCALES).alias("mode"),
-        _number(d, "tonal.key_strength", "tonal.key_edma.strength").alias("key_confidence"), F.nullif(_number(d, "lowlevel.loudness", "lowlevel.average_loudness"), F.lit(0.0)).alias("loudness"),
-        _number(d, "lowlevel.spectral_centroid").alias("centroid"), _number(d, "lowlevel.spectral_rolloff").alias("rolloff"), _number(d, "lowlevel.dynamic_complexity").alias("dynamic_complexity"),
-        F.nullif(_number(d, "lowlevel.onset_rate", "rhythm.onset_rate"), F.lit(0.0)).alias("onset_rate"), _number(d, "metadata.audio_properties.length").alias("length"), *[v.alias(n) for n, v in vectors.items()],
-    )
-
-
 #: Lengths of segments, and the zones of a track in which three of them begin.
 SEGMENT_SECONDS, MOST_SECONDS = 15.0, 30.0
 ZONES = {"A": 0.10, "B": 0.45, "C": 0.70}
