@@ -19,7 +19,7 @@ from crateflow.llm.words import BEYOND, LOWER, folding, parts
 LETTERS = folding(LOWER + BEYOND)
 SCALE = 1_000_000_000
 #: Distinct (group, term) counts that a task holds before it gives them out.
-HELD = 1 << 19
+HELD = 1 << 17
 #: Pairs of postings that are worked on at a time.
 PAIRS = 1 << 20
 #: Counts up to this are buckets of their own; larger ones share FINE buckets for each factor of e.
@@ -66,7 +66,8 @@ def counted(docs: DataFrame, lang: str = "lang", source: str = "source", text: s
 
     blank = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))]
     rows = docs.select(*blank).mapInArrow(count, "lang string, source string, term string, n long, d long")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    # tasks have summed what they could: dealt first, the rows are put together once, not before the shuffle too
+    return rows.repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
 def probability(n: Column, total: Column, terms: Column) -> Column:
@@ -204,7 +205,7 @@ def audit(docs: DataFrame, k: int = 200, least_docs: int = 3, lang: str = "lang"
     counts = durable(counted(docs, lang, source, text))
     terms = durable(kept_terms(counts, least_docs))
     stats = durable(group_stats(counts, terms))
-    postings = judged_postings(terms, stats)
+    postings = durable(judged_postings(terms, stats))
     ranked = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     pairs = pair_sums(postings, stats).withColumn("rank", ranked).withColumn("part", F.lit("pair"))
     found = top_terms(postings, k).withColumn("part", F.lit("term")).unionByName(pairs)
