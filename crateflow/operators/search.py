@@ -124,9 +124,13 @@ def count(tables: Tables, spec: SearchSpec) -> DataFrame:
     return matching(tables, SearchSpec(**{**spec.__dict__, "sort": "title"})).agg(F.count("*").alias("total"))
 
 
+def order_column(spec: SearchSpec) -> str:
+    return {"title": "normalized_title", "artist": "artist_name", "album": "album_name", "duration": "duration_ms"}.get(spec.sort, spec.sort)
+
+
 def order(spec: SearchSpec) -> list[Column]:
     """Nulls are smallest, as in SQLite; equal keys by id."""
-    name = {"title": "normalized_title", "artist": "artist_name", "album": "album_name", "duration": "duration_ms"}.get(spec.sort, spec.sort)
+    name = order_column(spec)
     return [F.col(name).desc_nulls_last() if spec.descending else F.col(name).asc_nulls_first(), F.col("track_id")]
 
 
@@ -139,12 +143,65 @@ def page_ids(tables: Tables, spec: SearchSpec) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(Window.orderBy(*keys)) - 1 + (spec.page - 1) * spec.page_size).select("track_id", "position")
 
 
+#: Rows before a page from which it is found by ranges instead of a sort of all; how many ranges, and samples for each.
+DEEP, RANGES, SAMPLES = 20_000, 64, 40
+
+
+def _precedes(spec: SearchSpec, name: str, key: Any, track_id: Any, kind: str) -> Column:
+    """Whether a row comes before (key, track_id) in the order of order()."""
+    c, k = F.col(name), F.lit(key).cast(kind)
+    if key is None:
+        less, same = (c.isNotNull() if spec.descending else F.lit(False)), c.isNull()
+    else:
+        less = F.coalesce(c > k, F.lit(False)) if spec.descending else c.isNull() | F.coalesce(c < k, F.lit(False))
+        same = F.coalesce(c == k, F.lit(False))
+    return less | (same & (F.col("track_id") < track_id))
+
+
+def deep_page_ids(tables: Tables, spec: SearchSpec) -> DataFrame:
+    """page_ids() for a page far behind: the rows of its ranges alone are sorted, a few in RANGES of all.
+
+    The bounds of the ranges are every SAMPLES-th of the matching keys with the smallest hashes of ids, so they are the same each time.
+    One pass counts the rows of each range; the counts tell which ranges the page lies in and how many rows come
+    before them. Bounds hold the id too, so equal keys are split. RANGES numbers come to the driver.
+    """
+    spec = spec.checked()
+    keys, name = order(spec), order_column(spec)
+    rows = matching(tables, spec)
+    kind = rows.schema[name].dataType.simpleString()
+    sample = rows.select(name, "track_id").orderBy(F.xxhash64("track_id"), "track_id").limit(RANGES * SAMPLES)
+    numbered = sample.orderBy(*keys).collect()
+    bounds = [tuple(r) for r in numbered[SAMPLES::SAMPLES]]
+    place = F.lit(0)
+    for key, track_id in bounds:
+        place = place + F.when(_precedes(spec, name, key, track_id, kind), 0).otherwise(1)
+    counts = dict(map(tuple, rows.groupBy(place.alias("range")).count().collect()))
+    first = (spec.page - 1) * spec.page_size
+    before, low, high, upto = 0, None, None, 0
+    for k in range(len(bounds) + 1):
+        n = counts.get(k, 0)
+        if upto + n > first and low is None:
+            low, before = k, upto
+        if low is not None:
+            high = k
+            if upto + n >= first + spec.page_size:
+                break
+        upto += n
+    if low is None:
+        return rows.limit(0).select("track_id", F.lit(0).alias("position"))
+    some = rows if low == 0 else rows.where(~_precedes(spec, name, *bounds[low - 1], kind))
+    some = some if high == len(bounds) else some.where(_precedes(spec, name, *bounds[high], kind))
+    found = some.orderBy(*keys).offset(first - before).limit(spec.page_size)
+    return found.withColumn("position", F.row_number().over(Window.orderBy(*keys)) - 1 + first).select("track_id", "position")
+
+
 def page(tables: Tables, spec: SearchSpec) -> DataFrame:
     """The page's tracks with their details, artists in order and playlist counts.
 
     The ids are found once and are a local table of MOST_PER_PAGE rows at most, which all lookups share.
     """
-    found = [tuple(r) for r in page_ids(tables, spec).collect()]  # a page
+    ids_of = deep_page_ids if (spec.page - 1) * spec.page_size >= DEEP else page_ids
+    found = [tuple(r) for r in ids_of(tables, spec).collect()]  # a page
     kind = tables["tracks"].schema["track_id"].dataType.simpleString()
     ids = tables["tracks"].sparkSession.createDataFrame(found, f"track_id {kind}, position int")
     numbers = [t for t, _ in found]

@@ -1,10 +1,10 @@
-"""Merges into immutable tables: each returns the new table, to be written to a new path."""
+"""Merges: each returns the new table, to be written to a new path; merge_changed() rewrites only the buckets of a table that change."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,42 @@ def upsert(target: DataFrame, changes: DataFrame, keys: Sequence[str], keep: Col
     return rows.select(*[F.when(new, F.col(f"c.{x}")).otherwise(F.col(f"t.{x}")).alias(x) for x in target.columns])
 
 
+BUCKET = "bucket"
+
+
+def bucket_of(keys: Sequence[str], buckets: int) -> Column:
+    """The bucket of a key; null keys have one too."""
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def write_bucketed(rows: DataFrame, path: str, keys: Sequence[str], buckets: int = 64) -> None:
+    """A new table of one folder per bucket of the keys, for merge_changed()."""
+    rows.withColumn(BUCKET, bucket_of(keys, buckets)).repartition(BUCKET).write.partitionBy(BUCKET).parquet(path)
+
+
+def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop(BUCKET)
+
+
+def merge_changed(spark: SparkSession, path: str, changes: DataFrame, keys: Sequence[str], buckets: int = 64, keep: Column | None = None, insert_only: bool = False) -> list[int]:
+    """upsert() into a table of write_bucketed(), in place: only the folders of buckets that the changes fall in are read and written.
+
+    The new files are staged beside the table and take the folders' places when the whole job is done (dynamic partition
+    overwrite), so a run that fails leaves the table as it was, and other buckets keep their files. Returns the buckets
+    written, which are `buckets` numbers at most. changes: one row per key; insert_only leaves known keys as they are.
+    """
+    bucket = bucket_of(keys, buckets)
+    touched = sorted(r[0] for r in changes.select(bucket.alias("b")).distinct().collect())
+    if not touched:
+        return []
+    schema = spark.read.parquet(path).schema
+    target = spark.read.schema(schema).parquet(path).where(F.col(BUCKET).isin(*touched)).drop(BUCKET)
+    merged = upsert(target, changes.select(*target.columns), keys, F.lit(True) if insert_only else keep)
+    rows = merged.withColumn(BUCKET, bucket).repartition(BUCKET)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    return touched
+
+
 def full_refresh(target: DataFrame, source: DataFrame, key: str, now: Column) -> DataFrame:
     """The state after an import that lists all that is current.
 

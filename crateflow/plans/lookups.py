@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crateflow.functions import numeric, status, text
-from crateflow.operators import aggregate, coverage, gating, jobs, lists, matching, resolve, search, snapshots, upserts, work
+from crateflow.operators import aggregate, coverage, gating, jobs, lists, matching, ranking, resolve, search, snapshots, upserts, work
 from crateflow.plans.catalogue import query, r6
 from crateflow.sources import ingest
+from crateflow.sources.tables import fresh_path
 
 
 @query("select track_id from tracks where market_status = 'restricted' order by normalized_title nulls first, track_id limit 500", "tracks")
@@ -272,7 +273,34 @@ def availability_plans(lib):
 
 @query("select track_id, v[greatest(1, (floor(len(v) * 0.95))::int)] as p95 from (select track_id, list_sort(list(duration_ms)) as v from segments group by track_id)", "segments")
 def percentiles(lib):
-    return lib["segments"].groupBy("track_id").agg(F.collect_list("duration_ms").alias("v")).select("track_id", numeric.p95(F.col("v")).cast("long").alias("p95"))
+    return ranking.p95s(lib["segments"], ["track_id"], "duration_ms").select("track_id", "p95")
+
+
+@query("""select l_returnflag as flag, median(l_extendedprice) as price, median(l_quantity) as quantity, quantile_disc(l_extendedprice, 0) as least from lineitem group by 1""")
+def hot_medians(lib):
+    """Three groups of a third of all rows or so."""
+    lines = lib.raw("lineitem")
+    price = ranking.medians(lines, ["l_returnflag"], "l_extendedprice").withColumnRenamed("median", "price")
+    quantity = ranking.medians(lines, ["l_returnflag"], "l_quantity").withColumnRenamed("median", "quantity")
+    least = ranking.values_at(lines, ["l_returnflag"], "l_extendedprice", {"least": F.lit(0)})
+    return price.join(quantity, "l_returnflag").join(least, "l_returnflag").withColumnRenamed("l_returnflag", "flag")
+
+
+@query("select track_id, (row_number() over (order by popularity desc nulls last, track_id) - 1)::int as position from tracks qualify position between 1400 and 1449", "tracks")
+def search_deep_page(lib):
+    """A page found by ranges: page 29 of fifty."""
+    return search.deep_page_ids(lib, search.SearchSpec(sort="popularity", descending=True, page=29))
+
+
+@query("""select coalesce(n.track_id, o.track_id) as track_id, case when n.track_id is not null then upper(n.name) else o.name end as name from (select track_id, name from tracks where track_id % 5 > 0) o
+    full join (select track_id, name from tracks where track_id % 97 = 0) n on n.track_id = o.track_id""", "tracks")
+def merged_in_place(lib):
+    """A written table into which a few changed and new tracks are merged; the other buckets keep their files."""
+    path = fresh_path(lib.spark)
+    t = lib["tracks"].select("track_id", "name")
+    upserts.write_bucketed(t.where("track_id % 5 > 0"), path, ["track_id"])
+    upserts.merge_changed(lib.spark, path, t.where("track_id % 97 = 0").withColumn("name", F.upper("name")), ["track_id"])
+    return upserts.read_bucketed(lib.spark, path)
 
 
 @query("select track_id, case when bool_or(key = 3) then 'real' when bool_or(key = 2) then 'stub' else 'none' end as mode from segments group by track_id", "segments")
