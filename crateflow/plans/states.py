@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from crateflow.functions import status
 from crateflow.operators import jobs, lists, upserts, work
 from crateflow.plans.catalogue import query, r6
 from crateflow.sources import ingest
+from crateflow.sources.paged import LandedPages
+from crateflow.sources.tables import fresh_path
 
 
 def _now() -> Column:
@@ -197,3 +199,18 @@ def analysis_numbers(lib):
     )
     rows = analysis_documents(e.select("event_id", text.alias("value")))
     return rows.select("event_id", r6("bpm").alias("bpm"), "bpm_confidence", r6("loudness").alias("loudness"), "key", "mode", r6(F.get("mfcc", F.lit(0))).alias("first_mfcc"), "duration_ms")
+
+
+@query("""select n // 50 * 50 + n % 50 as place, 't' || track_id as track_id, track_id as duration_ms, strftime(added_at, '%Y-%m-%dT%H:%M:%SZ') as added_at from (select *, row_number() over (order by track_id) - 1 as n from liked) where track_id % 5 > 0""", "liked")
+def paged_saved_tracks(lib):
+    """Likes landed as pages of fifty, one document each, read as a source with a task for each range of pages."""
+    path = fresh_path(lib.spark)
+    rows = lib["liked"].withColumn("n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("track_id")) - 1)
+    n = F.col("track_id")
+    track = F.when(n % 5 > 0, F.struct(F.concat(F.lit("t"), n).alias("id"), n.alias("duration_ms")))
+    item = F.struct("n", F.date_format("added_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("added_at"), track.alias("track"))
+    page = F.struct(F.array_sort(F.collect_list(item)).alias("items"))
+    pages = rows.groupBy((F.floor(F.col("n") / 50) * 50).alias("offset")).agg(F.to_json(page).alias("value"))
+    pages.repartition("offset").write.partitionBy("offset").text(path)
+    lib.spark.dataSource.register(LandedPages)
+    return lib.spark.read.format("landed_pages").schema("place long, track_id string, duration_ms long, added_at string").load(path)

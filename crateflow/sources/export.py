@@ -33,10 +33,59 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
-def copy_table(spark: SparkSession, source_url: str, target_url: str, table: str, batch: int = 2000, **options: str) -> None:
-    """Copies a table between databases by JDBC, replacing the target's rows."""
-    rows = spark.read.format("jdbc").options(url=source_url, dbtable=table, **options).load()
-    rows.write.format("jdbc").mode("overwrite").options(url=target_url, dbtable=table, truncate="true", batchsize=str(batch), **options).save()
+#: What a connection of each kind of database is told first.
+SESSIONS = {
+    "sqlite": "PRAGMA journal_mode=WAL; PRAGMA busy_timeout=30000; PRAGMA foreign_keys=ON",
+    "postgresql": "SET TIME ZONE 'UTC'",
+    "mysql": "SET SESSION time_zone = '+00:00'",
+}
+
+
+def connection(url: str, **options: str) -> dict[str, str]:
+    """Options of a JDBC connection: the URL, what its kind of database is told first, and the caller's own, which win."""
+    kind = url.split(":")[1]
+    first = {"sessionInitStatement": SESSIONS[kind]} if kind in SESSIONS else {}
+    return {"url": url, **first, **options}
+
+
+def _quoted(spark: SparkSession, url: str, name: str) -> str:
+    return spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(name)
+
+
+def read_table(spark: SparkSession, url: str, table: str, key: str | None = None, partitions: int = 8, where: str | None = None, **options: str) -> DataFrame:
+    """A table of a database, by `partitions` connections, each with a range of a numeric, date or timestamp key.
+
+    The key's least and largest values are asked of the database first. where: a condition in its SQL, which the database applies to
+    bounds and rows. Rows without a key are read with the first range. Without a key, or without rows, one connection reads.
+    """
+    asked = connection(url, **options)
+    source = f"(select * from {table} where {where}) picked" if where else table
+    if key is None:
+        return spark.read.format("jdbc").options(**asked, dbtable=source).load()
+    name = _quoted(spark, url, key)
+    low, high = (_quoted(spark, url, x) for x in ("low", "high"))
+    ends = f"(select min({name}) as {low}, max({name}) as {high} from {source if where else table}) ends"
+    least, most = spark.read.format("jdbc").options(**asked, dbtable=ends).load().first()
+    if least is None:
+        return spark.read.format("jdbc").options(**asked, dbtable=source).load()
+    return spark.read.format("jdbc").options(**asked, dbtable=source, partitionColumn=key, lowerBound=str(least), upperBound=str(most), numPartitions=str(partitions)).load()
+
+
+def copy_table(spark: SparkSession, source_url: str, target_url: str, table: str, batch: int = 2000, key: str | None = None, partitions: int = 8, where: str | None = None, **options: str) -> tuple[int, int]:
+    """Copies a table between databases by JDBC, replacing the target's rows; (rows read, rows in the target then).
+
+    By key as in read_table(), with as many connections to the target as to the source. Counts are asked of the databases.
+    """
+    rows = read_table(spark, source_url, table, key, partitions, where, **options)
+    rows.write.format("jdbc").mode("overwrite").options(**connection(target_url, **options), dbtable=table, truncate="true", batchsize=str(batch), numPartitions=str(partitions)).save()
+    return row_count(spark, source_url, table, where, **options), row_count(spark, target_url, table, **options)
+
+
+def row_count(spark: SparkSession, url: str, table: str, where: str | None = None, **options: str) -> int:
+    """How many rows a table of a database has, counted there."""
+    n = _quoted(spark, url, "n")
+    query = f"(select count(*) as {n} from {table}{f' where {where}' if where else ''}) counted"
+    return int(spark.read.format("jdbc").options(**connection(url, **options), dbtable=query).load().first()[0])
 
 
 def snapshot_document(snapshot_id: str, liked: DataFrame, playlists: DataFrame, items: DataFrame) -> DataFrame:
