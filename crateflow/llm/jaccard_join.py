@@ -282,9 +282,10 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", siz
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """docs with one document of each class of near_copies(), which tells the options and the edge cases."""
-    kept = near_copies(docs, text, doc_id, **options).where("kept").select(F.col("doc_id").alias("__i"), F.col("mark").alias("__m")).distinct()
-    match = F.col(doc_id).eqNullSafe(F.col("__i")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__m"))
-    return docs.join(kept, match, "left_semi")
+    kept = near_copies(docs, text, doc_id, **options).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark")).distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("mark"))
+    rows = whole.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark")), "left_semi")
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def keep_one_row(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:

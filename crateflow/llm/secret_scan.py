@@ -239,7 +239,7 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + MORE_RULES, mas
     """
     _, spans = find(docs, rules, text, doc_id)
     kinds = durable(spans.groupBy("__id", "__hash").agg(F.collect_set("kind").alias("kinds")))
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"), F.col(text).alias("text"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"), F.col(text).alias("text"))
     joined = whole.join(kinds, F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash")), "left")
     steps = F.filter(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(_counted(r)).alias("pattern")) for r in rules]), lambda r: F.array_contains("kinds", r["kind"]))
     masked = F.aggregate(steps, F.col("text"), lambda held, r: F.regexp_replace(held, r["pattern"], F.lit(mask)))  # one expression, however many the rules

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from crateflow.llm.runtime import durable
 
+#: A floor below all scores, and the size from which doubles don't hold every whole number.
+LOWEST, EXACT = np.iinfo(np.int64).min, 1 << 53
 #: Queries searched at a time, candidates of a shard and of a piece, shards' bounds that move together.
 QUERY_BLOCK, SHARD, PIECE, RUN = 512, 4096, 2048, 256
 #: Queries that meet the shards' bounds together.
@@ -46,17 +48,23 @@ class Block:
     """Queries with their best k so far, or with floors that their results must reach."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, floors: np.ndarray | None = None):
-        self.ids, self.q, self.k = ids, vectors.astype(float), k
+        self.ids, self.whole, self.k = ids, vectors.astype(np.int64), k
+        self.q = self.whole.astype(float)
         self.short = self.q.astype(np.float32)
-        self.limit = float(np.abs(self.q).max(initial=0)) * self.q.shape[1]
-        self.at, self.score, self.cand = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-        self.floor = np.full(len(ids), -np.inf) if floors is None else floors.astype(float)
+        self.limit = int(np.abs(self.whole).max(initial=0)) * self.q.shape[1]
+        self.at, self.score, self.cand = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.floor = np.full(len(ids), LOWEST) if floors is None else floors.copy()
         self.traversed = self.probed = 0
 
     def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
-        """A piece of a shard: candidate ids and their vectors."""
-        single = self.limit * float(np.abs(x).max(initial=0)) < 2.0**24  # so single precision holds all whole numbers here
-        query, x = (self.short, x.astype(np.float32)) if single else (self.q, x.astype(float))
+        """A piece of a shard: candidate ids and their vectors.
+
+        Products are made in single or double precision where these hold all whole numbers here, else in 64-bit integers.
+        """
+        reach = self.limit * int(np.abs(x.astype(np.int64)).max(initial=0))
+        if reach >= 1 << 63:
+            raise OverflowError("scores of these vectors need more than 64 bits")
+        query, x = (self.short, x.astype(np.float32)) if reach < 1 << 24 else (self.q, x.astype(float)) if reach < EXACT else (self.whole, x.astype(np.int64))
         norms = np.sqrt((x.astype(float) ** 2).sum(axis=1))
         low, high = x.min(axis=0).astype(float), x.max(axis=0).astype(float)
         a, b = self.q * low, self.q * high
@@ -66,6 +74,8 @@ class Block:
         ends = np.zeros((len(self.ids), 1))
         by_terms = np.concatenate([ends, np.cumsum(np.take_along_axis(most, order, axis=1), axis=1)], axis=1)
         length = np.sqrt(np.concatenate([ends, np.cumsum(np.take_along_axis(self.q**2, order, axis=1), axis=1)], axis=1))
+        if reach >= EXACT:
+            by_terms += reach * 1e-12  # what doubles may lose
         bound = np.minimum(by_terms, length * norms.max(initial=0) * (1 + 1e-9) + 1e-6)
         below = bound < self.floor[:, None]
         small = np.where(below.any(axis=1), below.shape[1] - 1 - np.argmax(below[:, ::-1], axis=1), 0)
@@ -77,7 +87,7 @@ class Block:
             self.traversed += dim * score.size
             self.probed += score.size
             i, j = np.nonzero(score >= self.floor[full, None])
-            found.append((full[i], j, score[i, j].astype(float)))
+            found.append((full[i], j, score[i, j].astype(np.int64)))
         postings = np.ascontiguousarray(x.T)
         for n in np.flatnonzero((2 * small >= dim) & (small < dim)):  # all terms non-essential: nothing here can compete
             rest, essential = order[n, : small[n]], order[n, small[n] :]
@@ -87,7 +97,7 @@ class Block:
             score = partial[near] + x[near][:, rest] @ query[n, rest]
             self.probed += len(near)
             keep = score >= self.floor[n]
-            found.append((np.full(int(keep.sum()), n), near[keep], score[keep].astype(float)))
+            found.append((np.full(int(keep.sum()), n), near[keep], score[keep].astype(np.int64)))
         if found:
             self._take(ids, *(np.concatenate(c) for c in zip(*found, strict=True)))
 
@@ -109,7 +119,7 @@ class Block:
         return self
 
     def results(self) -> tuple[pa.Array, pa.Array, pa.Array]:
-        return pa.array(self.ids[self.at]), pa.array(self.cand), pa.array(self.score.astype(np.int64))
+        return pa.array(self.ids[self.at]), pa.array(self.cand), pa.array(self.score)
 
 
 @dataclass(frozen=True)
@@ -191,7 +201,7 @@ def top_k(rows: DataFrame, queries: Column, k: int = 20, scale: int = 64, vector
 
     queries: which rows are queries; every usable row is a candidate, except for the query's own id. Ties go to the
     smaller id. Vectors that are null or hold null or non-finite components, and rows without an id, take no part;
-    missing components of shorter vectors count 0. Repeated rows of the same id and vector count once. Queries with
+    missing components of shorter vectors count 0. Scores are exact up to 63 bits; larger ones are an error. Repeated rows of the same id and vector count once. Queries with
     fewer than k candidates return all of them; an empty table gives an empty table.
     """
     good = rows.select(F.col(vec_id).cast("long").alias("id"), quantised(vector, scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
@@ -200,6 +210,8 @@ def top_k(rows: DataFrame, queries: Column, k: int = 20, scale: int = 64, vector
     size = good.agg(F.count("*").alias("n"), F.count_if("asks").alias("q"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("dim"), F.coalesce(most, F.lit(0)).alias("most")).first()
     dim, kind = max(1, size["dim"]), np.dtype(np.int16 if size["most"] < 1 << 15 else np.int64)
     shards = _shards(good, size["n"], dim, kind)
+    reach = size["most"] ** 2 * dim
+    lost = reach * 1e-12 if reach >= EXACT else 0.0  # by bounds in doubles
 
     def vectors(data: bytes) -> np.ndarray:
         return np.frombuffer(data, kind).reshape(-1, dim)
@@ -248,14 +260,14 @@ def top_k(rows: DataFrame, queries: Column, k: int = 20, scale: int = 64, vector
 
     def _joined(held: list[tuple]) -> tuple:
         ids = [np.frombuffer(r[3], np.int64) for r in held]
-        return (np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros((0, dim), kind), *(vectors(r[4]) for r in held)]), np.concatenate([np.zeros(0), *(np.frombuffer(r[5]) for r in held)]), np.repeat([r[2] for r in held], list(map(len, ids))))
+        return (np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros((0, dim), kind), *(vectors(r[4]) for r in held)]), np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r[5], np.int64) for r in held)]), np.repeat([r[2] for r in held], list(map(len, ids))))
 
     def _reached(ids: np.ndarray, q: np.ndarray, floors: np.ndarray, homes: np.ndarray, run: list[tuple]) -> Iterator[pa.RecordBatch]:
         low, high, center = (np.array([np.frombuffer(r[c]) for r in run]) for c in (6, 7, 8))
         radius, numbers = np.array([r[9] for r in run]), np.array([r[2] for r in run])
         for lo in range(0, len(ids), 4096):
             part = q[lo : lo + 4096].astype(float)
-            terms = np.maximum(part, 0) @ high.T + np.minimum(part, 0) @ low.T
+            terms = np.maximum(part, 0) @ high.T + np.minimum(part, 0) @ low.T + lost
             ball = part @ center.T + np.sqrt((part**2).sum(axis=1))[:, None] * radius
             near = (np.minimum(terms, ball * (1 + 1e-9) + 1e-3) >= floors[lo : lo + 4096, None]) & (homes[lo : lo + 4096, None] != numbers)
             for s in np.flatnonzero(near.any(axis=0)):
@@ -271,7 +283,7 @@ def top_k(rows: DataFrame, queries: Column, k: int = 20, scale: int = 64, vector
         for batch in batches:
             for r in range(batch.num_rows):
                 asking, q, floors, ids, x = (batch.column(c)[r].as_py() for c in range(5))
-                block = Block(np.frombuffer(asking, np.int64), vectors(q), k, np.frombuffer(floors)).search(np.frombuffer(ids, np.int64), vectors(x))
+                block = Block(np.frombuffer(asking, np.int64), vectors(q), k, np.frombuffer(floors, np.int64)).search(np.frombuffer(ids, np.int64), vectors(x))
                 yield _batch(list(block.results()), "query_id vec_id score")
 
     best = home.where("shard is null").select("query_id", "vec_id", "score").unionByName(pairs.mapInArrow(away, "query_id long, vec_id long, score long"))

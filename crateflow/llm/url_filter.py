@@ -96,7 +96,7 @@ def judge(pages: DataFrame, rules: Sequence[UrlRule], url: str = "url") -> DataF
     """
     verdicts = {r.name: r.verdict for r in rules}
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "value", "threshold", "verdict")]
-    marked = pages.select(*kept, F.coalesce(F.col(url), F.lit("")).alias("__url"))
+    marked = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept] or [F.lit(0).alias("none")]).alias("row"), F.coalesce(F.col(f"`{url}`"), F.lit("")).alias("__url"))
     ruled = rule_of(host_of(F.col("__url")), path_of(F.col("__url")), rules)
 
     def verdict_of(rule: Column) -> Column:
@@ -120,7 +120,7 @@ def judge(pages: DataFrame, rules: Sequence[UrlRule], url: str = "url") -> DataF
     out = marked.join(valued.withColumnRenamed("u", "__u"), F.col("__url") == F.col("__u"), "left")
     out = out.withColumns({"host": host_of(F.col("__url")), "path": path_of(F.col("__url"))}).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("threshold", F.lit(threshold).cast("long"))
     decided = F.coalesce(verdict_of(F.col("rule")), F.when(F.col("value") >= F.col("threshold"), "allow").otherwise("block"))
-    return out.select(*kept, "host", "path", "rule", "value", "threshold", decided.alias("verdict"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], "host", "path", "rule", "value", "threshold", decided.alias("verdict"))
 
 
 def best_threshold(steps: list[tuple[int, int, int]]) -> int:

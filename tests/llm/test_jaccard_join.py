@@ -162,3 +162,10 @@ def test_each_pair_has_one_bucket():
     assert J._candidates(left, right, 3, False)[:1, :1].tolist() == [[True]]
     assert J._candidates([(0, 1, None, [1])], right, 0, True).tolist() == [[False, False]]
     assert J._candidates(left, right, 0, True).tolist() == [[True, True], [True, True]]
+
+
+def test_keep_one_carries_any_columns(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = spark.createDataFrame([(2, text, "m", "d"), (1, text, "m", "d"), (3, "other words in this text here now", "m", "d")], "doc_id long, text string, __i string, `a.b` string")
+    got = J.keep_one(rows)
+    assert got.columns == rows.columns and sorted(tuple(r)[0] for r in got.collect()) == [1, 3]

@@ -101,3 +101,38 @@ def test_empty_documents(spark):
     for _, stage in C.STAGES:
         docs = stage(spark, docs, DIR)
     assert docs.count() == 0 and F
+
+
+CLASHES = ["__lang", "__score", "__covered", "domain", "n_tokens", "leaf_tokens", "leaf_budget", "n_copies", "row", "id", "mark", "found", "score", "kinds", "__id", "__hash", "a.b", "a b`c"]
+
+
+def test_other_columns_stay_whatever_their_names(spark):
+    """Names that operators use inside, dots and quotes; repeated rows, ties, a very long text, nulls in every column."""
+    long = "the house of the king and the river near the wood " * 8_000
+    texts = [long, "the house of the king is near the river in the wood and all is well today", "password = hunter2hunter2 and the house of the king near the river in the wood"]
+    rows = [(k, t, "en", f"s{k % 2}", len(t)) for k, t in enumerate(texts)]
+    rows += [rows[1], rows[2], (1, "another text of the same id that tells of a long road to the sea", "en", "s1", 1), (None, "a text without an id about the sea and a road and a boat", None, None, None), (9, None, None, None, None)]
+    base = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = base.select("*", *[F.lit(f"mine {k}").alias(c) for k, c in enumerate(CLASHES)])
+    for name, stage in C.STAGES[:-1]:
+        plain = [tuple(r) for r in stage(spark, base, DIR).select("doc_id", "text", "lang", "source", "n_chars").collect()]
+        out = stage(spark, docs, DIR)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert all(list(r)[5:] == [f"mine {k}" for k in range(len(CLASHES))] for r in got), name
+        assert sorted(map(repr, plain)) == sorted(repr(tuple(r)[:5]) for r in got) and got, name
+    assert C.encode_tokens(spark, docs, DIR).columns == ["doc_id", "lang", "source", "n_tokens", "token_ids"]
+
+
+def test_stages_on_repeated_rows_ties_and_long_texts(spark):
+    """Each row is masked by its own text, drawn with its repetitions, and encoded for itself."""
+    secret = "token: abcdef123456 " + "word " * 40_000
+    rows = [(1, secret, "en", "s0", 0), (1, secret, "en", "s0", 0), (2, secret, "en", "s0", 0), (1, "plain text", "en", "s0", 0), (3, "", "en", "s0", 0), (4, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    masked = C.mask_secrets(spark, docs, DIR).collect()
+    assert len(masked) == 6 and sum("abcdef123456" in (r.text or "") for r in masked) == 0
+    assert sorted((r.doc_id, r.n_chars or -1) for r in masked) == sorted((i, -1 if t is None else len(t.replace("token: abcdef123456", "[secret]")) or -1) for i, t, *_ in rows)
+    mixed = [(r.doc_id, len(r.text)) for r in C.mix_sources(spark, docs, DIR).collect()]
+    assert mixed.count((1, len(secret))) in (0, 2) and all(n for _, n in mixed)
+    coded = C.encode_tokens(spark, docs, DIR).collect()
+    assert len(coded) == 6 and len({bytes(r.token_ids) for r in coded if r.n_tokens > 100}) == 1 and sorted(r.n_tokens for r in coded)[:2] == [0, 0]

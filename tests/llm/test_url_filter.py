@@ -85,3 +85,9 @@ def test_windows_of_any_characters(spark):
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     for r in df.select("url", U._windows(df.url).alias("w")).collect():
         assert r.w == brute_windows(r.url)
+
+
+def test_other_columns_stay_whatever_their_names(spark):
+    rows = spark.createDataFrame([(1, "https://a.net/x", "m", "d"), (2, None, "m", "d")], "page_id long, url string, __url string, `a.b` string")
+    got = U.judge(rows, queries.URL_RULES)
+    assert got.columns[:4] == ["page_id", "url", "__url", "a.b"] and [tuple(r)[2:4] for r in got.collect()] == [("m", "d")] * 2

@@ -113,3 +113,20 @@ def test_search_skips_shards_and_postings():
     assert block.traversed <= 20 * 256 * 16 and block.probed <= 20 * 256  # the first group alone
     got = sorted((int(block.at[n]), int(block.cand[n]), int(block.score[n])) for n in range(len(block.at)))
     assert got == sorted((q, c, s) for q, _, c, s in brute_top(x.astype(int), range(20), 5))
+
+
+def test_scores_beyond_the_whole_numbers_of_doubles(spark, monkeypatch):
+    """Components near 2^28 in four dimensions; candidates whose scores are one apart; shards and pieces that bounds skip."""
+    for name, value in (("SHARD", 64), ("PIECE", 16), ("RUN", 2)):
+        monkeypatch.setattr(T, name, value)
+    rng = np.random.default_rng(3)
+    v = rng.integers(-(1 << 28), 1 << 28, (300, 4))
+    v[100:200] = v[0] + rng.integers(0, 2, (100, 4))
+    v[200:] = v[200:] // (1 << 20)
+    exact = v.astype(object)
+    df = spark.createDataFrame([(i, [float(c) / 64 for c in x]) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in T.top_k(df, F.col("vec_id") % 20 == 0, 7).collect())
+    assert got == brute_top(exact, range(0, 300, 20), 7) and max(abs(r[3]) for r in got) > 1 << 54
+    block = T.Block(np.array([0]), np.array([[1 << 32, 1 << 32]]), 3)
+    with pytest.raises(OverflowError):
+        block.meet(np.array([1]), np.array([[1 << 32, 1 << 32]]))
