@@ -8,7 +8,7 @@ beyond those of documents stay, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crateflow.llm import byte_bpe, jaccard_join, language_id, secret_scan, source_mix
@@ -20,16 +20,31 @@ LEAST_COVERED = 0.3
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.8, 1, 29
 
 
+#: What the stages read. All other columns travel in one struct, where no operator's names can meet theirs.
+READ = ("doc_id", "text", "lang", "source")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, lang, source, as far as docs has them, and row: a struct of its other columns."""
+    others = [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in docs.columns if c not in READ]
+    return docs.select(*[c for c in READ if c in docs.columns], (F.struct(*others) if others else F.lit(0)).alias("row"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of docs, in their order, from rows of packed(); new ones by name."""
+    return rows.select(*[(new[c] if c in new else F.col(c) if c in READ else F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the rows with a text and a language; drops documents of no language. Texts too short to judge stay.
 
-    Null and empty texts and those without a letter go, each repeated row is judged for itself, ties between languages
-    don't matter here, and null ids and languages are nothing special.
+    Null and empty texts and those without a letter go, each repeated row is judged for itself, and ties between languages
+    don't matter here. A row without a language is judged and not learned from; null ids are nothing special.
     """
     small_batches(spark)
-    model = language_id.learn(docs)
-    judged = language_id.predict(docs, model, out="__lang", score="__score", covered="__covered")
-    return judged.where((F.col("__lang") != language_id.UNKNOWN) & F.coalesce(F.col("__covered") >= LEAST_COVERED, F.lit(True))).select(*docs.columns)
+    rows = packed(docs)
+    judged = language_id.predict(rows, language_id.learn(rows), out="found", score="score", covered="covered")
+    return unpacked(judged.where((F.col("found") != language_id.UNKNOWN) & F.coalesce(F.col("covered") >= LEAST_COVERED, F.lit(True))), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +53,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     One row of a class stays even where rows are repeated or share an id. Null, empty and blank texts are no copies: all stay.
     """
     small_batches(spark)
-    return jaccard_join.keep_one_row(docs)
+    return unpacked(jaccard_join.keep_one_row(packed(docs)), docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +61,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     No row goes; repeated rows and rows of one id are masked alike or each by its own text.
     """
-    masked = secret_scan.redact(docs)
-    return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
+    return unpacked(secret_scan.redact(packed(docs)), docs, n_chars=F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +70,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are never drawn, null languages and sources are leaves of their own, repeated rows have one place
     in the order and are drawn together.
     """
-    mixed = source_mix.mix(docs.withColumn("domain", domain_of()), MIX_LEVELS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
-    return mixed.where("n_copies > 0").select(*docs.columns)
+    mixed = source_mix.mix(packed(docs).withColumn("domain", domain_of()), MIX_LEVELS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+    return unpacked(mixed.where("n_copies > 0"), docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +80,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     small_batches(spark)
     words = byte_bpe.vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    coded = byte_bpe.encode(docs, words)
+    coded = byte_bpe.encode(docs.select(*READ), words)
     return coded.select("doc_id", "lang", "source", F.expr("length(token_ids) div 4").cast("long").alias("n_tokens"), "token_ids")
 
 
