@@ -1,9 +1,9 @@
 """Language identification by bit-sliced Bloom filters over byte n-grams.
 
-Learning counts the 4-byte n-grams of each language's texts. A language keeps an n-gram if it makes up at least
-2^-17 of the language's n-grams, so it keeps 2^17 at most, and if it is no rarer there than 1/contrast of its rate in
-the language that has it most. One table of 2^20 words holds all languages' Bloom filters: bit l of a word belongs to
-language l, so the AND of an n-gram's three words has the bits of all languages that contain it. A text's count for a
+Learning counts the 4-byte n-grams of each language's texts. A language keeps every n-gram that makes up at least 2^-17
+of its own, so it keeps 2^17 at most, whatever other languages have. One table of 2^20 words holds all languages' Bloom
+filters: bit l of a word belongs to language l, so the AND of an n-gram's three words has the bits of all languages that
+contain it. A text's count for a
 language is the popcount of that language's slice over its n-grams; n · f of n counts are expected by false positives
 alone (f: the slice's fill to the power of the number of hashes), so (count - n · f) / (1 - f) is the corrected one.
 """
@@ -23,7 +23,6 @@ from crateflow.llm.runtime import BLOCK_BYTES, KeyCounts, durable, runs, text_bl
 
 #: An n-gram must make up this share of a language's n-grams. Bounds each language to 1 / SHARE of them.
 SHARE = 2.0**-17
-CONTRAST = 16
 SLOT_BITS = 20
 #: Odd multipliers of the hash functions; the top SLOT_BITS bits of a product are a slot.
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
@@ -107,8 +106,8 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
     return rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", share: float = SHARE, contrast: float = CONTRAST) -> LanguageModel:
-    """Learns from all rows with a text and a language. Only the finished table of 2^SLOT_BITS words comes to the driver."""
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", share: float = SHARE) -> LanguageModel:
+    """Learns from all rows with a text and a language: a language's filter holds every n-gram of that share of its own. Only the finished table of 2^SLOT_BITS words comes to the driver."""
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     texts = rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").collect()  # as many rows as languages
     languages = sorted(r["lang"] for r in texts)
@@ -120,10 +119,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", share: float
 
     counts = durable(counts)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    rates = counts.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("rate")).where(F.col("rate") >= share)
-    best = rates.groupBy("gram").agg(F.max("rate").alias("best"))
+    rates = counts.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("rate"))
     bit = spark_position(languages)
-    kept = rates.join(best, "gram").where(F.col("rate") * contrast >= F.col("best")).select("gram", F.expr(f"{bit} div 64").alias("part"), F.expr(f"shiftleft(1L, cast({bit} % 64 as int))").alias("mask"))
+    kept = rates.where(F.col("rate") >= share).select("gram", F.expr(f"{bit} div 64").alias("part"), F.expr(f"shiftleft(1L, cast({bit} % 64 as int))").alias("mask"))
     slots = kept.select("part", "mask", F.explode(F.array(*[_slot_column("gram", m) for m in MULTIPLIERS])).alias("slot"))
     words = slots.groupBy("slot", "part").agg(F.bit_or("mask").alias("mask")).toPandas()  # 2^SLOT_BITS rows a group of 64 at most
     table[words["slot"].to_numpy(np.int64), words["part"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).astype(np.uint64)

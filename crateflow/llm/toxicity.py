@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,8 @@ WINDOW, BASE_BYTES, TOXIC_BYTES, LEVEL = 64, 1 << 15, 1 << 10, 3
 #: A distinctive word is in this share of the toxic texts (and in three at least), and this much rarer elsewhere.
 WORD_SHARE, WORD_LIFT = 0.03, 8.0
 LARGE = 4
+#: Windows that a dictionary is trained on.
+TRAINED = 1 << 15
 
 _WORD = re.compile(rb"[^\x00-\x40\[-`{-\x7f]+")
 _WINDOW = re.compile(rb"\S.{0,%d}(?!\S)|\S{1,%d}" % (WINDOW - 1, WINDOW), re.S)
@@ -84,6 +87,12 @@ def distinctive(toxic: Sequence[str], ordinary: Sequence[str]) -> set[bytes]:
     return {w for w, n in mine.items() if n >= least and n / len(toxic) >= WORD_LIFT * (other[w] + 0.5) / (len(ordinary) + 1)}
 
 
+def drawn_windows(texts: Sequence[str], most: int = TRAINED) -> list[bytes]:
+    """Windows from everywhere in all texts: all of them, or about `most`, drawn by their hash."""
+    found = [w for t in texts for w in windows(t)]
+    return found if len(found) <= most else [w for w in found if crc32(w) < (most << 32) // len(found)]
+
+
 def _trained(size: int, samples: list[bytes]) -> bytes:
     """A dictionary's content of about this size; of few samples, which training refuses, simply their end."""
     import zstandard
@@ -96,9 +105,9 @@ def _trained(size: int, samples: list[bytes]) -> bytes:
 
 def fit(toxic: Sequence[str], ordinary: Sequence[str], toxic_check: Sequence[str], ordinary_check: Sequence[str]) -> ToxicityModel:
     """From the texts for the dictionaries and those for the curve."""
-    base = _trained(BASE_BYTES, [w for t in ordinary[:1000] for w in windows(t)[:256]]) if ordinary else b""
+    base = _trained(BASE_BYTES, drawn_windows(ordinary)) if ordinary else b""
     telling = distinctive(toxic, ordinary)
-    told = [b" " + b" ".join(w for w in words(t) if w in telling) for t in toxic] if telling else [b" ".join(windows(t)[:64]) for t in toxic]
+    told = [b" " + b" ".join(w for w in words(t) if w in telling) for t in toxic] if telling else [b" ".join(drawn_windows(toxic))]
     pieces = [t[k : k + WINDOW] for t in told for k in range(0, len(t), WINDOW)]
     special = _trained(TOXIC_BYTES, pieces * max(1, 20_000 // max(1, len(pieces)))) if pieces else b""
     model = ToxicityModel(base, base + special, (0.0,) * 5, (1.0,) * 4)

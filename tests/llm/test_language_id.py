@@ -90,3 +90,23 @@ def test_scores_against_counting_one_by_one(spark):
             assert (got[k].lang_pred, got[k].score) == (model.fallback, 0.0)
         else:
             assert got[k].lang_pred == model.languages[counts.index(max(counts))] and abs(got[k].score - max(counts) / sum(counts)) < 1e-9
+
+
+def test_filters_are_those_of_counted_grams(spark):
+    """The table made anew: each language's n-grams counted by hand, those of the share kept, whatever others have, and their bits set."""
+    texts = [("en", "the king of the house " * 30 + "zebra"), ("de", "das haus the " * 20), ("fr", "la maison"), ("fr", None), (None, "no")]
+    share = 1 / 150
+    model = L.learn(spark.createDataFrame(texts, "lang string, text string"), share=share)
+    want = np.zeros((1 << L.SLOT_BITS, 1), np.uint8)
+    shared = set()
+    for lang in ("de", "en", "fr"):
+        grams = [int.from_bytes(g, "little") for a, t in texts if a == lang and t for g in brute_grams(t)]
+        kept = {g for g in set(grams) if grams.count(g) / len(grams) >= share}
+        shared |= {(lang, g) for g in kept}
+        assert lang != "en" or kept != set(grams)
+        for g in kept:
+            for m in L.MULTIPLIERS:
+                want[(g * m % 2**32) >> (32 - L.SLOT_BITS), 0] |= 1 << model.languages.index(lang)
+    assert model.languages == ["de", "en", "fr"] and np.array_equal(model.table, want)
+    the = int.from_bytes(b"the ", "little")
+    assert ("de", the) in shared and ("en", the) in shared

@@ -81,3 +81,27 @@ def test_scores_against_compressing_one_by_one(spark, model):
         x = [sum(far) / len(far), far[-1], sum(far[-3:]) / len(far[-3:]), sum(d >= T.LARGE for d in far) / len(far)] if far else [0.0] * 4
         z = sum(w * v / s for w, v, s in zip(model.weights, x, model.scale)) + model.weights[4]
         assert abs(r.score - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))) < 1e-9 and r.predicted == int(r.score >= 0.5)
+
+
+def test_dictionaries_are_trained_on_windows_from_everywhere():
+    """All windows of few texts, else about as many as asked from every part of them; no prefix."""
+    rnd = random.Random(7)
+    texts = [text(rnd, False) for _ in range(40)]
+    every = [w for t in texts for w in T.windows(t)]
+    assert T.drawn_windows(texts) == every
+    long = ["".join(rnd.choice("abcdefgh ") for _ in range(64 * 4000))]
+    some, whole = T.drawn_windows(long, 500), T.windows(long[0])
+    assert 350 < len(some) < 650 and set(some) <= set(whole)
+    places = [whole.index(w) for w in some]
+    assert min(places) < len(whole) / 20 and max(places) > len(whole) * 19 / 20
+
+
+def test_fit_without_telling_words_still_separates():
+    """No word is in enough toxic texts, but their windows differ; the toxic dictionary is trained on all of their windows."""
+    rnd = random.Random(8)
+    odd = lambda: " ".join("".join(rnd.choice("qxzvwk") for _ in range(11)) for _ in range(30))
+    toxic, plain = [odd() for _ in range(60)], [text(rnd, False) for _ in range(200)]
+    assert not T.distinctive(toxic, plain)
+    model = T.fit(toxic[:40], plain[:150], toxic[40:], plain[150:])
+    scorer = T.Scorer(model)
+    assert len(model.toxic) > len(model.ordinary) and 0 <= scorer.score(odd()) <= 1
