@@ -66,6 +66,14 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+def ratio_bound(a: Column, b: Column) -> Column:
+    """What sequence_ratio() cannot exceed: twice the characters that both have, however placed, over all of both."""
+    x, y = (F.filter(F.split(F.coalesce(c, F.lit("")), ""), lambda v: v != "") for c in (a, b))
+    common = F.aggregate(F.array_distinct(x), F.lit(0), lambda n, v: n + F.least(F.size(F.filter(x, lambda u: u == v)), F.size(F.filter(y, lambda u: u == v))))
+    both = F.size(x) + F.size(y)
+    return F.when(both == 0, 1.0).otherwise(2.0 * common / both)
+
+
 def text_match(a: Column, b: Column) -> Column:
     return sequence_ratio(normalize_blanks(a), normalize_blanks(b))
 

@@ -46,6 +46,31 @@ def track_progress(items: DataFrame) -> DataFrame:
     return tracks.select("job_id", "track_id", state.alias("progress"))
 
 
+def terminal_results(jobs: DataFrame, items: DataFrame) -> DataFrame:
+    """What the jobs that have ended came to: job_id, status, track_count, succeeded, failed, skipped, not_found, tracks by progress, stages, last_error.
+
+    jobs: job_id, job_type (preview_resolve and audio_analysis_pipeline are special), track_count (null or 0: the items'
+    number counts). items: job_id, item_id, track_id, stage, status, result_json, error_message, finished_at. A preview job
+    succeeds where an item's result says is_available; other successes, and malformed results, are not found. A pipeline job has
+    a count per stage and status too. last_error: the first 2000 characters of the newest failure.
+    """
+    said = F.coalesce(F.get_json_object("result_json", "$.is_available"), F.lit(""))
+    available = ~said.isin("", "false", "0", "0.0", "[]", "{}")
+    success = F.col("status") == "success"
+    kinds = items.join(jobs.select("job_id", (F.col("job_type") == "preview_resolve").alias("previews"), (F.col("job_type") == "audio_analysis_pipeline").alias("pipeline"), "track_count"), "job_id")
+    counts = kinds.groupBy("job_id", "pipeline", "track_count").agg(
+        F.count("*").alias("total"), F.count_if(success & (~F.col("previews") | available)).alias("succeeded"), F.count_if(success & F.col("previews") & ~available).alias("not_found"),
+        *[F.count_if(F.col("status") == s).alias(s) for s in ("failed", "skipped")], F.count_if(success).alias("successes"),
+        F.count_if(F.col("status").isin("pending", "running", "rate_limited") | (F.col("pipeline") & (F.col("status") == "blocked"))).alias("open"),
+        F.max_by(F.substring("error_message", 1, 2000), F.when(F.col("status") == "failed", F.struct("finished_at", -F.col("item_id")))).alias("last_error"),
+    )
+    stages = kinds.where("pipeline").groupBy("job_id", "stage", "status").agg(F.count("*").alias("n")).groupBy("job_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws(":", "stage", "status").alias("k"), F.col("n"))))).alias("stages"))
+    progress = track_progress(kinds.where("pipeline")).groupBy("job_id").agg(F.count("*").alias("tracks_total"), F.count_if(F.col("progress") == "completed").alias("tracks_completed"), F.count_if(F.col("progress") == "failed").alias("tracks_failed"))
+    status = F.when((F.col("failed") > 0) & (F.col("successes") > 0), "partial").when(F.col("failed") > 0, "failed").otherwise("succeeded")
+    ended = counts.where("open = 0").join(stages, "job_id", "left").join(progress, "job_id", "left")
+    return ended.select("job_id", status.alias("status"), F.coalesce(F.nullif("track_count", F.lit(0)), "total").alias("track_count"), "succeeded", "failed", "skipped", "not_found", "tracks_total", "tracks_completed", "tracks_failed", "stages", "last_error")
+
+
 def latest_per_type(jobs: DataFrame, types: tuple[str, ...]) -> DataFrame:
     """The last finished job of each listed type; a type without one has nulls."""
     spark = jobs.sparkSession

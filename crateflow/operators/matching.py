@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crateflow.functions import status, text
+from crateflow.sources.tables import written
 
 AVAILABLE_FROM = 0.60
 #: Groups of up to so many distinct titles and durations are paired whole.
@@ -143,6 +144,35 @@ def best_in_group(tracks: DataFrame) -> DataFrame:
     return best(exact.select(columns).unionByName(fuzzy.select(columns)).withColumn("url", F.lit("u")))
 
 
+def _bounded(candidates: DataFrame) -> DataFrame:
+    """Candidates within the allowed duration, with the most that each can score; texts are normalised once."""
+    rows = candidates.withColumns({"__a": text.normalize_blanks(F.col("text")), "__b": text.normalize_blanks(F.col("c_text"))})
+    most = text.download_score(text.ratio_bound(F.col("__a"), F.col("__b")), F.col("duration_s"), F.col("c_duration_s"))
+    return rows.withColumn("bound", most).where(F.col("bound").isNotNull())
+
+
+def best_downloads(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the best candidate of each track with its score, all candidates whose texts were compared).
+
+    candidates: track_id, ordinal, text, duration_s and the candidate's c_text, c_duration_s. Those too long or too short go
+    first. The comparison runs in Python, so it sees only candidates that can still win: of each track the one of the
+    highest bound, then those whose bound isn't below its score. Equal scores go to the smaller ordinal.
+    """
+    rows = written(_bounded(candidates))
+
+    def compared(some: DataFrame) -> DataFrame:
+        score = text.download_score(text.sequence_ratio(F.col("__a"), F.col("__b")), F.col("duration_s"), F.col("c_duration_s"))
+        return some.withColumn("score", score).select("track_id", "ordinal", "score")
+
+    order = Window.partitionBy("track_id").orderBy(F.desc("bound"), "ordinal")
+    first = written(compared(rows.withColumn("n", F.row_number().over(order)).where("n = 1")))
+    floors = first.select("track_id", F.col("ordinal").alias("__first"), F.col("score").alias("__floor"))
+    more = rows.join(floors, "track_id").where((F.col("ordinal") != F.col("__first")) & (F.col("bound") >= F.col("__floor") - 1e-12))
+    every = written(first.unionByName(compared(more)))
+    rank = F.row_number().over(Window.partitionBy("track_id").orderBy(F.desc("score"), "ordinal"))
+    return every.withColumn("n", rank).where("n = 1").drop("n"), every
+
+
 def ranked(candidates: DataFrame, viable: float = 0.5) -> DataFrame:
     """Download candidates in order: confidence (high first), then as listed; the best viable one first and selected.
 

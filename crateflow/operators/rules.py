@@ -6,6 +6,7 @@ over all tracks. Features come as columns of a wide view: <name>, <name>_status.
 
 from __future__ import annotations
 
+import json
 import random
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -103,7 +104,7 @@ def problems(rule: Rule, known: Sequence[str]) -> list[str]:
     if rule.sync_mode not in SYNC_MODES:
         found.append("UNKNOWN_SYNC_MODE")
     if not 1 <= rule.target_size <= MOST_TRACKS:
-        found.append("INVALID_TARGET_SIZE")
+        found.append("TARGET_SIZE_INVALID")
     return found
 
 
@@ -129,35 +130,51 @@ def candidates(rule: Rule, liked: DataFrame, playlist_tracks: DataFrame) -> Data
     return out.where(~F.col("track_id").isin(*rule.exclude_track_ids)) if rule.exclude_track_ids else out
 
 
-def reasons(rule: Rule, future: Sequence[str] = ()) -> Column:
-    """Array of the reasons that exclude a row of the wide view; empty: it passes.
-
-    A missing feature excludes only where required, one of low confidence too; otherwise its range still holds. Filters on
-    features that are not computed yet have no effect, and need no column.
-    """
-    parts: list[Column] = []
+def _judged(rule: Rule, future: Sequence[str]) -> list[tuple[Column, str, Column, Any]]:
+    """Per condition of a rule: a reason's code or null, the field, the row's value there and what is expected."""
+    none = F.lit(None).cast("string")
+    found: list[tuple[Column, str, Column, Any]] = []
     for f in rule.filters:
         if f.feature in future:
             continue
         value, status = F.col(f.feature), F.col(f"{f.feature}_status")
         absent = status.isNull() | status.isin("missing", "source_failed", "not_available_yet")
-        code = F.when(status.isNull(), "FEATURE_MISSING").otherwise("FEATURE_NOT_AVAILABLE_YET") if f.required else F.lit(None).cast("string")
-        outside = F.lit(None).cast("string")
+        code = F.when(status.isNull(), "FEATURE_MISSING").otherwise("FEATURE_NOT_AVAILABLE_YET") if f.required else none
+        outside = none
         if f.high is not None:
             outside = F.when(value > f.high, RANGE_REASONS.get(f.feature, OTHER_RANGE))
         if f.low is not None:
             outside = F.when(value < f.low, RANGE_REASONS.get(f.feature, OTHER_RANGE)).otherwise(outside)
-        unsure = F.when(status == "low_confidence", "FEATURE_LOW_CONFIDENCE").when(value.isNull(), "FEATURE_MISSING") if f.required else F.lit(None).cast("string")
-        parts.append(F.when(absent, code).otherwise(F.coalesce(unsure, outside)))
-    if rule.availability:
-        parts.append(F.when(~F.coalesce(F.col("availability").isin(*rule.availability), F.lit(False)), "TRACK_UNAVAILABLE"))
-    if rule.market:
-        parts.append(F.when(~F.coalesce(F.col("market_status").isin(*rule.market), F.lit(False)), "MARKET_UNAVAILABLE"))
-    parts += [F.when(F.array_contains("artist_ids", a), "ARTIST_EXCLUDED") for a in rule.exclude_artists]
-    parts += [F.when(F.col("album_id") == a, "ALBUM_EXCLUDED") for a in rule.exclude_albums]
+        unsure = F.when(status == "low_confidence", "FEATURE_LOW_CONFIDENCE").when(value.isNull(), "FEATURE_MISSING") if f.required else none
+        found.append((F.when(absent, code).otherwise(F.coalesce(unsure, outside)), f.feature, F.when(~absent, value), {"min": f.low, "max": f.high}))
+    for names, column, code in ((rule.availability, "availability", "TRACK_UNAVAILABLE"), (rule.market, "market_status", "MARKET_UNAVAILABLE")):
+        if names:
+            found.append((F.when(~F.coalesce(F.col(column).isin(*names), F.lit(False)), code), column, F.col(column), {"include": list(names)}))
+    found += [(F.when(F.array_contains("artist_ids", a), "ARTIST_EXCLUDED"), "artist_id", F.lit(a), None) for a in rule.exclude_artists]
+    found += [(F.when(F.col("album_id") == a, "ALBUM_EXCLUDED"), "album_id", F.lit(a), None) for a in rule.exclude_albums]
+    return found
+
+
+def reasons(rule: Rule, future: Sequence[str] = ()) -> Column:
+    """Array of the reasons that exclude a row of the wide view; empty: it passes.
+
+    A missing feature excludes only where required, one of low confidence too; otherwise its range still holds. Filters on
+    features that are not computed yet have no effect, and need no column.
+    """
+    parts = [code for code, *_ in _judged(rule, future)]
     return F.array_compact(F.array(*parts)) if parts else F.array().cast("array<string>")
 
 
+def details(rule: Rule, future: Sequence[str] = ()) -> Column:
+    """reasons() with what they are about: an array of code, field, value (as text) and expected (as JSON text)."""
+    kind = "array<struct<code:string,field:string,value:string,expected:string>>"
+    parts = [
+        F.when(code.isNotNull(), F.struct(code.alias("code"), F.lit(name).alias("field"), value.cast("string").alias("value"), F.lit(json.dumps(expected) if expected else None).cast("string").alias("expected")))
+        for code, name, value, expected in _judged(rule, future)
+    ]
+    return F.array_compact(F.array(*parts)).cast(kind) if parts else F.array().cast(kind)
+
+
 def score(rule: Rule, future: Sequence[str] = ()) -> Column:
     """Weighted mean of the usable components, their weights renormalised; null if none is usable. Those to come are passed over."""
     total, weights, usable = F.lit(0.0), F.lit(0.0), F.lit(0)
@@ -324,7 +341,7 @@ def arranged(chosen: DataFrame, rule: Rule) -> DataFrame:
 
 
 def preview(rule: Rule, view: DataFrame, liked: DataFrame, playlist_tracks: DataFrame, future: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(items, exclusions). view: the wide view with track_id, isrc, artist_id, album_id, artist_ids, availability.
+    """(items, exclusions: track_id, reason, and of filters field, value and expected). view: the wide view with track_id, isrc, artist_id, album_id, artist_ids, availability.
 
     `artist_grouped` needs artist_names (in order) too. ISRC duplicates go before the filters, so a track that a filter
     drops still hides its duplicates. Rows that a cap passed over tell which; rows after the target size is reached
@@ -335,10 +352,10 @@ def preview(rule: Rule, view: DataFrame, liked: DataFrame, playlist_tracks: Data
     pool = view.join(candidates(rule, liked, playlist_tracks), "track_id", "left_semi")
     names = F.get("artist_names", F.lit(0)) if "artist_names" in view.columns else F.lit(None).cast("string")
     columns = ["track_id", "isrc", "artist_id", "album_id"]
-    judged = written(pool.select(*columns, names.alias("artist_name"), reasons(rule, future).alias("reasons"), score(rule, future).alias("score")))
+    judged = written(pool.select(*columns, names.alias("artist_name"), details(rule, future).alias("reasons"), score(rule, future).alias("score")))
     unique = first_per_isrc(judged)
     doubles = judged.select("track_id").join(unique.select("track_id"), "track_id", "left_anti").select("track_id", F.lit("DUPLICATE_ISRC_EXCLUDED").alias("reason"))
-    dropped_ = unique.select("track_id", F.explode("reasons").alias("reason"))
+    dropped_ = unique.select("track_id", F.explode("reasons").alias("r")).select("track_id", F.col("r.code").alias("reason"), "r.field", "r.value", "r.expected")
     passed = unique.where(F.size("reasons") == 0)
     scored = passed.where(F.col("score").isNotNull())
     blank = passed.where(F.col("score").isNull()).select("track_id", F.lit("SCORE_NOT_COMPUTABLE").alias("reason"))
@@ -346,4 +363,5 @@ def preview(rule: Rule, view: DataFrame, liked: DataFrame, playlist_tracks: Data
     over = capped(scored, rule, chosen)
     if rule.ordering == "artist_grouped":
         chosen = scored.select("track_id", "artist_name").join(F.broadcast(chosen), "track_id")
-    return arranged(chosen, rule), dropped_.unionByName(doubles).unionByName(over).unionByName(blank)
+    others = doubles.unionByName(over).unionByName(blank)
+    return arranged(chosen, rule), dropped_.unionByName(others, allowMissingColumns=True)

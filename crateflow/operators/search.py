@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crateflow.functions.text import plain
+from crateflow.operators import snapshots
 
 Tables = Mapping[str, DataFrame]
 
@@ -42,6 +43,7 @@ class SearchSpec:
     ids: DataFrame | None = None
     duplicate_ids: DataFrame | None = None
     duplicate_status: str | None = None
+    snapshot_status: str | None = None
     sort: str = "title"
     descending: bool = False
     page: int = 1
@@ -107,6 +109,8 @@ def matching(tables: Tables, spec: SearchSpec) -> DataFrame:
         rows = rows.join(spec.ids, "track_id", "left_semi")
     if spec.duplicate_status and spec.duplicate_ids is not None:
         rows = rows.join(spec.duplicate_ids, "track_id", "left_anti" if spec.duplicate_status == "none" else "left_semi")
+    if spec.snapshot_status:
+        rows = rows.join(snapshots.ids_of_status(tables, spec.snapshot_status), "track_id", "left_semi")
     if spec.sort == "artist":
         first = tables["track_artists"].where("position = 0").join(tables["artists"], "artist_id").select("track_id", F.col("normalized_name").alias("artist_name"))
         rows = rows.join(first, "track_id", "left")

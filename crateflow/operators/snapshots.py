@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +80,20 @@ def classify(liked_before: DataFrame, liked_after: DataFrame, items_before: Data
     return rows.withColumn("n", first).where("n = 1").select("track_id", "playlist_id", "position", "status")
 
 
+def ids_of_status(tables: Mapping[str, DataFrame], status: str) -> DataFrame:
+    """track_ids that the two latest snapshots give a status; none where there are fewer than two.
+
+    tables: snapshots (snapshot_id, created_at), liked_snapshots and playlist_snapshots (rows of create()), liked, tracks.
+    """
+    pair = latest_two(tables["snapshots"]).where(F.col("previous_id").isNotNull())
+
+    def of(name: str, which: str) -> DataFrame:
+        return tables[name].join(F.broadcast(pair.select(F.col(which).alias("snapshot_id"))), "snapshot_id", "left_semi")  # one row at most
+
+    found = classify(of("liked_snapshots", "previous_id"), of("liked_snapshots", "snapshot_id"), of("playlist_snapshots", "previous_id"), of("playlist_snapshots", "snapshot_id"), tables["liked"], tables["tracks"])
+    return found.where((F.col("status") == status) & F.col("track_id").isNotNull()).select("track_id").distinct()
+
+
 def status_counts(classified: DataFrame) -> DataFrame:
     """All statuses, with 0 where none."""
     spark = classified.sparkSession

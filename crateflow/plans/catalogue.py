@@ -313,7 +313,7 @@ def snapshot_liked_diff(lib):
     return snapshots.set_diff(before, after)
 
 
-def _playlist_snapshots(lib: Library) -> tuple[DataFrame, DataFrame]:
+def playlist_snapshots(lib: Library) -> tuple[DataFrame, DataFrame]:
     p = lib["playlist_tracks"]
     before = p.select("playlist_id", "position", "track_id")
     after = p.where("playlist_id % 10 <> 0").select("playlist_id", "position", F.expr("case when playlist_id % 3 = 0 and position = 0 then null when playlist_id % 7 = 0 and position = 1 then track_id + 1 else track_id end").alias("track_id"))
@@ -325,7 +325,7 @@ _ITEMS = ", ib as (select playlist_id, position, track_id from playlist_tracks),
 
 @query(_ITEMS + " select distinct playlist_id from ib join ia using (playlist_id, position) where ib.track_id is distinct from ia.track_id", "playlist_tracks")
 def snapshot_playlist_changed(lib):
-    return snapshots.changed_playlists(*_playlist_snapshots(lib))
+    return snapshots.changed_playlists(*playlist_snapshots(lib))
 
 
 @query(_ITEMS + """, lb as (select track_id from tracks where track_id % 2 = 0), la as (select track_id from tracks where track_id % 3 = 0), ln as (select track_id from tracks where track_id % 11 <> 0),
@@ -336,7 +336,7 @@ def snapshot_playlist_changed(lib):
     select track_id, playlist_id, position, status from s where status is not null qualify row_number() over (partition by track_id, playlist_id, position order by turn) = 1""", "tracks", "playlist_tracks")
 def snapshot_status_first(lib):
     t = lib["tracks"]
-    return snapshots.classify(t.where("track_id % 2 = 0"), t.where("track_id % 3 = 0"), *_playlist_snapshots(lib), t.where("track_id % 11 <> 0"), t)
+    return snapshots.classify(t.where("track_id % 2 = 0"), t.where("track_id % 3 = 0"), *playlist_snapshots(lib), t.where("track_id % 11 <> 0"), t)
 
 
 @query("select snapshot_id, previous_id from (select user_id as snapshot_id, lead(user_id) over (order by max(ts) desc, user_id desc) as previous_id, row_number() over (order by max(ts) desc, user_id desc) as n from events group by user_id) where n = 1")

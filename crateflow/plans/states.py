@@ -6,9 +6,9 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from crateflow.functions import status
-from crateflow.operators import jobs, lists, upserts, work
-from crateflow.plans.catalogue import query, r6
-from crateflow.sources import ingest
+from crateflow.operators import jobs, lists, matching, rules, search, snapshots, upserts, work
+from crateflow.plans.catalogue import ORACLES, RULE, playlist_snapshots, query, r6, wide_view
+from crateflow.sources import export, ingest
 from crateflow.sources.paged import LandedPages
 from crateflow.sources.tables import fresh_path
 
@@ -214,3 +214,79 @@ def paged_saved_tracks(lib):
     pages.repartition("offset").write.partitionBy("offset").text(path)
     lib.spark.dataSource.register(LandedPages)
     return lib.spark.read.format("landed_pages").schema("place long, track_id string, duration_ms long, added_at string").load(path)
+
+
+@query(f"select track_id from tracks where track_id in (select track_id from ({ORACLES['snapshot_status_first']}) where status = 'unavailable') order by normalized_title, track_id limit 500", "tracks")
+def search_snapshot_status(lib):
+    """Tracks that the two latest of three snapshots find unavailable."""
+    t = lib["tracks"]
+    before, after = playlist_snapshots(lib)
+    marked = lambda rows, name: rows.withColumn("snapshot_id", F.lit(name))
+    tables = {name: lib[name] for name in ("tracks", "albums", "artists", "track_artists", "playlist_tracks")} | {
+        "snapshots": lib.raw("region").where("r_regionkey < 3").select(F.concat(F.lit("s"), "r_regionkey").alias("snapshot_id"), F.col("r_regionkey").alias("created_at")),
+        "liked_snapshots": marked(t.where("track_id % 5 = 0").select("track_id"), "s0").unionByName(marked(t.where("track_id % 2 = 0").select("track_id"), "s1")).unionByName(marked(t.where("track_id % 3 = 0").select("track_id"), "s2")),
+        "playlist_snapshots": marked(before, "s1").unionByName(marked(after, "s2")), "liked": t.where("track_id % 11 <> 0").select("track_id", F.lit(None).cast("timestamp_ntz").alias("added_at")),
+    }
+    return search.search_ids(tables, snapshot_status="unavailable")
+
+
+@query(""", i as (select *, case job_id % 3 when 0 then 'preview_resolve' when 1 then 'audio_analysis_pipeline' else 'other' end as kind, case when item_id % 4 = 0 then '{"is_available": true}' when item_id % 4 = 1 then '{"is_available": 0}' when item_id % 4 = 2 then '{bad' end as result from (select * replace (item_id // 20 as job_id) from items where status in ('success', 'failed', 'skipped'))),
+    c as (select job_id, kind, count(*) as total, count(*) filter (status = 'success' and (kind <> 'preview_resolve' or item_id % 4 = 0)) as succeeded, count(*) filter (status = 'success' and kind = 'preview_resolve' and item_id % 4 <> 0) as not_found, count(*) filter (status = 'failed') as failed,
+      count(*) filter (status = 'skipped') as skipped, count(*) filter (status = 'success') as s, arg_max('e' || item_id, item_id) filter (status = 'failed') as last_error, count(*) filter (stage = 'download' and status = 'failed') as failed_downloads from i group by all)
+    select job_id, case when failed > 0 and s > 0 then 'partial' when failed > 0 then 'failed' else 'succeeded' end as status, case when job_id % 2 = 0 then 7 else total end::bigint as track_count, succeeded, failed, skipped, not_found, last_error, case when kind = 'audio_analysis_pipeline' then failed_downloads else 0 end as failed_downloads from c""", "items")
+def job_results(lib):
+    """Jobs of twenty items of three kinds; of items only those that have ended. Failures end in order of their ids."""
+    n = F.col("item_id")
+    items = lib["items"].where("status in ('success', 'failed', 'skipped')").withColumns({"job_id": F.floor(n / 20), "error_message": F.concat(F.lit("e"), n), "finished_at": F.timestamp_seconds(n)})
+    items = items.withColumn("result_json", F.when(n % 4 == 0, '{"is_available": true}').when(n % 4 == 1, '{"is_available": 0}').when(n % 4 == 2, "{bad"))
+    kind = F.element_at(F.array(*map(F.lit, ("preview_resolve", "audio_analysis_pipeline", "other"))), (F.col("job_id") % 3).cast("int") + 1)
+    ended = items.select("job_id").distinct().select("job_id", kind.alias("job_type"), F.when(F.col("job_id") % 2 == 0, 7).otherwise(0).cast("long").alias("track_count"))
+    found = jobs.terminal_results(ended, items)
+    return found.select("job_id", "status", "track_count", "succeeded", "failed", "skipped", "not_found", "last_error", F.coalesce(F.try_element_at("stages", F.lit("download:failed")), F.lit(0)).alias("failed_downloads"))
+
+
+@query("""select track_id, segment_id as ordinal, round(0.7::double * 2 * least(m, n) / (m + n) + 0.3::double * greatest(0, 1 - abs(x - y) / greatest(x, 1.0::double)), 6) + 0.0 as score from
+      (select track_id, segment_id, 1 + track_id % 6 as m, 1 + segment_id * 7 % 11 as n, (track_id % 50)::double as x, (segment_id * 3 % 60)::double as y from segments) where abs(x - y) <= 15
+    qualify row_number() over (partition by track_id order by round(0.7::double * 2 * least(m, n) / (m + n) + 0.3::double * greatest(0, 1 - abs(x - y) / greatest(x, 1.0::double)), 9) desc, segment_id) = 1""", "segments")
+def compared_downloads(lib):
+    """Texts of one letter, whose ratio is known; few pairs of texts reach the comparison."""
+    n, k = F.col("track_id"), F.col("segment_id")
+    rows = lib["segments"].select("track_id", k.alias("ordinal"), F.expr("repeat('a', cast(1 + track_id % 6 as int))").alias("text"), F.expr("repeat('A', cast(1 + segment_id * 7 % 11 as int))").alias("c_text"), (n % 50).cast("double").alias("duration_s"), (k * 3 % 60).cast("double").alias("c_duration_s"))
+    best, _ = matching.best_downloads(rows)
+    return best.withColumn("score", r6("score"))
+
+
+@query("""select track_id::varchar as track_id, coalesce(name, '') as name, coalesce(isrc, '') as isrc, strftime(added_at, '%Y-%m-%dT%H:%M:%S') as added_at from liked join tracks using (track_id)""", "liked", "tracks")
+def exported_likes(lib):
+    """Written as CSV and read back."""
+    path = fresh_path(lib.spark)
+    export.write_csv(export.liked_rows(lib["tracks"], lib["liked"]), path)
+    return lib.spark.read.option("header", True).option("nullValue", "\x00").csv(path).select("track_id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("isrc", F.lit("")).alias("isrc"), "added_at")
+
+
+@query("""select playlist_id, p.name as playlist, position, track_id, coalesce(t.name, '') as name from playlist_tracks join playlists p using (playlist_id) left join tracks t using (track_id)""", "playlist_tracks", "playlists", "tracks")
+def exported_playlists(lib):
+    """Nested JSON, a document per playlist, written, read back and flattened."""
+    path = fresh_path(lib.spark)
+    export.write_json(export.playlists_nested(export.playlist_rows(lib["playlists"], lib["playlist_tracks"], lib["tracks"])), path)
+    back = lib.spark.read.schema("playlist_id long, playlist string, items array<struct<position long, track_id long, name string>>").json(path)
+    return back.select("playlist_id", "playlist", F.explode("items").alias("i")).select("playlist_id", "playlist", "i.*")
+
+
+@query("""select 'liked' as kind, track_id, null::bigint as playlist_id, null::bigint as position from liked where track_id % 3 > 0 union all select 'item', track_id, playlist_id, position from playlist_tracks where playlist_id % 5 = 0""", "liked", "playlist_tracks")
+def exported_snapshot(lib):
+    """A snapshot's rows as JSON lines of their kinds, written, read back and parsed; another snapshot's rows are left out."""
+    path = fresh_path(lib.spark)
+    likes, items = snapshots.create("s1", lib["liked"].where("track_id % 3 > 0"), lib["playlist_tracks"].where("playlist_id % 5 = 0"))
+    other, _ = snapshots.create("s2", lib["liked"], lib["playlist_tracks"])
+    export.write_json(export.snapshot_document("s1", likes.unionByName(other), lib["playlists"].where("false").withColumn("snapshot_id", F.lit("s1")), items), path)
+    back = lib.spark.read.schema("kind string, document string").json(path)
+    d = F.from_json("document", "track_id long, playlist_id long, position long")
+    return back.select("kind", d.alias("d")).select("kind", "d.*")
+
+
+@query(ORACLES["rule_filter_reasons"].replace("select track_id, array_to_string(reasons, ',') as reasons from sc", """select track_id, code, case when code like 'BPM%' then 'bpm' else 'energy' end as field, case when code like 'BPM%' then '{"min": 70, "max": 150}' else '{"min": 0.1, "max": null}' end as expected,
+      round(case when code like 'BPM%' then bpm when code in ('ENERGY_OUT_OF_RANGE', 'FEATURE_LOW_CONFIDENCE') then energy end, 6) + 0.0 as value from (select *, unnest(reasons) as code from sc)"""))
+def rule_exclusions(lib):
+    rows = wide_view(lib).select("track_id", F.explode(rules.details(RULE)).alias("r")).select("track_id", "r.*")
+    return rows.withColumn("value", r6(F.col("value").cast("double")))

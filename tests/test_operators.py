@@ -142,7 +142,7 @@ def test_end_to_end_playlist(spark):
 def test_rules():
     assert rules.problems(rules.Rule(), []) == ["NO_SOURCE_SELECTED", "NO_SCORING_COMPONENTS"]
     bad = rules.parse({"liked": True, "filters": [{"feature": "zzz", "low": 2, "high": 1}], "weights": {"bpm": 1}, "target_size": 501})
-    assert rules.problems(bad, ["bpm"]) == ["UNKNOWN_FILTER:zzz", "INVALID_RANGE:zzz", "INVALID_TARGET_SIZE"]
+    assert rules.problems(bad, ["bpm"]) == ["UNKNOWN_FILTER:zzz", "INVALID_RANGE:zzz", "TARGET_SIZE_INVALID"]
     rows = [(1, 0.9, 7), (2, 0.8, 7), (3, 0.7, 8)]
     assert [r[0] for r in rules.spread(rows)] == [1, 3, 2]
     assert rules.ordered([(1, 0.5), (2, 0.9)], "recently_added_desc") == [(2, 0.9), (1, 0.5)]
