@@ -512,10 +512,10 @@ def work_selection(lib):
     return work.select_missing(lib["tracks"], lib["liked"], 40)
 
 
-@query("select job_id, arg_max(item_id, created_at) as item_id from items group by job_id", "items")
+@query("select job_id, arg_max(item_id, (created_at, item_id)) as item_id from items group by job_id", "items")
 def worker_heartbeats(lib):
     beats = lib["items"].select(F.col("job_id").alias("worker_id"), F.col("created_at").alias("last_seen_at"), "item_id")
-    return jobs.heartbeats(beats).select(F.col("worker_id").alias("job_id"), "item_id")
+    return jobs.heartbeats(beats, "item_id").select(F.col("worker_id").alias("job_id"), "item_id")
 
 
 @query("""

@@ -73,7 +73,7 @@ def first_failed_items(lib):
 def stale_locks(lib):
     """Pending items taken as running since they were made."""
     i = lib["items"]
-    now = F.lit(str(i.agg(F.max("created_at")).first()[0])).cast("timestamp_ntz")
+    now = i.agg(F.max("created_at")).scalar()
     running = i.withColumn("status", F.when(F.col("status") == "pending", "running").otherwise(F.col("status"))).withColumn("locked_by", F.lit("w")).withColumn("locked_at", F.col("created_at"))
     return jobs.release_stale(running, now).select("item_id", "status")
 
@@ -81,12 +81,12 @@ def stale_locks(lib):
 @query("select item_id, case when status = 'failed' and job_id = (select min(job_id) from items) then 'pending' else status end as status, case when status = 'failed' and job_id = (select min(job_id) from items) then 0 else 2 end as attempt_count from items", "items")
 def retried_items(lib):
     rows = lib["items"].withColumn("attempt_count", F.lit(2)).withColumn("error_code", F.lit("x"))
-    return jobs.retry_failed(rows, F.lit(rows.agg(F.min("job_id")).first()[0])).select("item_id", "status", "attempt_count")
+    return jobs.retry_failed(rows, lib["items"].agg(F.min("job_id")).scalar()).select("item_id", "status", "attempt_count")
 
 
 @query("select item_id, case when status in ('pending', 'blocked', 'rate_limited') and job_id = (select min(job_id) from items) then 'cancelled' else status end as status from items", "items")
 def cancelled_items(lib):
-    return jobs.cancel(lib["items"], F.lit(lib["items"].agg(F.min("job_id")).first()[0])).select("item_id", "status")
+    return jobs.cancel(lib["items"], lib["items"].agg(F.min("job_id")).scalar()).select("item_id", "status")
 
 
 @query("""select track_id % 5 as job_id, track_id, segment, stage, case when stage = 'download' then 'pending' else 'blocked' end as status from tracks,
@@ -334,12 +334,15 @@ def temp_files(lib):
     return lists.temp_file_counts(rows)
 
 
-@query("select model, case when 'm1' = model then 'run' when model = 'm2' then 'models_missing' end as state from (values ('m1'), ('m2')) v(model)")
+@query("""select 'm' || n_nationkey as model, case when n_nationkey % 7 < 4 and n_regionkey <> 2 then 'run' else 'models_missing' end as state from nation where n_regionkey < 4 and n_nationkey % 7 < 6""")
 def gated_models(lib):
-    """Two models of a profile: one whole, one whose head is not there; a third is not in the profile."""
-    models = lib.spark.createDataFrame([("m1", "e1", "h1"), ("m2", "e1", "h2"), ("m3", "e9", "h9")], "model string, extractor string, head string")
-    names = lambda *x: lib.spark.createDataFrame([(n,) for n in x], "name string")
-    return gating.gated(models, names("e1", "h1", "h2"), names("e1", "h1", "e9"))
+    """Nations as models: their regions are extractors, their numbers' rests heads. Some regions and heads are in no profile, some are not there."""
+    n = lib.raw("nation")
+    name = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    extractor, head = name("e", F.col("n_regionkey")), name("h", F.col("n_nationkey") % 7)
+    models = n.select(name("m", F.col("n_nationkey")).alias("model"), extractor.alias("extractor"), head.alias("head"))
+    named = lambda r, h: n.where(r).select(extractor.alias("name")).unionByName(n.where(h).select(head.alias("name"))).distinct()
+    return gating.gated(models, named("n_regionkey < 4", "n_nationkey % 7 < 6"), named("n_regionkey <> 2", "n_nationkey % 7 < 4"))
 
 
 @query("select track_id, case when track_id % 5 = 0 then 'not_found' when track_id % 5 = 1 then 'not_found' else 'success' end as status, case when track_id % 5 = 0 then 'RECCOBEATS_NOT_FOUND' when track_id % 5 = 1 then 'RECCOBEATS_FEATURES_MISSING' end as error_code, case when track_id % 5 > 1 then 60 + track_id % 100 end::double as bpm, case when track_id % 5 > 1 then duration_ms end as duration_ms, case when track_id % 5 > 1 then case when isrc is not null then 1.0::double else 0.9::double end end as feature_confidence from tracks", "tracks")

@@ -47,14 +47,14 @@ def running_jobs(lib):
     items = lib["items"]
     per = items.groupBy("job_id", "job_type").agg(F.bool_or(F.col("status") == "pending").alias("q"), F.bool_or(F.col("status") == "blocked").alias("r"))
     state = F.when(F.col("q"), "queued").when(F.col("r"), "running").otherwise("succeeded")
-    return lists.running_jobs(per.select("job_id", "job_type", state.alias("status")), items.agg(F.min("job_type")).first()[0]).select("job_id", "job_type")
+    return lists.running_jobs(per.select("job_id", "job_type", state.alias("status")), items.agg(F.min("job_type")).scalar()).select("job_id", "job_type")
 
 
 @query("""select job_id as worker_id, max(created_at) as last_seen_at from items group by job_id having max(created_at) >= (select max(created_at) from items) - interval 1 day""", "items")
 def recent_workers(lib):
     items = lib["items"]
     beats = jobs.heartbeats(items.select(F.col("job_id").alias("worker_id"), F.col("created_at").alias("last_seen_at")))
-    since = F.lit(items.agg(F.max("created_at")).first()[0]) - F.expr("interval 1 day")
+    since = items.agg(F.max("created_at")).scalar() - F.expr("interval 1 day")
     return lists.seen_since(beats, since)
 
 
