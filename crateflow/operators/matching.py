@@ -195,6 +195,29 @@ def rekeyed(requests: DataFrame, responses: DataFrame) -> DataFrame:
     return requests.join(named, F.col("request_id") == F.col("key")).withColumn("n", rank).where("n = 1").select("request_id", "payload")
 
 
+#: Members of an answer that may hold its list of items.
+ITEM_LISTS = ("content", "audioFeatures")
+
+
+def payload_items(answers: DataFrame, column: str = "payload") -> DataFrame:
+    """answers with a row per item of their JSON payloads (item, as JSON text): a list's elements, those of a list member, or the object itself.
+
+    Only objects are items; a malformed payload, or one of another kind, has none. Names of columns are free.
+    """
+    kept = answers.columns
+    parsed = answers.withColumn("__v", F.try_parse_json(column))
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit(""))
+    within = F.lit(None).cast("variant")
+    for name in reversed(ITEM_LISTS):
+        member = F.try_variant_get("__v", f"$.{name}", "variant")
+        within = F.when(kind(member).startswith("ARRAY"), member).otherwise(within)
+    found = F.when(kind(F.col("__v")).startswith("ARRAY"), F.col("__v")).when(kind(F.col("__v")).startswith("OBJECT"), within)
+    single = F.when(kind(F.col("__v")).startswith("OBJECT"), F.array(F.col("__v")))
+    items = F.coalesce(F.try_variant_get(found, "$", "array<variant>"), single)
+    rows = parsed.select(*kept, F.posexplode(items).alias("place", "__item"))
+    return rows.where(kind(F.col("__item")).startswith("OBJECT")).select(*kept, "place", F.to_json("__item").alias("item"))
+
+
 def request_batches(ids: DataFrame, size: int = 40) -> DataFrame:
     """ids in batches of `size` by order of id: batch, request_ids. Batches are cut within ranges of ids, so no task numbers all."""
     part = ids.select("request_id").distinct().repartitionByRange("request_id").withColumn("__p", F.spark_partition_id())

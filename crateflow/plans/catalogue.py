@@ -539,4 +539,4 @@ def diversity_two_caps(lib):
 
 ORACLES["diversity_two_caps"] = ORACLES["diversity_two_caps"].replace("with", "with recursive", 1)
 
-from crateflow.plans import lookups, states, streams  # noqa: E402, F401  (register their queries here)
+from crateflow.plans import further, lookups, states, streams  # noqa: E402, F401  (register their queries here)
