@@ -22,16 +22,10 @@ def fresh_path(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df, written and read back: its lineage ends there, and a lost executor costs no recomputation."""
+    """df, written and read back: its lineage ends there, and a lost executor costs no recomputation. Gone when the driver ends."""
     spark = df.sparkSession
     path = fresh_path(spark)
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Removes the files of a table of written() that nothing reads any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        place = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
