@@ -97,5 +97,18 @@ def with_fallback(resolved: DataFrame, local: DataFrame, fallback: Mapping[str,
     return merged.unionByName(inverse)
 
 
+#: Fixed value: features of later phases than this are to come.
+LAST_PHASE = 6
+
+
+def unresolved(wanted: DataFrame, phases: Mapping[str, int], resolved: DataFrame) -> DataFrame:
+    """track_id, feature, status of wanted features (track_id, feature) that nothing resolved: not_available_yet for those of a later phase, else missing."""
+    phase = F.lit(None).cast("int")
+    for name, n in phases.items():
+        phase = F.when(F.col("feature") == name, n).otherwise(phase)
+    rows = wanted.join(resolved.select("track_id", "feature"), ["track_id", "feature"], "left_anti")
+    return rows.select("track_id", "feature", F.when(phase > LAST_PHASE, "not_available_yet").otherwise("missing").alias("status"))
+
+
 def timbre(vector: Column, size: int = 256) -> Column:
     return F.slice(vector, 1, size)

@@ -139,12 +139,12 @@ def order(spec: SearchSpec) -> list[Column]:
 
 
 def page_ids(tables: Tables, spec: SearchSpec) -> DataFrame:
-    """track_id and position (from 0 over all pages) of the page's tracks."""
+    """track_id, position (from 0 over all pages) and album_id of the page's tracks."""
     spec = spec.checked()
     keys = order(spec)
     rows = matching(tables, spec).orderBy(*keys).offset((spec.page - 1) * spec.page_size).limit(spec.page_size)
     # a page has MOST_PER_PAGE rows at most, so its numbering may be one task's work
-    return rows.withColumn("position", F.row_number().over(Window.orderBy(*keys)) - 1 + (spec.page - 1) * spec.page_size).select("track_id", "position")
+    return rows.withColumn("position", F.row_number().over(Window.orderBy(*keys)) - 1 + (spec.page - 1) * spec.page_size).select("track_id", "position", "album_id")
 
 
 #: Rows before a page from which it is found by ranges instead of a sort of all; how many ranges, and samples for each.
@@ -192,11 +192,11 @@ def deep_page_ids(tables: Tables, spec: SearchSpec) -> DataFrame:
                 break
         upto += n
     if low is None:
-        return rows.limit(0).select("track_id", F.lit(0).alias("position"))
+        return rows.limit(0).select("track_id", F.lit(0).alias("position"), "album_id")
     some = rows if low == 0 else rows.where(~_precedes(spec, name, *bounds[low - 1], kind))
     some = some if high == len(bounds) else some.where(_precedes(spec, name, *bounds[high], kind))
     found = some.orderBy(*keys).offset(first - before).limit(spec.page_size)
-    return found.withColumn("position", F.row_number().over(Window.orderBy(*keys)) - 1 + first).select("track_id", "position")
+    return found.withColumn("position", F.row_number().over(Window.orderBy(*keys)) - 1 + first).select("track_id", "position", "album_id")
 
 
 def page(tables: Tables, spec: SearchSpec) -> DataFrame:
@@ -207,10 +207,10 @@ def page(tables: Tables, spec: SearchSpec) -> DataFrame:
     ids_of = deep_page_ids if (spec.page - 1) * spec.page_size >= DEEP else page_ids
     found = [tuple(r) for r in ids_of(tables, spec).collect()]  # a page
     kind = tables["tracks"].schema["track_id"].dataType.simpleString()
-    ids = tables["tracks"].sparkSession.createDataFrame(found, f"track_id {kind}, position int")
-    numbers = [t for t, _ in found]
+    ids = tables["tracks"].sparkSession.createDataFrame([r[:2] for r in found], f"track_id {kind}, position int")
+    numbers, albums = [r[0] for r in found], sorted({r[2] for r in found if r[2] is not None})
     rows = F.broadcast(ids).join(tables["tracks"].where(F.col("track_id").isin(*numbers)), "track_id")
-    rows = rows.join(tables["albums"].select("album_id", F.col("name").alias("album")), "album_id", "left")
+    rows = rows.join(tables["albums"].where(F.col("album_id").isin(*albums)).select("album_id", F.col("name").alias("album")), "album_id", "left")
     rows = rows.join(tables["liked"].where(F.col("track_id").isin(*numbers)).select("track_id", F.lit(True).alias("is_liked"), "added_at"), "track_id", "left")
     rows = rows.join(artists_in_order(tables, tables["track_artists"].where(F.col("track_id").isin(*numbers))), "track_id", "left")
     rows = rows.join(playlist_counts(tables["playlist_tracks"].where(F.col("track_id").isin(*numbers))), "track_id", "left")

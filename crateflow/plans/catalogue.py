@@ -299,7 +299,7 @@ def playlist_end_to_end(lib):
 ORACLES["playlist_end_to_end"] = ORACLES["playlist_end_to_end"].replace("with", "with recursive", 1)
 
 
-def _snapshots(lib: Library) -> tuple[DataFrame, DataFrame]:
+def liked_snapshots(lib: Library) -> tuple[DataFrame, DataFrame]:
     o = lib.raw("orders").select(F.col("o_orderkey").alias("track_id"), "o_orderdate")
     return o.where("o_orderdate < timestamp_ntz'2000-04-11'").select("track_id"), o.where("o_orderdate >= timestamp_ntz'1997-08-23'").select("track_id")
 
@@ -309,7 +309,7 @@ _BEFORE = "lb as (select o_orderkey as track_id from orders where o_orderdate <
 
 @query(f"with {_BEFORE} select track_id, 'added' as change from la where track_id not in (select track_id from lb) union all select track_id, 'removed' from lb where track_id not in (select track_id from la)")
 def snapshot_liked_diff(lib):
-    before, after = _snapshots(lib)
+    before, after = liked_snapshots(lib)
     return snapshots.set_diff(before, after)
 
 
@@ -346,7 +346,7 @@ def latest_two_snapshots(lib):
 
 @query(f"with {_BEFORE} select coalesce(a.track_id, b.track_id) as track_id, case when b.track_id is null then 'to_add' when a.track_id is null then 'to_remove' else 'unchanged' end as action from (select distinct track_id from lb) a full join (select distinct track_id from la) b on a.track_id = b.track_id")
 def sync_three_way(lib):
-    before, after = _snapshots(lib)
+    before, after = liked_snapshots(lib)
     return snapshots.sync_diff(before, after)
 
 

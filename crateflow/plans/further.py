@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from crateflow.functions import text
 from crateflow.operators import coverage, duplicates, gating, lists, matching, resolve, rules, snapshots, work
-from crateflow.plans.catalogue import _DUP_TRACKS, ORACLES, _dup_tracks, playlist_snapshots, query, r6
+from crateflow.plans.catalogue import _BEFORE, _DUP_TRACKS, _RULE_VIEWS, _WIDE, ORACLES, _dup_tracks, liked_snapshots, playlist_snapshots, query, r6, wide_view
+from crateflow.sources import export
+from crateflow.sources.tables import fresh_path
 
 
 @query("""with d as (select job_id, track_id, item_id as segment_id, status from (select *, row_number() over () from items where stage = 'download' and item_id % 2 = 0)),
@@ -143,3 +145,47 @@ def lookup_batches(lib):
     batches = matching.request_batches(lib["tracks"].select(F.col("track_id").cast("string").alias("request_id")))
     sized = batches.select(F.size("request_ids").cast("long").alias("n"), F.explode("request_ids").alias("id"))
     return sized.agg(F.count("*").alias("ids"), F.count_distinct("id").alias("unique_ids"), (F.min("n") > 0).alias("none_empty"), F.max("n").alias("largest"))
+
+
+@query("""select track_id, feature, case when feature = 'later' then 'not_available_yet' else 'missing' end as status from (select track_id, unnest(['bpm', 'later', 'other']) as feature from tracks where track_id % 4 = 0)
+    where not (feature = 'bpm' and track_id in (select track_id from features where is_active))""", "tracks", "features")
+def unresolved_features(lib):
+    """Features that nothing resolves: one of a later phase, one that nobody knows, and bpm where a track has no row."""
+    wanted = lib["tracks"].where("track_id % 4 = 0").select("track_id", F.explode(F.array(*map(F.lit, ("bpm", "later", "other")))).alias("feature"))
+    found = lib["features"].where("is_active").select("track_id", F.lit("bpm").alias("feature")).distinct()
+    return resolve.unresolved(wanted, {"bpm": 1, "later": 7}, found)
+
+
+@query("select label, place::int as place, round(x, 6) + 0.0 as x from (select label, generate_subscripts(v, 1) - 1 as place, unnest(v)::double as x from (select label, embedding[1:8] as v from embeddings where vec_id % 3 > 0 qualify row_number() over (partition by label order by vec_id) = 1))")
+def timbre_vectors(lib):
+    """The head of the first usable vector of each label."""
+    rows = lib.raw("embeddings").select(F.col("label").alias("track_id"), F.col("vec_id").alias("row_id"), F.when(F.col("vec_id") % 3 == 0, "failed").otherwise("success").alias("status"), "embedding")
+    first = resolve.first_usable_embedding(rows).select(F.col("track_id").alias("label"), F.posexplode(resolve.timbre(F.col("embedding"), 8)).alias("place", "x"))
+    return first.select("label", "place", r6("x").alias("x"))
+
+
+@query(_WIDE + """ select track_id, round(case when ub or ue or uv then case when ue or uv then greatest(0, least(1, (case when ue then energy * 0.3::double else 0 end + case when uv then valence * 0.2::double else 0 end)
+      / (case when ue then 0.3::double else 0 end + case when uv then 0.2::double else 0 end))) else 0 end end, 6) + 0.0 as score from why""", *_RULE_VIEWS)
+def overridden_scores(lib):
+    """The rule with one component's weight taken away."""
+    document = {"liked": True, "weights": {"bpm": 0.5, "energy": 0.3, "valence": 0.2}, "ranges": {"bpm": (60, 160)}}
+    rule = rules.parse(rules.override(document, {"weights": {"bpm": 0.0, "energy": 0.3, "valence": 0.2}}))
+    return wide_view(lib).select("track_id", r6(rules.score(rule)).alias("score"))
+
+
+@query(f"with {_BEFORE} select track_id, 'added' as change from la where track_id not in (select track_id from lb) union all select track_id, 'removed' from lb where track_id not in (select track_id from la)")
+def exported_diff(lib):
+    """A diff as JSON lines, written and read back."""
+    path = fresh_path(lib.spark)
+    export.write_json(snapshots.set_diff(*liked_snapshots(lib)), path)
+    return lib.spark.read.schema("track_id long, change string").json(path)
+
+
+@query("""select track_id, verdict, verdict in ('mismatch', 'low_confidence_fuzzy') as needs_remedy from (select track_id, case when isrc is null then 'isrc_unresolvable' when track_id % 5 = 0 then 'mismatch' when track_id % 2 = 1 and (track_id % 10) / 10.0 < 0.6 then 'low_confidence_fuzzy' else 'ok' end as verdict from tracks)""", "tracks")
+def exported_audit(lib):
+    """Verdicts on previews as CSV, written and read back."""
+    n = F.col("track_id")
+    rows = lib["tracks"].select("track_id", F.col("isrc").isNull().alias("isrc_unresolvable"), (n % 5 == 0).alias("mismatch"), (n % 2 == 1).alias("fuzzy"), (n % 10 / 10.0).alias("confidence"))
+    path = fresh_path(lib.spark)
+    export.write_csv(matching.audited(rows).select("track_id", "verdict", "needs_remedy"), path)
+    return lib.spark.read.option("header", True).schema("track_id long, verdict string, needs_remedy boolean").csv(path)

@@ -289,7 +289,7 @@ def hot_medians(lib):
 @query("select track_id, (row_number() over (order by popularity desc nulls last, track_id) - 1)::int as position from tracks qualify position between 1400 and 1449", "tracks")
 def search_deep_page(lib):
     """A page found by ranges: page 29 of fifty."""
-    return search.deep_page_ids(lib, search.SearchSpec(sort="popularity", descending=True, page=29))
+    return search.deep_page_ids(lib, search.SearchSpec(sort="popularity", descending=True, page=29)).select("track_id", "position")
 
 
 @query("""select coalesce(n.track_id, o.track_id) as track_id, case when n.track_id is not null then upper(n.name) else o.name end as name from (select track_id, name from tracks where track_id % 5 > 0) o

@@ -31,4 +31,4 @@ def test_query_against_sql(spark, duck, name):
     a, b = rows(got), rows(want)
     assert len(a) == len(b)
     for x, y in zip(a, b, strict=True):
-        assert all(p == q or (isinstance(p, (int, float)) and isinstance(q, (int, float)) and abs(p - q) < 2e-6) for p, q in zip(x, y, strict=True)), (x, y)
+        assert all(p == q or (isinstance(p, (int, float)) and isinstance(q, (int, float)) and abs(p - q) < 5e-7) for p, q in zip(x, y, strict=True)), (x, y)
