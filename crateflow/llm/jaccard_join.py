@@ -291,14 +291,18 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opti
 def keep_one_row(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """As keep_one(), but one row of each class even where rows share an id.
 
-    Of the rows with the smallest id that of the least mark stays, and of its repetitions any one. Rows without words are no
-    copies: all stay. Rows are carried whole, so no column's name can clash; an empty table gives an empty table.
+    Of the rows with the smallest id that of the least mark stays, and of its repetitions the first as they lie. Rows without words
+    are no copies: all stay. Rows are chosen by their number, on narrow rows, and are then moved once. docs: a written table, or
+    whatever gives the same rows in the same partitions each time. No column's name can clash; an empty table gives an empty table.
     """
     found = near_copies(docs, text, doc_id, **options).where("kept")
     alone = F.col("class_key").isNull()
     kept = found.groupBy("class_key", F.when(alone, F.col("doc_id")).alias("own_id"), F.when(alone, F.col("mark")).alias("own_mark")).agg(F.min(F.struct("mark", "doc_id")).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.mark").alias("kept_mark"), F.col("class_key").isNotNull().alias("once"))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"))
-    rows = whole.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark")))
-    rows = rows.withColumn("own", F.when(F.col("once"), F.lit(-1)).otherwise(F.monotonically_increasing_id())).dropDuplicates(["id", "mark", "own"])
-    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    number = F.monotonically_increasing_id().alias("number")
+    narrow = docs.select(number, F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("mark"))
+    rows = narrow.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark")))
+    chosen = rows.groupBy("id", "mark", F.when(~F.col("once"), F.col("number")).alias("own")).agg(F.min("number").alias("chosen")).select("chosen")
+    whole = docs.select(number, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    stays = whole.join(durable(chosen), F.col("number") == F.col("chosen"), "left_semi")
+    return stays.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
