@@ -292,8 +292,9 @@ def keep_one_row(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **
     """As keep_one(), but one row of each class even where rows share an id.
 
     Of the rows with the smallest id that of the least mark stays, and of its repetitions the first as they lie. Rows without words
-    are no copies: all stay. Rows are chosen by their number, on narrow rows, and are then moved once. docs: a written table, or
-    whatever gives the same rows in the same partitions each time. No column's name can clash; an empty table gives an empty table.
+    are no copies: all stay. Rows are chosen by their number, on narrow rows, and are then moved once, by a merge join at every size: what
+    is chosen has no bound, and so disk and time grow in proportion. docs: a written table, or whatever gives the same rows in the
+    same partitions each time. No column's name can clash; an empty table gives an empty table.
     """
     found = near_copies(docs, text, doc_id, **options).where("kept")
     alone = F.col("class_key").isNull()
@@ -304,5 +305,5 @@ def keep_one_row(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **
     rows = narrow.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark")))
     chosen = rows.groupBy("id", "mark", F.when(~F.col("once"), F.col("number")).alias("own")).agg(F.min("number").alias("chosen")).select("chosen")
     whole = docs.select(number, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    stays = whole.join(durable(chosen), F.col("number") == F.col("chosen"), "left_semi")
+    stays = whole.join(durable(chosen).hint("merge"), F.col("number") == F.col("chosen"), "left_semi")
     return stays.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
