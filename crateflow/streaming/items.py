@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any, NamedTuple
 
@@ -135,25 +136,27 @@ def item_states(events: DataFrame, most_attempts: int = 3, watermark: str = "10
 
 
 class Dependencies(StatefulProcessor):
-    """Per job and track the status of each item and what blocked items need."""
+    """Per job and track the status of each item and what blocked items need, in one value: a batch reads and writes a key's once.
+
+    Each call of the state is a round trip to the JVM, so their number must not grow with the rows.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.met = handle.getMapState("met", "item_id long", "at_ms long, event_id long, met boolean")
-        self.needs = handle.getMapState("needs", "item_id long", "needs array<long>")
+        self.held = handle.getValueState("held", "met string, needs string")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        held = self.held.get()
+        met, needs = ({k: v for k, *v in json.loads(part)} for part in held or ("[]", "[]"))
         for r in rows:
             if r.needs is not None:
-                self.needs.updateValue((r.item_id,), (list(r.needs),))
-            else:
-                held = self.met.getValue((r.item_id,)) if self.met.containsKey((r.item_id,)) else None
-                if held is None or (held[0], held[1]) < (r.at_ms, r.event_id):
-                    self.met.updateValue((r.item_id,), (r.at_ms, r.event_id, r.met))
-        state = {k[0]: v[2] for k, v in self.met.iterator()}
-        free = [k[0] for k, v in self.needs.iterator() if all(state.get(n, False) for n in v[0])]
+                needs[r.item_id] = r.needs
+            elif r.item_id not in met or tuple(met[r.item_id][:2]) < (r.at_ms, r.event_id):
+                met[r.item_id] = (r.at_ms, r.event_id, r.met)
+        free = [item_id for item_id, need in needs.items() if all(n in met and met[n][2] for n in need)]
         for item_id in free:
-            self.needs.removeKey((item_id,))
-            yield Row(job_id=key[0], track_id=key[1], item_id=item_id)
+            del needs[item_id]
+        self.held.update(tuple(json.dumps([(k, *v) for k, v in part.items()]) for part in (met, needs)))
+        return (Row(job_id=key[0], track_id=key[1], item_id=item_id) for item_id in free)
 
 
 def unblocked_items(events: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from crateflow.operators import jobs
@@ -132,6 +133,35 @@ def test_unblocks_in_any_order(spark, tmp_path):
         assert sorted(r.item_id for r in got.collect()) == [10, 30]
 
 
+class Counted:
+    """A handle whose variables count their calls; the value stays as after an update."""
+
+    def __init__(self):
+        self.calls, self.value = 0, None
+
+    def __getattr__(self, name):
+        def call(*given):
+            self.calls += not name.endswith("State")
+            if name == "update":
+                self.value = given[0]
+            return self if name.endswith("State") else self.value if name == "get" else []
+
+        return call
+
+
+def test_state_calls_do_not_grow_with_the_rows():
+    """Each is a round trip out of Python: a few a key and batch, whether it has ten rows or a thousand."""
+    calls = []
+    for n in (10, 1000):
+        held, free = Counted(), items.Dependencies()
+        free.init(held)
+        rows = [Row(job_id=1, track_id=1, item_id=k, event_id=k, at_ms=k, needs=[k + 1] if part else None, met=k % 2 == 0) for k in range(n) for part in (0, 1)]
+        got = [r.item_id for batch in (rows[: n // 2], rows[n // 2 :]) for r in free.handleInputRows((1, 1), iter(batch), None)]
+        assert sorted(got) == list(range(1, n - 1, 2))
+        calls.append(held.calls)
+    assert calls[0] == calls[1] <= 4
+
+
 def test_a_batch_counts_once(spark, tmp_path):
     """A batch whose handling broke off is handled again, one that is marked is not."""
     seen, broken = [], [True]
