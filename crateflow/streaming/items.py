@@ -36,7 +36,7 @@ def advance(status: str, attempts: int, event: str, most: int) -> tuple[str, int
 
 
 class Item(NamedTuple):
-    """What is kept of an item: due_ms is when its lock or its wait ends, last_* the newest event applied, timer_ms the timer set."""
+    """What is kept of an item: due_ms is when its lock or its wait ends, last_* the newest event applied."""
 
     status: str = "pending"
     stage: str | None = None
@@ -45,46 +45,73 @@ class Item(NamedTuple):
     last_ms: int = -1
     last_id: int = -1
     final_ms: int | None = None
-    timer_ms: int | None = None
 
 
-ITEM = "status string, stage string, attempts int, due_ms long, last_ms long, last_id long, final_ms long, timer_ms long"
-WAITING = "at_ms long, event_id long, stage string, event string"
+#: Into how many keys of the state the items are dealt.
+SLOTS = 1 << 15
 
 
 class ItemStates(StatefulProcessor):
-    """Keeps the events that the watermark hasn't passed and applies the others in order of time and id."""
+    """Keeps the events that the watermark hasn't passed and applies the others in order of time and id.
+
+    A key is a slot of items. What they have is one value, read and written once a call, and one timer, as each use of the state is
+    a round trip to the JVM: their number grows with the slots, not with items or events.
+    """
 
     def __init__(self, most_attempts: int, keep_seconds: int):
         self.most, self.keep_ms = most_attempts, 1000 * keep_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.item, self.waiting = handle.getValueState("item", ITEM), handle.getListState("waiting", WAITING)
+        self.handle, self.held = handle, handle.getValueState("held", "items string, timer_ms long")
+
+    def _read(self) -> tuple[dict[str, tuple[Item, list]], int | None]:
+        """Each item with its waiting events (time, id, stage, event), and the slot's timer."""
+        held = self.held.get()
+        return ({}, None) if held is None else ({name: (Item(*item), waiting) for name, item, waiting in json.loads(held[0])}, held[1])
 
-    def _item(self) -> Item:
-        held = self.item.get()
-        return Item(*held) if held is not None else Item()
+    def _write(self, states: dict[str, tuple[Item, list]], timer: int | None) -> None:
+        self.held.update((json.dumps([(name, *state) for name, state in states.items()]), timer))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        new = [(r.at_ms, r.event_id, r.stage, r.event) for r in rows]
+        new = json.loads(f"[{','.join([r.entry for r in rows])}]")
         if new:
-            self.waiting.appendList(new)
-            item, first = self._item(), min(new)[0] + 1
-            if item.timer_ms is None or first < item.timer_ms:
-                self._set(item, first)
+            states, timer = self._read()
+            for e in new:
+                states.setdefault(e["item"], (Item(), []))[1].append((e["at_ms"], e["event_id"], e["stage"], e["event"]))
+            first = min(e["at_ms"] for e in new) + 1
+            if timer is None or first < timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(first)
+                timer = first
+            self._write(states, timer)
         return iter(())
 
-    def _set(self, item: Item, timer: int) -> None:
-        if item.timer_ms is not None:
-            self.handle.deleteTimer(item.timer_ms)
-        self.handle.registerTimer(timer)
-        self.item.update(tuple(item._replace(timer_ms=timer)))
-
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        now, item = timerValues.getCurrentWatermarkInMs(), self._item()._replace(timer_ms=None)
-        waiting = sorted(set(self.waiting.get()), key=lambda e: e[:2])
-        changes: list[tuple] = []
+        now, (states, _), changes, times = timerValues.getCurrentWatermarkInMs(), self._read(), [], []
+        for name, (item, waiting) in list(states.items()):
+            made: list[tuple] = []
+            item, rest = self._applied(item, waiting, now, made)
+            changes.extend((name, *change) for change in made)
+            ends = None if item.final_ms is None else item.final_ms + self.keep_ms
+            if ends is not None and ends < now and not rest:
+                del states[name]
+                continue
+            states[name] = (item, rest)
+            times.extend(t + 1 for t in (rest[0][0] if rest else None, item.due_ms, ends) if t is not None and t >= now)
+        if states:
+            timer = min(times, default=None)
+            if timer is not None:
+                self.handle.registerTimer(timer)
+            self._write(states, timer)
+        else:
+            self.held.clear()
+        for name, status, attempts, at, event_id in changes:
+            yield Row(item_id=name, status=status, attempts=attempts, at_ms=at, event_id=event_id)
+
+    def _applied(self, item: Item, waiting: list, now: int, changes: list[tuple]) -> tuple[Item, list]:
+        """The item after its events before now, and the events that wait on."""
+        waiting = sorted(dict.fromkeys(map(tuple, waiting)), key=lambda e: e[:2])
         for at, event_id, stage, event in waiting:
             if at >= now:
                 break
@@ -97,17 +124,7 @@ class ItemStates(StatefulProcessor):
                 changes.append((status, attempts, at, event_id))
                 wait = {"running": LOCK_SECONDS.get(item.stage, OTHER_SECONDS), "rate_limited": WAIT_SECONDS}.get(status)
                 item = item._replace(status=status, attempts=attempts, due_ms=at + 1000 * wait if wait else None, final_ms=at if status in FINAL else None)
-        item = self._released(item, now, changes)
-        rest = [e for e in waiting if e[0] >= now]
-        self.waiting.put(rest) if rest else self.waiting.clear()
-        ends = None if item.final_ms is None else item.final_ms + self.keep_ms
-        if ends is not None and ends < now and not rest:
-            self.item.clear()
-        else:
-            times = [t for t in (rest[0][0] if rest else None, item.due_ms, ends) if t is not None and t >= now]
-            self.item.update(tuple(item)) if not times else self._set(item, min(times) + 1)
-        for status, attempts, at, event_id in changes:
-            yield Row(item_id=key[0], status=status, attempts=attempts, at_ms=at, event_id=event_id)
+        return self._released(item, now, changes), [e for e in waiting if e[0] >= now]
 
     @staticmethod
     def _released(item: Item, now: int, changes: list[tuple]) -> Item:
@@ -128,11 +145,12 @@ def item_states(events: DataFrame, most_attempts: int = 3, watermark: str = "10
     states stay; keep_seconds of event time after one its state goes, as events that old are late by then. Needs the RocksDB
     state store (see streaming.runs).
     """
-    kind = events.schema["item_id"].dataType.simpleString()
-    rows = events.withWatermark("at", watermark).withColumn("at_ms", F.unix_millis("at"))
-    out = f"item_id {kind}, status string, attempts int, at_ms long, event_id long"
-    changes = rows.groupBy("item_id").transformWithState(ItemStates(most_attempts, keep_seconds), out, "Append", "EventTime")
-    return changes.select("item_id", "status", "attempts", F.timestamp_millis("at_ms").alias("at"), "event_id")
+    kind = events.schema["item_id"].dataType
+    entry = F.struct(F.col("item_id").cast("string").alias("item"), F.unix_millis("at").alias("at_ms"), "event_id", "stage", "event")
+    slot = F.pmod(F.xxhash64("item_id"), F.lit(SLOTS)).alias("slot")
+    rows = events.withWatermark("at", watermark).select(slot, "at", F.to_json(entry, {"ignoreNullFields": "false"}).alias("entry"))  # few columns: each costs Python time a row
+    changes = rows.groupBy("slot").transformWithState(ItemStates(most_attempts, keep_seconds), "item_id string, status string, attempts int, at_ms long, event_id long", "Append", "EventTime")
+    return changes.select(F.col("item_id").cast(kind).alias("item_id"), "status", "attempts", F.timestamp_millis("at_ms").alias("at"), "event_id")
 
 
 class Dependencies(StatefulProcessor):

@@ -162,6 +162,19 @@ def test_state_calls_do_not_grow_with_the_rows():
     assert calls[0] == calls[1] <= 4
 
 
+def test_calls_of_item_states_do_not_grow_with_items_and_events():
+    """The value read and written and a timer set, once for a slot's rows and once at its timer."""
+    kinds = ("reserve", "fail", "reserve", "success")
+    now = type("Now", (), {"getCurrentWatermarkInMs": lambda self: 10_000})()
+    for n in (1, 50):
+        held, states = Counted(), items.ItemStates(3, 86_400)
+        states.init(held)
+        rows = [Row(item_id=k, at=None, at_ms=t, event_id=t, stage=None, event=e, entry=json.dumps({"item": str(k), "at_ms": t, "event_id": t, "stage": None, "event": e})) for t, e in enumerate(kinds) for k in range(n)]
+        assert list(states.handleInputRows((1,), iter(rows), None)) == [] and held.calls <= 3
+        got = [r.status for r in states.handleExpiredTimer((1,), now, None)]
+        assert got == ["running", "pending", "running", "success"] * n and held.calls <= 6
+
+
 def test_a_batch_counts_once(spark, tmp_path):
     """A batch whose handling broke off is handled again, one that is marked is not."""
     seen, broken = [], [True]
