@@ -19,6 +19,8 @@ _NODES = {
     "lowlevel": ("loudness", "average_loudness", "mfcc", "hpcp", "spectral_contrast", "spectral_centroid", "spectral_rolloff", "dynamic_complexity", "onset_rate"),
     "tonal": ("key_key", "key", "key_scale", "scale", "key_strength", "key_confidence", "hpcp", *KEY_BLOCKS),
 }
+#: Members of a key block, and where the plain members for them stand.
+_KEYED = {"key": ("key_key", "key"), "scale": ("key_scale", "scale"), "strength": ("key_strength", "key_confidence")}
 
 
 def _get(v: Column, path: str, kind: str = "variant") -> Column:
@@ -39,7 +41,7 @@ def _plain(v: Column) -> Column:
 
 def _elements(v: Column) -> Column:
     """The numbers of a list, its other elements left out; null for other nodes."""
-    return F.filter(F.transform(F.when(_is(v, "ARRAY"), _get(v, "", "array<variant>")), _plain), lambda x: x.isNotNull())
+    return F.filter(F.transform(_get(v, "", "array<variant>"), _plain), lambda x: x.isNotNull())
 
 
 def _mean(numbers: Column) -> Column:
@@ -47,20 +49,23 @@ def _mean(numbers: Column) -> Column:
 
 
 def number(v: Column) -> Column:
-    """The number of a node: itself; of an object its mean (a number, or a list's mean), value, avg or average; a list's mean."""
+    """The number of a node: itself; of an object its mean (a number, or a list's mean), value, avg or average; a list's mean.
+
+    Other nodes than objects have no members and other nodes than lists no elements, so only numbers are told apart by their kind.
+    """
     inner = _get(v, "mean")
     of_object = F.coalesce(_plain(inner), _mean(_elements(inner)), *[_plain(_get(v, name)) for name in OTHER_MEANS])
-    return F.coalesce(_plain(v), F.when(_is(v, "OBJECT"), of_object), _mean(_elements(v)))
+    return F.coalesce(_plain(v), _mean(_elements(v)), of_object)
 
 
 def _vector(v: Column) -> Column:
     """The list of an object's mean; an empty one if there is none."""
-    return F.coalesce(F.when(_is(v, "OBJECT"), _elements(_get(v, "mean"))), F.array().cast("array<double>"))
+    return F.coalesce(_elements(_get(v, "mean")), F.array().cast("array<double>"))
 
 
 def _filled(v: Column) -> Column:
     """Whether a node counts as given: 0, false, nulls and what is empty don't."""
-    empty = _is(v, "VOID") | F.coalesce(_plain(v) == 0, F.lit(False)) | F.coalesce(F.to_json(v).isin("false", '""', "[]", "{}"), F.lit(False))
+    empty = F.coalesce(_plain(v) == 0, F.lit(False)) | F.coalesce(F.to_json(v).isin("null", "false", '""', "[]", "{}"), F.lit(False))
     return v.isNotNull() & ~empty
 
 
@@ -75,10 +80,8 @@ def _either(*nodes: Column) -> Column:
 def _named(v: Column, table: dict[str, int]) -> Column:
     """A name's number by the table; a whole number is taken as it is."""
     name = F.when(_is(v, "STRING"), F.trim(F.lower(_get(v, "", "string"))))
-    found = F.when(_is(v, "BIGINT", "INT", "SMALLINT", "TINYINT"), _get(v, "", "int"))
-    for key, value in table.items():
-        found = F.when(name == key, value).otherwise(found)
-    return found
+    numbers = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.coalesce(numbers[name], F.when(_is(v, "BIGINT", "INT", "SMALLINT", "TINYINT"), _get(v, "", "int")))
 
 
 def analysis_documents(documents: DataFrame, column: str = "value") -> DataFrame:
@@ -96,18 +99,16 @@ def analysis_documents(documents: DataFrame, column: str = "value") -> DataFrame
         *kept, "__d", block.alias("__block"), _either(n("lowlevel", "loudness"), n("lowlevel", "average_loudness")).alias("__loudness"), _either(n("lowlevel", "onset_rate"), n("rhythm", "onset_rate")).alias("__onset"),
         _either(n("lowlevel", "hpcp"), n("tonal", "hpcp")).alias("__hpcp"), *[n("rhythm", x).alias(f"__{x}") for x in ("bpm", "bpm_confidence", "perceptual_tempo", "beats_loudness", "beats_count")],
         *[n("lowlevel", x).alias(f"__{x}") for x in ("mfcc", "spectral_contrast", "spectral_centroid", "spectral_rolloff", "dynamic_complexity")],
-        *[n("tonal", x).alias(f"__{x}") for x in ("key_key", "key", "key_scale", "scale", "key_strength", "key_confidence")],
+        *[_either(n("tonal", first), n("tonal", second)).alias(f"__own_{member}") for member, (first, second) in _KEYED.items()],
     )
     c = lambda name: F.col(f"__{name}")
-
-    def keyed(first: str, second: str, member: str) -> Column:
-        own = _either(c(first), c(second))
-        return F.when(c("block").isNotNull(), _either(own, _get(c("block"), member))).otherwise(own)
-
-    measured = picked.select(
+    # each choice is a column before it is used again: inlined, its expression would be repeated at every use
+    chosen = picked.withColumns({f"__of_{m}": F.when(c("block").isNotNull(), _get(c("block"), m)) for m in _KEYED})
+    keyed = {f"__{m}": F.when(c("block").isNotNull() & ~_filled(c(f"own_{m}")), c(f"of_{m}")).otherwise(c(f"own_{m}")) for m in _KEYED}
+    measured = chosen.withColumns(keyed).select(
         *kept, "__d", number(c("bpm")).alias("bpm"), number(c("bpm_confidence")).alias("__sure"), number(c("loudness")).alias("loudness"),
-        _named(keyed("key_key", "key", "key"), KEYS).alias("key"), _named(keyed("key_scale", "scale", "scale"), SCALES).alias("mode"),
-        _plain(keyed("key_strength", "key_confidence", "strength")).alias("key_confidence"), _plain(_get(c("d"), "metadata.audio_properties.length")).alias("length"),
+        _named(c("key"), KEYS).alias("key"), _named(c("scale"), SCALES).alias("mode"),
+        _plain(c("strength")).alias("key_confidence"), _plain(_get(c("d"), "metadata.audio_properties.length")).alias("length"),
         number(c("spectral_centroid")).alias("centroid"), number(c("spectral_rolloff")).alias("rolloff"), number(c("dynamic_complexity")).alias("dynamic_complexity"), number(c("onset")).alias("onset_rate"),
         number(c("perceptual_tempo")).alias("perceptual_tempo"), number(c("beats_loudness")).alias("beats_loudness"), _plain(c("beats_count")).cast("int").alias("beats_count"),
         _vector(c("mfcc")).alias("__list"), number(c("mfcc")).alias("__one"), _vector(c("hpcp")).alias("hpcp"), _vector(c("spectral_contrast")).alias("spectral_contrast"),

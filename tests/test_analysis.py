@@ -65,6 +65,28 @@ def test_documents(spark):
     assert [r.mfcc for r in rows[2:]] == [None] * 5 + [[]] and all(r.rhythm == "mine" and r.d == 1 for r in rows)
 
 
+def test_the_plan_stays_small(spark):
+    """What is chosen once is a column, not an expression repeated at each use: the kind of a node is asked some hundred times, not thousands."""
+    docs = spark.createDataFrame([(1, "{}")], "id int, value string")
+    plan = analysis.analysis_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SchemaOfVariant") < 300
+
+
+def test_kinds_that_look_alike(spark):
+    """Members only of objects, elements only of lists, no numbers out of texts or truth values; keys out of blocks."""
+    nodes = ['"[1, 2]"', '"3"', "true", "[true, 4]", '{"mean": "[5]", "value": 6}', '{"0": 1}', '[{"mean": 2}]', '{"mean": true, "avg": "7", "average": 8}']
+    texts = [f'{{"rhythm": {{"bpm": {n}}}, "lowlevel": {{"loudness": {n}, "average_loudness": 9, "mfcc": {n}}}}}' for n in nodes]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, value string")
+    rows = sorted(analysis.analysis_documents(docs).collect(), key=lambda r: r.id)
+    want = [None, None, None, 4.0, 6.0, None, None, 8.0]
+    assert [r.bpm for r in rows] == want and [r.loudness for r in rows] == want
+    assert [r.mfcc for r in rows] == [[], [], [], [4.0], [6.0], [], [], [8.0]]
+    keys = ['"key_key": null, "key": null, "key_edma": {"key": "D", "scale": "min"}', '"key_key": "", "key": false, "scale": 0, "key_edma": {"scale": "maj"}', '"key_key": "x", "key_edma": {"key": "D"}', '"key": " C# ", "scale": "MAJOR"']
+    docs = spark.createDataFrame([(k, f'{{"tonal": {{{t}}}}}') for k, t in enumerate(keys)], "id int, value string")
+    rows = sorted(analysis.analysis_documents(docs).collect(), key=lambda r: r.id)
+    assert [(r.key, r.mode) for r in rows] == [(2, 0), (None, 1), (None, None), (1, 1)]
+
+
 def test_storage_round_trip(spark):
     docs = spark.createDataFrame([(1, '{"rhythm": {"bpm": 120.5, "perceptual_tempo": {"mean": 3}}, "lowlevel": {"mfcc": {"mean": [1, 2]}, "spectral_centroid": 7}, "tonal": {"key": "c"}}')], "id int, value string")
     measured = analysis.analysis_documents(docs)
