@@ -201,12 +201,17 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def _shared_buckets(classes: DataFrame) -> DataFrame:
-    """(cls, bucket, head) for the buckets of two classes or more, head the smallest; one bucket of those with the same members."""
+    """(cls, bucket, head) for the buckets of two classes or more, head the smallest; one bucket of those with the same members.
+
+    Members are summed up only over shared buckets, so the rows of all buckets are dealt with few bytes. Merge joins at every
+    size: shared buckets have no bound, and so what is moved grows in proportion to the documents.
+    """
     spots = classes.select("cls", F.posexplode("bands").alias("band", "hash")).select("cls", F.xxhash64("band", "hash").alias("bucket"))
+    full = spots.groupBy("bucket").agg(F.min("cls").alias("head"), F.count("*").alias("m")).where("m > 1").select(F.col("bucket").alias("b"), "head", "m")
+    met = spots.join(full.hint("merge"), F.col("bucket") == F.col("b")).select("cls", "bucket", "head", "m")
     members = [F.bit_xor(F.xxhash64("cls")).alias("x1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("x2")]
-    full = spots.groupBy("bucket").agg(F.min("cls").alias("head"), F.count("*").alias("m"), *members).where("m > 1")
-    once = full.groupBy("head", "m", "x1", "x2").agg(F.min("bucket").alias("b")).select("b", "head")
-    return spots.join(once, F.col("bucket") == F.col("b")).select("cls", "bucket", "head")
+    once = met.groupBy("bucket", "head", "m").agg(*members).groupBy("head", "m", "x1", "x2").agg(F.min("bucket").alias("b")).select("b")
+    return met.join(once.hint("merge"), F.col("bucket") == F.col("b"), "left_semi").select("cls", "bucket", "head")
 
 
 def _units(grouped: DataFrame, shared: DataFrame) -> DataFrame:
@@ -245,7 +250,7 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", siz
     grouped, grouped_path = write_table(classes.join(candidates, F.col("cls") == F.col("node")).select("cls", "n", F.col("component").alias("part")))
     units = _units(grouped, shared).withColumnRenamed("cls", "c")
     wanted, wanted_path = write_table(classes.join(units, F.col("cls") == F.col("c")).select("cls", "rep", "rep_mark", "weight", "units", "buckets"))
-    texts = keyed.join(wanted, F.col("id").eqNullSafe(F.col("rep")) & (F.col("mark") == F.col("rep_mark"))).select("units", "cls", "weight", "buckets", "text")
+    texts = keyed.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("rep")) & (F.col("mark") == F.col("rep_mark"))).select("units", "cls", "weight", "buckets", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

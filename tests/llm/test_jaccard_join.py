@@ -169,3 +169,19 @@ def test_keep_one_carries_any_columns(spark):
     rows = spark.createDataFrame([(2, text, "m", "d"), (1, text, "m", "d"), (3, "other words in this text here now", "m", "d")], "doc_id long, text string, __i string, `a.b` string")
     got = J.keep_one(rows)
     assert got.columns == rows.columns and sorted(tuple(r)[0] for r in got.collect()) == [1, 3]
+
+
+def test_what_has_no_bound_is_merged_even_if_small(spark, monkeypatch, capsys):
+    plans, write = {}, J.write_table
+
+    def noted(df):
+        capsys.readouterr()
+        df.explain()
+        plans[tuple(df.columns)] = capsys.readouterr().out
+        return write(df)
+
+    monkeypatch.setattr(J, "write_table", noted)
+    df = spark.createDataFrame(corpus(), "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id, r.n_links, r.kept) for r in J.near_copies(df).collect()) == brute(corpus())
+    for table in (("cls", "bucket", "head"), ("cls", "links", "texts", "root")):
+        assert "SortMergeJoin" in plans[table] and "BroadcastHashJoin" not in plans[table]
