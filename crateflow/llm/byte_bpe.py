@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark import Broadcast
@@ -156,9 +155,17 @@ class Codec:
 DEFAULT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@lru_cache(maxsize=2)
+_held: Codec | None = None
+
+
 def _codec(vocabulary: Broadcast) -> Codec:
-    return Codec(*vocabulary.value)
+    """The worker's one codec: kept for every broadcast of the same vocabulary, gone before that of another is made."""
+    global _held
+    tokens, pattern = vocabulary.value
+    if _held is None or _held.pattern.pattern != pattern or _held.tokens != tokens:
+        _held = None
+        _held = Codec(tokens, pattern)
+    return _held
 
 
 def vocabulary(spark: SparkSession, path: str, pattern: str = DEFAULT_PATTERN) -> Broadcast:

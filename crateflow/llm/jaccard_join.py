@@ -48,9 +48,15 @@ class _WordHashes(dict):
         return value
 
 
+#: A task's; emptied at its end, so that an idle worker doesn't hold it through all later steps.
 _HASHES = _WordHashes()
 
 
+def _forget_words() -> None:
+    """For functions that travel to the workers: those would bring a copy of _HASHES of their own."""
+    _HASHES.clear()
+
+
 def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-grams of lower-cased (A-Z) words between ASCII blanks.
 
@@ -96,16 +102,19 @@ def signatures(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bands, rows)
-        for batch in batches:
-            for lo, hi in text_blocks(batch, 2):
-                sets = [shingles(t, size) for t in batch.column(2).slice(lo, hi - lo).to_pylist()]
-                f1 = [int(np.bitwise_xor.reduce(s * np.uint64(0xD6E8FEB86659FD93) ^ (s >> np.uint64(17)))) if len(s) else None for s in sets]
-                f2 = [(int(s.sum(dtype=np.uint64)) ^ len(s) << 40) & _MASK if len(s) else None for s in sets]
-                signed = [x if x is None or x < 1 << 63 else x - (1 << 64) for x in f1], [x if x is None or x < 1 << 63 else x - (1 << 64) for x in f2]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(signed[0], pa.int64()), pa.array(signed[1], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signer(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
-                    ["id", "mark", "f1", "f2", "n", "bands"],
-                )
+        try:
+            for batch in batches:
+                for lo, hi in text_blocks(batch, 2):
+                    sets = [shingles(t, size) for t in batch.column(2).slice(lo, hi - lo).to_pylist()]
+                    f1 = [int(np.bitwise_xor.reduce(s * np.uint64(0xD6E8FEB86659FD93) ^ (s >> np.uint64(17)))) if len(s) else None for s in sets]
+                    f2 = [(int(s.sum(dtype=np.uint64)) ^ len(s) << 40) & _MASK if len(s) else None for s in sets]
+                    signed = [x if x is None or x < 1 << 63 else x - (1 << 64) for x in f1], [x if x is None or x < 1 << 63 else x - (1 << 64) for x in f2]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(signed[0], pa.int64()), pa.array(signed[1], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signer(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
+                        ["id", "mark", "f1", "f2", "n", "bands"],
+                    )
+        finally:
+            _forget_words()
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.mapInArrow(sign, f"id {kind}, mark long, f1 long, f2 long, n long, bands array<long>")
@@ -253,10 +262,13 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", siz
     texts = keyed.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("rep")) & (F.col("mark") == F.col("rep_mark"))).select("units", "cls", "weight", "buckets", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in text_blocks(batch, 4):
-                sets_ = [shingles(t, size).tobytes() for t in batch.column(4).slice(lo, hi - lo).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(k).slice(lo, hi - lo) for k in range(4)] + [pa.array(sets_, pa.binary())], ["units", "cls", "weight", "buckets", "hashes"])
+        try:
+            for batch in batches:
+                for lo, hi in text_blocks(batch, 4):
+                    sets_ = [shingles(t, size).tobytes() for t in batch.column(4).slice(lo, hi - lo).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([batch.column(k).slice(lo, hi - lo) for k in range(4)] + [pa.array(sets_, pa.binary())], ["units", "cls", "weight", "buckets", "hashes"])
+        finally:
+            _forget_words()
 
     ready = texts.mapInArrow(hashed, "units array<struct<unit:bigint,whole:boolean,blocks:int>>, cls long, weight long, buckets array<long>, hashes binary")
     ready = ready.select(F.explode("units").alias("u"), "cls", "weight", "hashes", "buckets").select("u.*", F.pmod(F.xxhash64("cls"), F.col("u.blocks")).cast("int").alias("blk"), "cls", "weight", "hashes", "buckets")

@@ -1,5 +1,6 @@
 import base64
 import struct
+import weakref
 
 import public_tokenizers as P
 import pytest
@@ -55,3 +56,12 @@ def test_pieces_of_any_bytes(oracle):
 def test_empty_table(spark):
     words = byte_bpe.vocabulary(spark, PATH)
     assert byte_bpe.encode(spark.createDataFrame([], "doc_id long, text string"), words).count() == 0
+
+
+def test_a_worker_holds_one_codec(spark):
+    first = byte_bpe._codec(byte_bpe.vocabulary(spark, PATH, P.PATTERN))
+    assert byte_bpe._codec(byte_bpe.vocabulary(spark, PATH, P.PATTERN)) is first
+    gone = weakref.ref(first)
+    del first
+    other = byte_bpe._codec(byte_bpe.vocabulary(spark, PATH, r"\S+|\s+"))
+    assert gone() is None and other.pattern.pattern == r"\S+|\s+"

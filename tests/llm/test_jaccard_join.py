@@ -1,6 +1,8 @@
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,3 +187,15 @@ def test_what_has_no_bound_is_merged_even_if_small(spark, monkeypatch, capsys):
     assert sorted((r.doc_id, r.class_id, r.n_links, r.kept) for r in J.near_copies(df).collect()) == brute(corpus())
     for table in (("cls", "bucket", "head"), ("cls", "links", "texts", "root")):
         assert "SortMergeJoin" in plans[table] and "BroadcastHashJoin" not in plans[table]
+
+
+def test_idle_workers_hold_no_words(spark):
+    df = spark.createDataFrame(corpus(), "doc_id long, text string").repartition(4)
+    J.signatures(df.selectExpr("doc_id as id", "doc_id as mark", "text"), 2, 2, 5).collect()
+
+    def held(batches):
+        for batch in batches:
+            time.sleep(0.3)
+            yield pa.RecordBatch.from_arrays([pa.array([len(J._HASHES)] * len(batch), pa.int64())], ["n"])
+
+    assert {r.n for r in spark.range(0, 8, 1, 8).mapInArrow(held, "n long").collect()} == {0}
